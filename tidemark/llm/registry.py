@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .bestfit import op9_token_matrices
+from .packing import op2_packing
 from .quality import op6_quality
+from .qualityrules import op5_quality_rules
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op6_quality": op6_quality,
+    "op9_token_matrices": op9_token_matrices,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
