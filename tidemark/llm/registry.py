@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .bestfit import op9_token_matrices
+from .mixing import op4_mixing
 from .packing import op2_packing
 from .quality import op6_quality
 from .qualityrules import op5_quality_rules
 from .toxicity import op1_toxicity
+from .warc import op3_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
+    "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality": op6_quality,
     "op9_token_matrices": op9_token_matrices,
