@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bestfit import op9_token_matrices
+from .fingerprint import op7_fingerprint
 from .mixing import op4_mixing
 from .packing import op2_packing
 from .quality import op6_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality": op6_quality,
+    "op7_fingerprint": op7_fingerprint,
     "op9_token_matrices": op9_token_matrices,
 }
 
