@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bestfit import op9_token_matrices
+from .dartminhash import op8_dartminhash
 from .fingerprint import op7_fingerprint
 from .mixing import op4_mixing
 from .packing import op2_packing
 from .quality import op6_quality
 from .qualityrules import op5_quality_rules
+from .suffixdedup import op10_suffix_dedup
 from .toxicity import op1_toxicity
 from .warc import op3_warc
 
@@ -19,7 +21,9 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_quality": op6_quality,
     "op7_fingerprint": op7_fingerprint,
+    "op8_dartminhash": op8_dartminhash,
     "op9_token_matrices": op9_token_matrices,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
