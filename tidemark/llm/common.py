@@ -43,22 +43,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_row_key(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """docs as (rid, <id_col>, <text_col>) with a unique long rid that follows
-    the order of (id, text).
+    the order of (id, text); carry adds all of docs' columns as a struct, row.
 
     rid is the id itself where ids are whole and unique, which one pass over the
     ids decides. Otherwise rows are ranked: range partitions are sorted and
     written, and partition offsets (one row a partition) are added.
     """
-    d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    row = ["row"] if carry else []
+    d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), *(F.struct(*docs.columns).alias(x) for x in row))
     n, whole, uniq = (
         d.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
         .agg(F.sum("n"), F.sum(F.when(F.col(id_col).isNotNull(), F.col("n"))), F.count(F.lit(1)))
         .first()
     )
     if not n or (whole == n and uniq == n):
-        return d.select(F.col(id_col).cast("long").alias("rid"), id_col, text_col)
+        return d.select(F.col(id_col).cast("long").alias("rid"), id_col, text_col, *row)
     parts = max(1, min(2048, n // 20_000 + 1))
     ranged = d.repartitionByRange(parts, F.col(id_col).asc_nulls_first(), text_col).sortWithinPartitions(
         F.col(id_col).asc_nulls_first(), text_col
@@ -72,7 +73,7 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return (
         keyed.withColumn("p", part)
         .join(F.broadcast(offsets), "p")
-        .select((F.col("o") + F.col("m") - F.shiftleft(F.col("p"), 33)).alias("rid"), id_col, text_col)
+        .select((F.col("o") + F.col("m") - F.shiftleft(F.col("p"), 33)).alias("rid"), id_col, text_col, *row)
     )
 
 

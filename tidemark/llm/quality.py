@@ -79,9 +79,9 @@ def fit(texts: list[str], y: np.ndarray, totals: dict[int, int], p: Params) -> t
     return (vec @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]) + prior
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float, p: Params) -> DataFrame:
-    """docs' own columns plus score (0 to 1); null texts count as empty."""
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+def scorer(spark: SparkSession, weights: np.ndarray, bias: float, p: Params):
+    """A function of a text column: the score (0 to 1); null counts as empty."""
+    model = spark.sparkContext.broadcast((weights, bias))
 
     def run(series: pd.Series) -> pd.Series:
         w, b = model.value
@@ -91,7 +91,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, p: Params) -> Data
             out[i] = b + (float(w[h].mean(dtype=np.float64)) if len(h) else 0.0)
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
+    return F.pandas_udf(run, "double")
 
 
 def model(docs: DataFrame, labels: DataFrame, p: Params = Params(), hold_mod: int = 5, hold_rest: int = 0):
@@ -107,7 +107,8 @@ def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), hold_mod:
     of either table are not read.
     """
     w, bias = model(docs, labels, p, hold_mod, hold_rest)
-    return scored(docs.select("doc_id", "text"), w, bias, p).select(
+    score = scorer(docs.sparkSession, w, bias, p)(F.col("text"))
+    return docs.select("doc_id", score.alias("score")).select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), hold_mod) == hold_rest, F.lit(False)).alias("held_out"),
         "score",
@@ -118,7 +119,7 @@ def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), hold_mod:
 def kept(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: float = 0.3) -> DataFrame:
     """The rows of docs that the classifier does not reject, columns as given."""
     w, bias = model(docs, labels, p)
-    return scored(docs.select("*"), w, bias, p).where(F.col("score") >= threshold).select(*docs.columns)
+    return docs.where(scorer(docs.sparkSession, w, bias, p)(F.col("text")) >= threshold)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

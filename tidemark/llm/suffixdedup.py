@@ -275,8 +275,9 @@ def _by_hash():
 _CUT = "rid long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def removed(keyed: DataFrame, p: Params = Params()) -> DataFrame:
-    """_CUT rows: each text's bytes without those that a repeated string covers."""
+def removed(keyed: DataFrame, p: Params = Params(), whole_characters: bool = False) -> DataFrame:
+    """_CUT rows: each text's bytes without those that a repeated string covers;
+    whole_characters leaves out what is left of characters cut apart."""
 
     def run(batches):
         for pdf in batches:
@@ -290,7 +291,10 @@ def removed(keyed: DataFrame, p: Params = Params()) -> DataFrame:
                 np.add.at(edge, [s["last"] + p.length for s in spans], -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((rid, len(raw), int(gone.sum()), n_spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                if whole_characters:
+                    kept = kept.decode("utf-8", "ignore").encode()
+                out.append((rid, len(raw), int(gone.sum()), n_spans, kept))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _CUT.split(", ")])
 
     spans = repeats(keyed, p).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
@@ -314,6 +318,19 @@ def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return cut.select(F.col("rid").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
+def cleaned(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """docs with text and n_chars of what remains, columns as given; a character
+    of which bytes are gone goes whole. Rows of which nothing remains go; rows
+    that were empty stay, with an empty text."""
+    keyed = with_row_key(docs, "doc_id", "text", carry=True)
+    cut = removed(keyed, p, whole_characters=True).where("n_bytes = 0 or octet_length(kept) > 0")
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = keyed.select("rid", F.struct(*(F.col("row")[c].alias(c) for c in rest)).alias("row"))
+    text = F.col("kept").cast("string")
+    made = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return cut.join(rows, "rid").select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
