@@ -5,6 +5,7 @@ verifies the total length and decodes the framing."""
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 _END = b"\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,14 +65,15 @@ def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     the payload itself is shuffled once, by page. A null html is empty.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("digest", F.sha1("payload"))
-    slim = p.select("page_id", "digest", (F.octet_length("payload") >= min_bytes).alias("shared"))
-    once = slim.groupBy("page_id", "digest", "shared").agg(F.lit(1).alias("one")).drop("one")
+    # the key is never null, so that join and window share one partitioning
+    p = p.withColumn("digest", F.sha1("payload")).withColumn("page_key", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    slim = p.select("page_id", "page_key", "digest", (F.octet_length("payload") >= min_bytes).alias("shared"))
+    once = slim.groupBy("page_key", "page_id", "digest", "shared").agg(F.lit(1).alias("one")).drop("one")
     first = once.where("shared").groupBy("digest").agg(F.min("page_id").alias("first_page"))
-    plan = once.join(first, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "shared", "first_page")
-    w = Window.partitionBy("page_id", "digest").orderBy("url")
+    plan = once.join(first, "digest", "left").select("page_key", "digest", "shared", "first_page")
+    w = Window.partitionBy("page_key", "digest").orderBy("url")
     return (
-        p.join(plan, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")))
+        p.join(plan, ["page_key", "digest"])
         .withColumn("copy", F.row_number().over(w))
         .withColumn("response", ~F.col("shared") | (F.col("page_id").eqNullSafe(F.col("first_page")) & (F.col("copy") == 1)))
         .select("page_id", "url", "payload", "digest", "copy", "first_page", "response")
@@ -108,10 +110,10 @@ def records(plan: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
     """A WARC record per row of pages, in files under path. The text sink puts
-    the bytes as they are and ends each record with the format's two line ends,
-    so writing has its retries and commits."""
+    the bytes as they are, ends each record with the format's two line ends and
+    compresses the file, so writing has its retries and commits."""
     made = records(decided(pages, min_bytes), segment_bytes)
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parsed(content: bytes):
@@ -139,6 +141,7 @@ def _segments(files: DataFrame) -> DataFrame:
         for pdf in batches:
             for content in pdf["content"]:
                 out = []
+                content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
                 for h, block in parsed(content):
                     n = int(h.get("WARC-Segment-Number", 0))
                     page, total = h.get("WARC-Page-ID"), h.get("WARC-Segment-Total-Length")
@@ -197,7 +200,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved(read: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each
     record; a revisit's length and page come from the response it refers to."""
-    slim = read.select("record_id", "record_type", "page_id", "refers_id", "payload_digest", F.octet_length("payload").cast("long").alias("n"))
+    slim = written(read.select("record_id", "record_type", "page_id", "refers_id", "payload_digest", F.octet_length("payload").cast("long").alias("n")), "records")
     first = slim.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("n").alias("m"))
     return slim.join(first, "refers_id", "left").select(
         "page_id", F.coalesce("n", "m").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
