@@ -10,6 +10,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Most rows of a table (of ids or hashes) that is broadcast.
 BROADCAST_ROWS = 200_000
 #: Documents of a bucket of consecutive ids, about.
@@ -41,13 +43,30 @@ def _tables():
     return one, many, [x[1:] for x in sorted(pairs)]
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x) with x computed once however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+#: Any character but ASCII and Latin letters that NFKC leaves alone.
+_UNUSUAL = r"[^\x00-\x9F\xC0-\x{131}]"
+#: Characters that NFKC may change, but for few more that it does not.
+_COMPATIBLE = (
+    r"[\x{A0}\x{A8}\x{AA}\x{AF}\x{B2}-\x{B5}\x{B8}-\x{BA}\x{BC}-\x{BE}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}"
+    r"\x{1C4}-\x{200A}\x{2011}\x{2017}\x{2024}-\x{2026}\x{202F}-\x{10FFFF}]"
+)
+#: White space that NFKC leaves, without the blank: such a run, or one of
+#: several blanks, is replaced; single blanks, nearly all runs, are passed over.
+_SPACE = r"\t-\r\x1C-\x1F\x85\x{1680}\x{2028}\x{2029}"
+_RUNS = f" {{2,}}[ {_SPACE}]*| ?[{_SPACE}][ {_SPACE}]*"
+
+
 def normalised(t: Column) -> Column:
     """The NFKC form of a text, but for marks that are out of canonical order
     or separated from their base by others, and conjoining Hangul letters, all
     of which stay as they are.
 
-    Most texts have neither a compatibility character nor a mark and are only
-    matched against two classes.
+    Most texts have no unusual character and are only matched against one class.
     """
     one, many, pairs = _tables()
     frm, to = "".join(one), "".join(one.values())
@@ -58,23 +77,27 @@ def normalised(t: Column) -> Column:
         rows = F.transform(lines, lambda r: F.split(r, "\x01"))
         return F.aggregate(F.filter(rows, lambda r: F.contains(x, r[0])), x, lambda acc, r: F.replace(acc, r[1], r[2]))
 
-    compat = F.translate(replaced(t, [(a, a, b) for a, b in many]), frm, to)
-    odd = (
-        r"[\x{A0}\x{A8}\x{AA}\x{AF}\x{B2}-\x{B5}\x{B8}-\x{BA}\x{BC}-\x{BE}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}"
-        r"\x{1C4}-\x{200A}\x{2011}\x{2017}\x{2024}-\x{2026}\x{202F}-\x{10FFFF}]"
-    )
-    t1 = F.when(t.rlike(odd), compat).otherwise(t)
-    composed = replaced(t1, [(b, a + b, c) for a, b, c in pairs])
-    return F.when(t1.rlike(r"\p{M}"), composed).otherwise(t1)
+    def compatible(x: Column) -> Column:
+        return F.when(x.rlike(_COMPATIBLE), F.translate(replaced(x, [(a, a, b) for a, b in many]), frm, to)).otherwise(x)
+
+    def composed(x: Column) -> Column:
+        return F.when(x.rlike(r"\p{M}"), replaced(x, [(b, a + b, c) for a, b, c in pairs])).otherwise(x)
+
+    return F.when(t.rlike(_UNUSUAL), _bound(_bound(t, compatible), composed)).otherwise(t)
 
 
 def canonical(t: Column) -> Column:
     """Normalised, case folded (lower case of upper case, sharp s as ss, final
     sigma as sigma), each run of white space a blank, none at the ends. Null is
     empty."""
-    n = F.lower(F.upper(normalised(F.coalesce(t, F.lit("")))))
-    folded = F.replace(F.replace(n, F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
-    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}]+", " "))
+
+    def beyond_ascii(x: Column) -> Column:
+        n = F.lower(F.upper(normalised(x)))
+        return F.replace(F.replace(n, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+    x = F.coalesce(t, F.lit(""))
+    folded = F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(beyond_ascii(x))
+    return F.trim(F.regexp_replace(folded, _RUNS, " "))
 
 
 def wide_hash(c: Column) -> Column:
@@ -91,7 +114,7 @@ def clashes(docs: DataFrame, digest=wide_hash) -> DataFrame:
     texts, equal ones merged before the shuffle, and compare their bytes.
     """
     c = docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", digest(F.col("canon")))
-    twice = c.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    twice = written(c.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
     few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
     texts = c.join(few, "hash", "left_semi").groupBy("hash", "canon").agg(F.lit(1).alias("one"))
     w = Window.partitionBy("hash")
