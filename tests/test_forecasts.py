@@ -1,0 +1,130 @@
+"""Forecasters: brute force, recovery of known parameters, and invariances."""
+
+import datetime
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.config import Config
+from tidemark.operators import garch, returns, rolling, sv
+
+
+def _series(spark, prices, name="s"):
+    day = datetime.date(2000, 1, 1)
+    rows = [(name, day + datetime.timedelta(days=i), None if p is None else float(p)) for i, p in enumerate(prices)]
+    return spark.createDataFrame(rows, "series_id string, date date, price double")
+
+
+def test_returns_edges(spark):
+    r = returns.log_returns(_series(spark, [1, 2, None, 4, 0, 5, -1, -2, 3, 6])).orderBy("t").collect()
+    # a missing or non-positive price costs the day and the next
+    assert [(x.t, x.date.day, round(x.ret, 6)) for x in r] == [(1, 2, 0.693147), (2, 10, 0.693147)]
+    assert returns.non_positive(_series(spark, [1, 0, -1])).count() == 2
+    assert returns.log_returns(_series(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 50, 1000])
+def test_historical_simulation(spark, block):
+    rng = np.random.default_rng(0)
+    p = np.exp(np.cumsum(rng.normal(0, 0.01, 120)))
+    c = Config(window=50, block=block)
+    r = returns.log_returns(_series(spark, p))
+    got = {(x.t, x.alpha): x for x in rolling.historical_simulation(r, c).collect()}
+    ret = np.diff(np.log(p))
+    assert len(got) == 2 * (len(ret) - 50)
+    for t in range(51, len(ret) + 1):
+        w = ret[t - 51: t - 1]
+        for a in c.alphas:
+            q = np.quantile(w, a)
+            below = w[w < q]
+            assert got[t, a].var == pytest.approx(-q) and got[t, a].es == pytest.approx(-(below.mean() if len(below) else q))
+            assert got[t, a].es >= got[t, a].var - 1e-12
+    assert rolling.historical_simulation(r.where("t <= 50"), c).count() == 0
+
+
+def test_ou_recovery(spark):
+    rng = np.random.default_rng(42)
+    kappa, theta, sigma, dt, n = 30.0, 4.6, 0.3, 1 / 252, 2500
+    x = np.empty(n)
+    x[0] = theta
+    for i in range(1, n):
+        x[i] = x[i - 1] + kappa * (theta - x[i - 1]) * dt + sigma * np.sqrt(dt) * rng.standard_normal()
+    f = rolling.ou_fits(returns.log_returns(_series(spark, np.exp(x))).where("t <= 2405"), Config(window=2400))
+    one = f.orderBy("t").first()
+    assert one.converged and abs(one.kappa - kappa) < 0.25 * kappa and abs(one.theta - theta) < 0.05 * theta and abs(one.sigma - sigma) < 0.1 * sigma
+    got = {r.alpha: r for r in rolling.ou_forecasts(f, Config(window=2400)).where(f"t = {one.t}").collect()}
+    assert got[0.01].var > got[0.05].var > 0 and got[0.01].es > got[0.01].var
+
+
+def test_ou_trend_does_not_converge(spark):
+    p = np.exp(np.exp(0.01 * np.arange(120)))
+    f = rolling.ou_fits(returns.log_returns(_series(spark, p)), Config(window=60))
+    assert f.where("converged").count() == 0
+    assert rolling.ou_forecasts(f, Config(window=60)).where("var is not null").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["GARCH", "EGARCH"])
+def test_garch(spark, kind):
+    rng = np.random.default_rng(3)
+    n, v, r = 2000, 1.0, []
+    for _ in range(n):
+        r.append(np.sqrt(v) * rng.standard_normal())
+        v = 0.05 + 0.1 * r[-1] ** 2 + 0.85 * v
+    theta, ll, nxt, _ = garch.fit(np.array([r]), kind)
+    mu, c, a, g, b = garch._unpack(theta, kind, 1, 1, 0)
+    if kind == "GARCH":
+        assert 0.04 < a[0, 0] < 0.2 and 0.7 < b[0, 0] < 0.95
+    assert 0.3 * v < nxt[0] < 3 * v
+    x = np.array(r[:300]) / 100
+    s = _series(spark, np.exp(np.concatenate([[0], np.cumsum(x)])))
+    ret = returns.log_returns(s).where("t <= 260")
+    one = garch.forecasts(ret, Config(window=250, block=4), kind).orderBy("alpha", "t").collect()
+    two = garch.forecasts(ret, Config(window=250, block=100), kind).orderBy("alpha", "t").collect()
+    assert len(one) == 20 and not any(x.estimation_failed for x in one)
+    assert [x.var for x in one] == pytest.approx([x.var for x in two], rel=1e-9)
+    assert all(x.es > x.var for x in one)
+
+
+@pytest.mark.parametrize("variant", list(sv.VARIANTS))
+def test_sv_gradient(variant):
+    rng = np.random.default_rng(5)
+    post = sv.Posterior(rng.normal(0, 0.02, 15), variant)
+    u = post.start() + rng.normal(0, 0.1, post.k + 15)
+    _, g = post(u)
+    for i in range(len(u)):
+        d = np.zeros(len(u))
+        d[i] = 1e-5
+        assert g[i] == pytest.approx((post(u + d)[0] - post(u - d)[0]) / 2e-5, rel=2e-4, abs=2e-4)
+
+
+def test_sv_forecasts(spark):
+    rng = np.random.default_rng(6)
+    s = _series(spark, np.exp(np.concatenate([[0], np.cumsum(rng.normal(0, 0.02, 170))])))
+    r = returns.log_returns(s)
+    got = sv.forecasts(r, "SV-t", Config(window=150, refit_every=10), sv.Sampler(100, 150)).where("alpha = 0.01").orderBy("t").collect()
+    assert len(got) == 20 and len({x.var for x in got}) == 2  # one figure a refit
+    assert all(0.02 < x.var < 0.15 and x.es >= x.var for x in got)
+    with pytest.raises(ValueError):
+        sv.forecasts(r, "SV-other", Config())
+
+
+def test_no_look_ahead(spark):
+    rng = np.random.default_rng(7)
+    p = np.exp(np.cumsum(rng.normal(0, 0.01, 80)))
+    q = p.copy()
+    q[70:] *= 1.5
+    c = Config(window=40)
+    a, b = ({(x.t, x.alpha): x.var for x in rolling.historical_simulation(returns.log_returns(_series(spark, v)), c).where("t <= 70").collect()} for v in (p, q))
+    assert a == b
+
+
+def test_refits_and_blocks(spark):
+    r = spark.range(1, 101).select(F.lit("s").alias("series_id"), F.lit(None).cast("date").alias("date"), F.col("id").cast("int").alias("t"), F.lit(0.1).alias("ret"))
+    c = Config(window=20, refit_every=30)
+    got = {x.t: x.refit_t for x in rolling.refit_schedule(r, c).collect()}
+    assert got[21] == got[50] == 21 and got[51] == 51 and len(got) == 80
+    b = rolling.blocked(r, 20, 21, 30).collect()
+    for k in range(3):
+        assert sorted(x.t for x in b if x.block == k) == list(range(1 + 30 * k, min(101, 51 + 30 * k)))
+    assert sum(x.target for x in b) == 80

@@ -1,0 +1,81 @@
+"""Published backtest figures from their counts, and fixed worked examples."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.config import Config
+from tidemark.functions import stats
+from tidemark.operators import backtests, report
+
+#: Published (observations, violations, alpha, ratio, p) rows.
+KUPIEC = [
+    (4123, 48, 0.01), (4123, 36, 0.01), (4893, 53, 0.01), (4806, 59, 0.01), (4806, 75, 0.01),
+]
+
+
+def _counts(spark, rows):
+    names = "series_id string, model string, alpha double, n_obs long, n_violations long, n00 long, n01 long, n10 long, n11 long, n_es long, tail_sum double, mean_es double"
+    return spark.createDataFrame(rows, names)
+
+
+def test_kupiec_matches_formula(spark):
+    rows = [(str(i), "m", a, t, n, t - n, n, n, 0, 0, None, None) for i, (t, n, a) in enumerate(KUPIEC)]
+    got = {r.series_id: r for r in backtests.kupiec(_counts(spark, rows)).collect()}
+    for i, (t, n, a) in enumerate(KUPIEC):
+        lr = -2 * (n * math.log(a / (n / t)) + (t - n) * math.log((1 - a) / (1 - n / t)))
+        assert got[str(i)].kupiec_lr == pytest.approx(lr)
+        assert got[str(i)].kupiec_p == pytest.approx(stats.chi2_tail_number(lr, 1), abs=1e-6)
+    # published flags: 36 of 4123 and 48 of 4123 pass, 75 of 4806 does not
+    assert [got[str(i)].kupiec_passed for i in (0, 1, 4)] == [True, True, False]
+
+
+def test_kupiec_edges(spark):
+    rows = [("none", "m", 0.01, 0, 0, 0, 0, 0, 0, 0, None, None), ("zero", "m", 0.01, 100, 0, 99, 0, 0, 0, 0, None, None), ("all", "m", 0.01, 10, 10, 0, 0, 0, 9, 0, None, None)]
+    got = {r.series_id: r for r in backtests.christoffersen(backtests.kupiec(_counts(spark, rows))).collect()}
+    assert got["none"].kupiec_lr is None and not got["none"].kupiec_passed
+    assert got["zero"].kupiec_lr == float("inf") and got["zero"].kupiec_p == 0 and got["zero"].cc_lr is None and not got["zero"].cc_passed
+    assert got["all"].kupiec_lr == float("inf") and not got["all"].kupiec_passed
+
+
+def _forecasts(spark, r, var, es, alpha):
+    rows = [("s", "m", i + 1, alpha, float(x), float(var), float(es)) for i, x in enumerate(r)]
+    return spark.createDataFrame(rows, "series_id string, model string, t int, alpha double, actual_return double, var double, es double")
+
+
+def test_synthetic_verdicts(spark):
+    rng = np.random.default_rng(42)
+    r, a = rng.normal(0, 0.01, 3000), 0.01
+    var, es = -stats.z(a) * 0.01, stats.tail_density(a) * 0.01
+    c = Config(simulations=200)
+    good = backtests.table(_forecasts(spark, r, var, es, a), c).first()
+    assert good.n_obs == 3000 and good.kupiec_passed and 0 <= good.as_p <= 1
+    wide = backtests.table(_forecasts(spark, r, 3 * var, 3 * es, a), c, monte_carlo=False).first()
+    assert not wide.kupiec_passed
+    r[1450:1470] = -0.1
+    clustered = backtests.table(_forecasts(spark, r, var, es, a), c, monte_carlo=False).first()
+    assert not clustered.ind_passed
+
+
+def test_transitions_bridge_gaps(spark):
+    f = _forecasts(spark, [-1.0, 0.0, -1.0, -1.0], 0.5, 0.6, 0.05).withColumn("var", F.when(F.col("t") != 2, F.col("var")))
+    c = backtests.counts(f).first()
+    assert (c.n_obs, c.n_violations, c.n00, c.n01, c.n10, c.n11) == (3, 3, 0, 0, 0, 2)
+
+
+def test_summary_and_bonferroni(spark):
+    rng = np.random.default_rng(1)
+    t = backtests.table(_forecasts(spark, rng.normal(0, 0.01, 500), 0.0233, 0.0267, 0.01), Config(simulations=50))
+    s = report.pass_summary(t).first()
+    assert s.total_tests == 4 and s.kupiec_pass in (0, 1)
+    assert report.bonferroni(t).count() == 4
+    assert set(report.heatmap(t, ["s"], (0.01,)).columns) == {"model", "s|0.01|kupiec", "s|0.01|cc", "s|0.01|ind", "s|0.01|as"}
+
+
+def test_tails(spark):
+    x = [0.0, 0.1, 1.0, 3.841458820694124, 20.0]
+    d = spark.createDataFrame([(v,) for v in x], "x double").select("x", stats.chi2_tail(F.col("x"), 1).alias("a"), stats.chi2_tail(F.col("x"), 2).alias("b")).collect()
+    for r in d:
+        assert r.a == pytest.approx(math.erfc(math.sqrt(r.x / 2)), abs=1e-6) and r.b == pytest.approx(math.exp(-r.x / 2))

@@ -1,0 +1,57 @@
+"""Readers, store, the production run and streams."""
+
+from pyspark.sql import functions as F
+
+from tidemark.config import Config
+from tidemark.operators import returns
+from tidemark.plans import runner
+from tidemark.sources import prices, store
+from tidemark.streaming import monitor
+
+
+def test_csv(spark, tmp_path):
+    wide = tmp_path / "wide.csv"
+    wide.write_text("Price,Close,High,Low,Open,Volume\nTicker,X,X,X,X,X\nDate,,,,,\n2020-01-02,1.5,2,1,1,0\n2020-01-03,bad,2,1,1,7\n2020-13-45,1,1,1,1,1\n")
+    got = prices.read_csv(spark, str(wide), "x").orderBy("date").collect()
+    assert [(str(r.date), r.close, r.volume) for r in got] == [("2020-01-02", 1.5, 0.0), ("2020-01-03", None, 7.0)]
+    slim = tmp_path / "slim.csv"
+    slim.write_bytes(b"observation_date,DCOILWTICO\r\n22/06/2021,73.01\r\n23/06/2021,\r\n")
+    got = prices.read_csv(spark, str(slim), "wti", wide=False, date_format="dd/MM/yyyy").orderBy("date").collect()
+    assert [(str(r.date), r.close, r.volume) for r in got] == [("2021-06-22", 73.01, None), ("2021-06-23", None, None)]
+
+
+def test_policy(spark):
+    b = spark.createDataFrame([("s", "2020-01-01", 1.0, 0), ("s", "2020-01-02", 2.0, 5), ("s", "2020-01-03", 3.0, None)], "series_id string, d string, close double, volume long").withColumn("date", F.to_date("d"))
+    assert [r.price for r in prices.prices(b, mask_zero_volume=True).orderBy("date").collect()] == [None, 2.0, 3.0]
+    assert prices.prices(b, "2020-01-02", "2020-01-02").count() == 1
+
+
+def test_run_resumes(spark, sf, tmp_path):
+    bars = prices.order_bars(spark, sf).where("series_id in ('1-URGENT', '2-HIGH')")
+    c = Config(window=60, simulations=20)
+    one = runner.run(bars, str(tmp_path), ("HistSim", "OU"), c)
+    assert one.count() == 8 and one.where("as_p is null").count() == 0
+    kept = store.ForecastStore(spark, f"{tmp_path}/forecasts")
+    n = kept.load().count()
+    runner.run(bars, str(tmp_path), ("HistSim", "OU"), c)
+    assert kept.load().count() == n
+    assert spark.read.option("header", True).csv(f"{tmp_path}/results/summary_pass_counts").count() == 4
+    assert returns.summary(returns.log_returns(prices.prices(bars))).count() == 2
+
+
+def test_robustness(spark, sf):
+    bars = prices.order_bars(spark, sf).where("series_id = '1-URGENT'")
+    t = runner.robustness(bars, windows=(40, 60), models=("HistSim",), leave_out=("1997-03-03",))
+    assert t.groupBy("window", "without_flagged").count().count() == 4
+
+
+def test_stream(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    bars = monitor.hourly_bars(monitor.event_stream(spark, str(tmp_path / "in"), events.schema))
+    q = bars.writeStream.format("memory").queryName("bars").outputMode("complete").start()
+    try:
+        q.processAllAvailable()
+        assert spark.table("bars").exceptAll(prices.event_bars(spark, sf).select("series_id", "hour", "open", "high", "low", "close", "volume")).count() == 0
+    finally:
+        q.stop()

@@ -93,7 +93,7 @@ def fit(x: np.ndarray, kind: str = "GARCH", p: int = 1, q: int = 1, o: int = 0,
         total = np.nan_to_num(got.sum(1).reshape(len(steps), m), nan=-np.inf)
         pick = total.argmax(0)
         gain = total[pick, np.arange(m)] - best
-        take = gain > 0
+        take = (gain > 0) & ~done  # a row that has ended stays as it is
         theta[take] += (steps[pick][:, None] * way)[take]
         done |= gain < 1e-6 * n / 1000
         if done.all():

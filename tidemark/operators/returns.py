@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 
-BY_DATE = Window.partitionBy("series_id").orderBy("date")
+def _by_date():
+    return Window.partitionBy("series_id").orderBy("date")
 
 
 def log_returns(prices: DataFrame) -> DataFrame:
     """(series_id, date, t, price, ret): ln(p / previous p) where both are
     positive; other days have no row, and t counts the rest from 1. The previous
     price is that of the previous row, so a missing one costs two returns."""
-    p, before = F.col("price"), F.lag("price").over(BY_DATE)
+    p, before = F.col("price"), F.lag("price").over(_by_date())
     r = prices.select("series_id", "date", "price", F.when((p > 0) & (before > 0), F.log(p / before)).alias("ret"))
-    return r.where("ret is not null").select("series_id", "date", F.row_number().over(BY_DATE).alias("t"), "price", "ret")
+    return r.where("ret is not null").select("series_id", "date", F.row_number().over(_by_date()).alias("t"), "price", "ret")
 
 
 def non_positive(prices: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def flagged(returns: DataFrame, dates: tuple[str, ...]) -> DataFrame:
 def without(returns: DataFrame, dates: tuple[str, ...]) -> DataFrame:
     """The robustness variant: flagged days left out and t counted anew."""
     kept = returns.where(~F.col("date").isin([F.lit(d).cast("date") for d in dates]))
-    return kept.withColumn("t", F.row_number().over(BY_DATE))
+    return kept.withColumn("t", F.row_number().over(_by_date()))
 
 
 def summary(returns: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def summary(returns: DataFrame) -> DataFrame:
 def aligned(returns: DataFrame, prices: DataFrame) -> DataFrame:
     """Returns with the price of their day, or else the last one before."""
     p = prices.select("series_id", "date", F.col("price").alias("found"))
-    filled = F.last("found", ignorenulls=True).over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    filled = F.last("found", ignorenulls=True).over(_by_date().rowsBetween(Window.unboundedPreceding, 0))
     return returns.drop("price").join(p, ["series_id", "date"], "left").withColumn("price", filled).drop("found")
 
 
@@ -67,7 +68,7 @@ def cross_validated(primary: DataFrame, other: DataFrame) -> DataFrame:
 
 def shifted(primary: DataFrame, other: DataFrame, shifts: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
     """cross_validated()'s correlation with the other series moved by rows."""
-    moved = [F.struct(F.lit(k).alias("shift"), (F.lag("price", k) if k >= 0 else F.lead("price", -k)).over(BY_DATE).alias("b")) for k in shifts]
+    moved = [F.struct(F.lit(k).alias("shift"), (F.lag("price", k) if k >= 0 else F.lead("price", -k)).over(_by_date()).alias("b")) for k in shifts]
     o = other.select("series_id", "date", F.array(*moved).alias("m")).select("series_id", "date", F.inline("m"))
     both = primary.select("series_id", "date", F.col("price").alias("a")).join(o, ["series_id", "date"]).where("a is not null and b is not null")
     return both.groupBy("series_id", "shift").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("corr"), F.avg(F.abs(F.try_divide("a", "b") - 1)).alias("mean_abs_diff"))
@@ -77,9 +78,9 @@ def zero_volume_moves(bars: DataFrame, large: float) -> DataFrame:
     """By series: share of days without volume, and how often a move above
     large follows such a day and any day."""
     p = bars.select("series_id", "date", "volume", F.col("close").alias("price"))
-    before = F.lag("price").over(BY_DATE)
+    before = F.lag("price").over(_by_date())
     p = p.withColumn("ret", F.when((F.col("price") > 0) & (before > 0), F.log(F.col("price") / before)))
-    nxt = (F.abs(F.lead("ret").over(BY_DATE)) > large).cast("double")
+    nxt = (F.abs(F.lead("ret").over(_by_date())) > large).cast("double")
     return p.withColumn("next_large", nxt).groupBy("series_id").agg(
         F.avg((F.col("volume") == 0).cast("double")).alias("zero_share"), F.avg(F.when(F.col("volume") == 0, F.col("next_large"))).alias("after_zero"), F.avg("next_large").alias("base_rate")
     )

@@ -12,7 +12,7 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 def hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Bars by event time; an hour closes when the watermark passes it."""
-    e = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type")
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type")
     return e.agg(
         F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
         F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.count(F.lit(1)).alias("volume"),
