@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_row_key
+from .common import with_row_key, written
 
 _BASE = 0x100000001B3
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -28,6 +28,7 @@ class Params:
     block: int = 8000  # anchor occurrences sorted together
     strings: int = 250_000  # strings sorted together
     shallow: int = 2  # 8-byte words of the multikey sort
+    broadcast_ids: int = 1_000_000  # most ids that are broadcast (8 MB)
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
@@ -96,21 +97,28 @@ def _anchored(docs: DataFrame, p: Params) -> DataFrame:
 _CONTEXT = "h long, rid long, code long, context binary"
 
 
-def _contexts(docs: DataFrame, repeated: DataFrame, p: Params) -> DataFrame:
-    """_CONTEXT rows for repeated (rid, marks of (h, code, n)): the bytes from
-    the first string of each anchor to the end of its last one. For an anchor
-    with over p.hot occurrences, a row for each string instead, under the
-    string's own hash, so that its occurrences are dealt out by string."""
+#: Bit of a code that says that its anchor has over p.hot occurrences.
+_HOT = 1 << 62
+
+
+def _contexts(text: DataFrame, repeated: DataFrame, p: Params) -> DataFrame:
+    """_CONTEXT rows for repeated (rid, codes): the bytes from the first string
+    of each anchor to the end of its last one. For an anchor with over p.hot
+    occurrences, a row for each string instead, under the string's own hash, so
+    that its occurrences are dealt out by string."""
 
     def run(batches):
         for pdf in batches:
             out = []
-            for rid, raw, marks in zip(pdf["rid"], pdf["bytes"], pdf["marks"]):
-                for m in marks:
-                    code = m["code"]
+            for rid, raw, codes in zip(pdf["rid"], pdf["bytes"], pdf["codes"]):
+                places = (np.asarray(codes) & ~_HOT) >> 16
+                grams = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), p.gram)[places]
+                hashes = gram_hashes(grams.T, p.gram)[0].view(np.int64)
+                for h, code in zip(hashes.tolist(), codes):
+                    hot, code = code & _HOT, int(code) & ~_HOT
                     place, a, z = code >> 16, (code >> 8) & 255, code & 255
-                    if m["n"] <= p.hot:
-                        out.append((m["h"], rid, code, raw[place - a: place - z + p.length]))
+                    if not hot:
+                        out.append((h, rid, code, raw[place - a: place - z + p.length]))
                         continue
                     for d in range(z, a + 1):
                         s = raw[place - d: place - d + p.length]
@@ -118,8 +126,7 @@ def _contexts(docs: DataFrame, repeated: DataFrame, p: Params) -> DataFrame:
                         out.append((key, rid, place << 16 | d << 8 | d, s))
             yield pd.DataFrame(out, columns=["h", "rid", "code", "context"])
 
-    text = docs.select("rid", F.col("text").cast("binary").alias("bytes"))
-    return repeated.join(text, "rid").select("rid", "bytes", "marks").mapInPandas(run, _CONTEXT)
+    return repeated.join(text, "rid").select("rid", "bytes", "codes").mapInPandas(run, _CONTEXT)
 
 
 def _ties(order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,18 +259,30 @@ def _repeats(contexts: DataFrame, p: Params) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInPandas(run, "rid long, first long, last long")
 
 
-def repeats(keyed: DataFrame, p: Params = Params()) -> DataFrame:
+def copies(keyed: DataFrame, p: Params = Params()) -> DataFrame:
+    """(rid, first, last) of texts of p.length bytes or more that equal an
+    earlier one: all of their strings are repeats."""
+    long = keyed.select("rid", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")).where(F.col("n") >= p.length)
+    least = long.groupBy("digest").agg(F.min("rid").alias("original"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    return long.join(least, "digest").where("rid <> original").select("rid", F.lit(0).cast("long").alias("first"), (F.col("n") - p.length).alias("last"))
+
+
+def repeats(keyed: DataFrame, text: DataFrame, p: Params = Params()) -> DataFrame:
     """(rid, first, last) for keyed (rid, text): runs of starts of strings of
     p.length bytes that also start earlier.
 
-    Only anchors that occur twice can lie in such strings; the others, most of
-    the text, end at the first shuffle of 24 bytes each.
+    Whole copies are told by digest and take no further part. Of the others only
+    anchors that occur twice can lie in such strings; the rest, most of the
+    text, ends at the first shuffle of 24 bytes each.
     """
-    a = _anchored(keyed, p)
+    whole = written(copies(keyed, p), "copies")
+    few = F.broadcast(whole.select("rid")) if whole.count() <= p.broadcast_ids else whole.select("rid")
+    a = _anchored(keyed.join(few, "rid", "left_anti"), p)
     n = F.count(F.lit(1)).over(_by_hash())
     twice = a.withColumn("n", n).where("n > 1")
-    marks = twice.groupBy("rid").agg(F.collect_list(F.struct("h", "code", "n")).alias("marks"))
-    return _repeats(_contexts(keyed, marks, p), p)
+    code = F.when(F.col("n") > p.hot, F.col("code").bitwiseOR(F.lit(_HOT))).otherwise(F.col("code"))
+    codes = twice.groupBy("rid").agg(F.collect_list(code).alias("codes"))
+    return _repeats(_contexts(text, codes, p), p).unionByName(whole)
 
 
 def _by_hash():
@@ -297,8 +316,9 @@ def removed(keyed: DataFrame, p: Params = Params(), whole_characters: bool = Fal
                 out.append((rid, len(raw), int(gone.sum()), n_spans, kept))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _CUT.split(", ")])
 
-    spans = repeats(keyed, p).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    text = keyed.select("rid", F.col("text").cast("binary").alias("bytes"))
+    # the same exchange of texts serves both joins
+    text = keyed.where("rid is not null").select("rid", F.col("text").cast("binary").alias("bytes"))
+    spans = repeats(keyed, text, p).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return text.join(spans, "rid", "left").select("rid", "bytes", "spans").mapInPandas(run, _CUT)
 
 
