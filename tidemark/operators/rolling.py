@@ -25,6 +25,14 @@ def blocked(rows: DataFrame, before: int, first: int, block: int) -> DataFrame:
     return spread.where((t >= start - before) & (t < start + block)).withColumn("target", t >= start).drop("_last")
 
 
+def dealt(blocks: DataFrame) -> DataFrame:
+    """blocked rows, a block whole in one task and the blocks over many: rows are
+    few and fits long, so adaptive execution would put all into one task."""
+    spark = blocks.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return blocks.repartition(n, "series_id", "block")
+
+
 def _per_alpha(df: DataFrame, model: str, values: dict[float, tuple[Column, Column]], failed: Column) -> DataFrame:
     """Long forecasts from a (var, es) pair of columns for each alpha."""
     each = F.array(*(F.struct(F.lit(a).alias("alpha"), v.alias("var"), e.alias("es")) for a, (v, e) in values.items()))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import Config
-from .rolling import FORECAST, blocked
+from .rolling import FORECAST, blocked, dealt
 
 #: variant -> (Student-t observations, correlated innovations)
 VARIANTS = {"SV-Gaussian": (False, False), "SV-t": (True, False), "SV-Leverage": (False, True), "SV-t-Leverage": (True, True)}
@@ -210,7 +210,7 @@ def _names(variant: str) -> list[str]:
 
 def _refits(returns: DataFrame, c: Config) -> DataFrame:
     """A group a refit: the window before it and the days it serves."""
-    return blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.refit_every)
+    return dealt(blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.refit_every))
 
 
 def forecasts(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler()) -> DataFrame:

@@ -79,8 +79,7 @@ def _cross(spark, d):
 
 def _sv(variant):
     def query(spark, d):
-        r = _returns(spark, d).where("series_id = '1-URGENT' and t <= 460")
-        return sv.forecasts(r, variant, Config(window=250, refit_every=105), sv.Sampler(150, 150))
+        return sv.forecasts(_returns(spark, d), variant, SHORT)
     return query
 
 
@@ -134,7 +133,7 @@ QUERIES = {
     "sv_leverage": _sv("SV-Leverage"),
     "sv_t_leverage": _sv("SV-t-Leverage"),
     "sv_posterior_histogram": lambda s, d: report.histogram(
-        sv.posterior(_returns(s, d).where("series_id = '1-URGENT' and t <= 260"), "SV-t", Config(window=250), sv.Sampler(200, 200)), "phi", ["series_id", "variant"]),
+        sv.posterior(_returns(s, d), "SV-t", SHORT), "phi", ["series_id", "variant", "refit_t"]),
 }
 
 
