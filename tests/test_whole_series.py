@@ -3,7 +3,7 @@
 import pytest
 
 from tidemark.config import Config
-from tidemark.operators import report, sv
+from tidemark.operators import garch, report, sv
 from tidemark.plans import catalog
 
 
@@ -32,3 +32,11 @@ def test_posteriors_are_told_apart(spark, sf, monkeypatch):
     monkeypatch.setattr(sv, "posterior", lambda r, v, c: made(r.where("series_id = '1-URGENT' and t <= 300"), v, c, sv.Sampler(40, 40)))
     got = catalog.QUERIES["sv_posterior_histogram"](spark, "/root/testdata/sf0.01").toPandas()
     assert set(got["refit_t"]) == {251, 293}
+
+
+@pytest.mark.parametrize("name", ["garch_fit", "egarch_fit"])
+def test_garch_takes_every_day(spark, monkeypatch, name):
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(garch, "forecasts", lambda returns, *a, **b: returns)
+    got = _days(catalog.QUERIES[name](spark, sf))
+    assert got == _days(catalog.QUERIES["log_returns"](spark, sf)) and max(t for _, t in got) > 450

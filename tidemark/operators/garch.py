@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from ..config import Config
 from ..functions import stats
-from .rolling import blocked
+from .rolling import blocked, dealt
 
 _MOST = 50.0
 
@@ -142,5 +142,5 @@ def forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", p: int = 1, q:
 
     schema = "series_id string, model string, date date, t int, alpha double, actual_return double, var double, es double, estimation_failed boolean, loglik double, aic double, bic double"
     b = blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.block)
-    got = b.groupBy("series_id", "block").applyInPandas(one, schema)
+    got = dealt(b).groupBy("series_id", "block").applyInPandas(one, schema)
     return got if with_fit else got.drop("loglik", "aic", "bic")

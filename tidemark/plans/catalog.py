@@ -124,8 +124,8 @@ QUERIES = {
     "return_histogram": lambda s, d: _rounded(report.histogram(_returns(s, d), "ret", ["series_id"]), centre=8, density=6, normal_density=6, median=8),
     "refit_schedule": lambda s, d: rolling.refit_schedule(_returns(s, d), Config(window=250)),
     "garch_filter_fixed": lambda s, d: _rounded(rolling.fixed_garch(_returns(s, d), *GARCH_FIXED), variance=6),
-    "garch_fit": lambda s, d: garch.forecasts(_returns(s, d).where("t <= 450"), SHORT, "GARCH", with_fit=True),
-    "egarch_fit": lambda s, d: garch.forecasts(_returns(s, d).where("t <= 450"), SHORT, "EGARCH", with_fit=True),
+    "garch_fit": lambda s, d: garch.forecasts(_returns(s, d), SHORT, "GARCH", with_fit=True),
+    "egarch_fit": lambda s, d: garch.forecasts(_returns(s, d), SHORT, "EGARCH", with_fit=True),
     "arch_lm": lambda s, d: diagnostics.arch_lm(_returns(s, d)),
     "adf": lambda s, d: diagnostics.adf(_returns(s, d)),
     "sv_gaussian": _sv("SV-Gaussian"),
