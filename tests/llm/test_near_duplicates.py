@@ -81,3 +81,54 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(300, 200), (200, 250)]
     got = {r.node: r.comp for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 140)) and got[300] == got[250] == got[200] == 200
+
+
+@pytest.mark.parametrize("block", [1_000_000, 20_000])
+def test_large_buckets_leave_no_pair_out(spark, block):
+    """Documents of one template, hardly unlike enough, that hide pairs."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(50_000)]
+    template = list(rng.choice(words, 430))
+    texts = []
+    for _ in range(60):
+        own = list(rng.choice(words, 70))
+        texts.append(" ".join(template + own))
+        texts.append(" ".join(template + own[:24] + list(rng.choice(words, 46))))  # at least 0.8
+    p = d.Params(bands=6, block_shingles=block)
+    cache, n = d.Words(), len(texts)
+    sets = [d.shingles(t, p.words, cache) for t in texts]
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    keys = d.band_keys(d.signatures(np.concatenate(sets), np.ones(len(owner)), owner, n, p.bands * p.rows, p.darts), p.bands, p.rows)
+    up = list(range(n))
+    for j in range(n):
+        for i in range(j):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if (keys[i] == keys[j]).any() and both >= p.similarity * (len(sets[i]) + len(sets[j]) - both):
+                up = [up[i] if u == up[j] else u for u in up]
+    want = {i: min(k for k in range(n) if up[k] == up[i]) for i in range(n)}
+    assert 10 < n - len(set(want.values())) < n / 2 + 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in d.near_duplicates(df, p).collect()} == want
+
+
+def test_joined_components():
+    rng = np.random.default_rng(9)
+    base = rng.choice(2000, 60, replace=False)
+    sets = []
+    for _ in range(90):
+        s = base.copy()
+        s[: int(rng.integers(0, 16))] = rng.integers(2000, 2100)
+        sets.append(np.unique(np.concatenate([s, rng.integers(3000, 3040, int(rng.integers(0, 9)))])).astype("<u4"))
+    comp = rng.integers(0, 70, 90)
+
+    def parts(pairs):
+        up = comp.copy()
+        for i, j in pairs:
+            up[up == up[j]] = up[i]
+        return {frozenset(np.flatnonzero(up == u).tolist()) for u in up}
+
+    for side in (np.zeros(90), rng.integers(0, 2, 90)):
+        brute = [(i, j) for i in range(90) for j in range(i) if (len(set(side)) == 1 or side[i] != side[j])
+                 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        got = d.joined(comp, side, sets, 0.8)
+        assert set(got) <= {p for i, j in brute for p in ((i, j), (j, i))} and len(got) < len(set(comp)) and parts(got) == parts(brute)

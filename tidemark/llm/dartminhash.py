@@ -31,8 +31,8 @@ class Params:
     darts: int = 8  # expected darts a coordinate in the first throw
     batch_elements: int = 100_000
     group_rows: int = 2000  # rows that share a copy of a hub's set
-    small: int = 16  # members of a bucket that are all compared
-    hot: int = 20_000  # members of a bucket that one task takes
+    small: int = 16  # members of a bucket that are paired by id
+    block_shingles: int = 1_000_000  # shingles of a bucket that are dealt out together
     broadcast_ids: int = 1_000_000  # most ids that are broadcast (8 MB)
 
 
@@ -230,65 +230,110 @@ def linked(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def candidates(comp: np.ndarray, n: np.ndarray, bands: np.ndarray, p: Params) -> list[tuple[int, int]]:
-    """Pairs of members of a bucket that lie in different components and whose
-    sizes allow the similarity. A group of up to p.small is paired whole. A
-    larger one is split by each further band in turn, so that its pairs share
-    two bands or more; a pair at the least similarity, which shares seven on
-    average, shares fewer than two with a chance of 0.002."""
-    out: list[tuple[int, int]] = []
-    stack = [(np.arange(len(comp)), 0)]
-    while stack:
-        at, column = stack.pop()
-        if (comp[at] == comp[at[0]]).all():
-            continue
-        if len(at) <= p.small or column >= bands.shape[1]:
-            i, j = np.triu_indices(len(at), 1) if len(at) <= p.small else (np.zeros(len(at) - 1, int), np.arange(1, len(at)))
-            a, b = at[i], at[j]
-            near = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= p.similarity * np.maximum(n[a], n[b]))
-            out += list(zip(a[near].tolist(), b[near].tolist()))
+def _others(placed: DataFrame, p: Params) -> DataFrame:
+    """The distinct pairs (a, b) of members of a bucket of placed (bucket, rid,
+    n, comp) that lie in different components and whose sizes allow the
+    similarity; for buckets of up to p.small members."""
+    x = placed.groupBy("bucket").agg(F.collect_list(F.struct("rid", "n", "comp")).alias("x")).select("x", F.explode("x").alias("u"))
+    pair = F.filter("x", lambda v: (v["rid"] > F.col("u.rid")) & (v["comp"] != F.col("u.comp")) & (F.least(v["n"], F.col("u.n")) >= F.lit(p.similarity) * F.greatest(v["n"], F.col("u.n"))))
+    return x.select(F.col("u.rid").alias("a"), F.explode(F.transform(pair, lambda v: v["rid"])).alias("b")).distinct()
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin to begin + n - 1 of each, in a row."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def joined(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float, chunk: int = 1 << 22) -> list[tuple[int, int]]:
+    """Pairs of at least the similarity that join all the components that such
+    pairs join; sets have distinct elements. Pairs of two sides only, unless all
+    are of one.
+
+    Exact: of two alike sets, each cut to its rarest elements, as many as leave
+    too few for the similarity, some element is in both. A pair has a member
+    outside the largest component, so those alone look for others.
+    """
+    _, root, size = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(size) < 2:
+        return []
+    n = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token = rank[at]
+    token = token[np.lexsort((token, owner))]
+    begin = np.cumsum(n) - n
+    rare = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    rare = np.minimum(rare, n)
+    head = _ranges(begin, rare)
+    by = np.argsort(token[head], kind="stable")
+    held = owner[head][by]
+    held_n = np.bincount(token[head], minlength=len(count))
+    held_at = np.cumsum(held_n) - held_n
+    both_sides = len(np.unique(side)) > 1
+    has = np.zeros(len(count), bool)
+    out = []
+    for x in np.flatnonzero(root != size.argmax()).tolist():
+        t = token[begin[x]: begin[x] + rare[x]]
+        c = np.unique(held[_ranges(held_at[t], held_n[t])])
+        c = c[(root[c] != root[x]) & (np.minimum(n[c], n[x]) >= similarity * np.maximum(n[c], n[x]))]
+        if both_sides:
+            c = c[side[c] != side[x]]
+        if not len(c):
             continue
-        for c in range(column, bands.shape[1]):
-            key = bands[at, c]
-            if (key == key[0]).all():
-                continue  # the bucket's own band, or one that splits nothing
-            by = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.diff(key[by])) + 1
-            stack += [(at[g], c + 1) for g in np.split(by, cut) if len(g) > 1]
+        has[token[begin[x]: begin[x] + n[x]]] = True
+        step = max(1, chunk // int(n[c].max()))
+        for low in range(0, len(c), step):
+            some = c[low: low + step]
+            some = some[root[some] != root[x]]
+            if not len(some):
+                continue
+            both = np.add.reduceat(has[token[_ranges(begin[some], n[some])]].astype(np.int64), np.cumsum(n[some]) - n[some])
+            for y in some[both >= similarity * (n[some] + n[x] - both)].tolist():
+                if root[y] != root[x]:
+                    out.append((x, y))
+                    root[root == root[y]] = root[x]
+        has[token[begin[x]: begin[x] + n[x]]] = False
     return out
 
 
-def _others(placed: DataFrame, p: Params) -> DataFrame:
-    """The distinct candidates (a, b) of all buckets in placed (bucket, rid, n,
-    comp, bands): buckets meet in one task each, one at a time."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rid, comp, n, bucket = (rows[c].to_numpy() for c in ("rid", "comp", "n", "bucket"))
-        bands = np.stack(rows["bands"].to_numpy())
-        pairs = set()
-        for g in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(bucket)) + 1):
-            for i, j in candidates(comp[g], n[g], bands[g], p):
-                x, y = int(rid[g[i]]), int(rid[g[j]])
-                pairs.add((min(x, y), max(x, y)))
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"]).astype("int64")
+def _joined(keyed: DataFrame, placed: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of p.similarity or more that join the components of each
+    bucket of placed (bucket, rid, comp, held) as all its pairs do; held: the
+    shingles of the bucket.
+
+    A bucket of over p.block_shingles is dealt out in blocks by rid, and each
+    two of its blocks meet, so what a task holds does not grow with the bucket.
+    """
+    placed = written(placed, "large")
+    blocks = F.ceil(F.col("held") / p.block_shingles)
+    own = placed.select("bucket", "rid", "comp", F.pmod(F.xxhash64("rid"), blocks).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    rows = own.select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rid", "comp", "side")
+    sets = _sets(keyed, placed.select("rid").distinct(), p)
+    dealt = rows.join(sets, "rid").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def run(batches):
-        held, rows = [], 0
+        key, rid, comp, side, sets = None, [], [], [], []
+
+        def work():
+            got = joined(np.array(comp), np.array(side), sets, p.similarity)
+            return pd.DataFrame([(rid[i], rid[j]) for i, j in got], columns=["a", "b"]).astype("int64")
+
         for pdf in batches:
-            if not len(pdf):
-                continue
-            held.append(pdf)
-            rows += len(pdf)
-            if rows >= 2000:
-                whole = pd.concat(held, ignore_index=True)
-                cut = int(np.searchsorted(whole["bucket"].to_numpy(), whole["bucket"].iloc[-1]))
-                if cut:
-                    yield work(whole.iloc[:cut].reset_index(drop=True))
-                held, rows = [whole.iloc[cut:]], len(whole) - cut
-        if rows:
-            yield work(pd.concat(held, ignore_index=True))
+            for b, lo, hi, r, c, s, raw in zip(pdf["bucket"], pdf["lo"], pdf["hi"], pdf["rid"], pdf["comp"], pdf["side"], pdf["shingles"]):
+                if key != (b, lo, hi):
+                    if rid:
+                        yield work()
+                    key, rid, comp, side, sets = (b, lo, hi), [], [], [], []
+                rid.append(r)
+                comp.append(c)
+                side.append(s)
+                sets.append(np.frombuffer(raw, "<u4"))
+        if rid:
+            yield work()
 
-    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def classes(keyed: DataFrame, p: Params = Params()) -> DataFrame:
@@ -298,7 +343,8 @@ def classes(keyed: DataFrame, p: Params = Params()) -> DataFrame:
     Rows with equal shingle sets are one from the start. In each bucket of each
     band all are compared with the least; after that only members of different
     components are, so a large group of near copies costs a comparison a member.
-    A bucket of over p.hot members is dealt out by its members' other bands.
+    Buckets of up to p.small members pair them by id; in larger ones the sets
+    meet by their rarest shingles (joined), so no pair of a bucket is left out.
     """
     s = written(_described(keyed, p), "signatures")
     rep = s.groupBy("same").agg(F.min("rid").alias("rep"))
@@ -313,13 +359,11 @@ def classes(keyed: DataFrame, p: Params = Params()) -> DataFrame:
     star = shared.where(sizes & (F.col("rid") != F.col("a"))).select("a", F.col("rid").alias("b")).distinct()
     links = written(linked(keyed, star, p), "links")
     comp = written(components(links), "components")
-    placed = shared.where("m > 2").join(comp, shared.rid == comp.node, "left").select("bucket", "rid", "m", F.coalesce("comp", "rid").alias("comp"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    still = placed.join(several, "bucket", "left_semi").join(chosen, "rid").select("bucket", "rid", "m", "n", "comp", "bands")
-    one = still.where(F.col("m") <= p.hot).select("bucket", "rid", "n", "comp", "bands")
-    by_band = still.where(F.col("m") > p.hot).select(F.col("bucket").alias("own"), "rid", "n", "comp", "bands", F.explode("bands").alias("other"))
-    dealt = by_band.where("other <> own").select(F.xxhash64("own", "other").alias("bucket"), "rid", "n", "comp", "bands")
-    more = linked(keyed, _others(one.unionByName(dealt), p), p)
+    placed = shared.where("m > 2").join(comp, shared.rid == comp.node, "left").select("bucket", "rid", "m", "n", F.coalesce("comp", "rid").alias("comp"))
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("held")).where("lo < hi").select("bucket", "held")
+    still = placed.join(several, "bucket")
+    few = linked(keyed, _others(still.where(F.col("m") <= p.small), p), p)
+    more = few.union(_joined(keyed, still.where(F.col("m") > p.small), p))
     final = components(links.union(more))
     return members.join(final, members.rep == final.node, "left").select("rid", F.coalesce("comp", "rep").alias("class"))
 
