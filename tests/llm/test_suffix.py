@@ -92,3 +92,20 @@ def test_cleaned(spark):
     got = {r.doc_id: r for r in s.cleaned(df).collect()}
     assert s.cleaned(df).columns == df.columns and set(got) == {1, 2, 4}
     assert got[2].text == "x" and got[2].n_chars == 1 and got[1].text == t
+
+
+def test_common_line_is_never_gathered(spark, monkeypatch):
+    rnd = random.Random(6)
+    line = "".join(rnd.choice("abcdefghijk") for _ in range(104))
+    texts = ["".join(rnd.choice("lmnopqrstuv") for _ in range(40 + i)) + line + "".join(rnd.choice("lmnopqrstuv") for _ in range(30)) for i in range(40)]
+    most, gathered = [], s._repeats
+
+    def watched(contexts, p):
+        most.append(max([r["count"] for r in contexts.groupBy("h").count().collect()], default=0))
+        return gathered(contexts, p)
+
+    monkeypatch.setattr(s, "_repeats", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in s.without_repeats(df, s.Params(hot=10)).orderBy("doc_id").collect()]
+    assert got == _brute([t.encode() for t in texts], 100) and max(most) <= 10
+    assert sum(r[1] for r in got) >= 39 * 104

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import with_row_key, written
@@ -24,7 +24,7 @@ class Params:
     length: int = 100
     gram: int = 32  # bytes of an anchor: a power of two
     chunk: int = 1 << 22  # windows of a text taken at once
-    hot: int = 100_000  # occurrences of an anchor above which single strings are dealt out
+    hot: int = 100_000  # occurrences of an anchor above which its strings meet as digests
     block: int = 8000  # anchor occurrences sorted together
     strings: int = 250_000  # strings sorted together
     shallow: int = 2  # 8-byte words of the multikey sort
@@ -97,38 +97,52 @@ def _anchored(docs: DataFrame, p: Params) -> DataFrame:
 _CONTEXT = "h long, rid long, code long, context binary"
 
 
-#: Bit of a code that says that its anchor has over p.hot occurrences.
-_HOT = 1 << 62
-
-
 def _contexts(text: DataFrame, repeated: DataFrame, p: Params) -> DataFrame:
     """_CONTEXT rows for repeated (rid, codes): the bytes from the first string
-    of each anchor to the end of its last one. For an anchor with over p.hot
-    occurrences, a row for each string instead, under the string's own hash, so
-    that its occurrences are dealt out by string."""
+    of each anchor to the end of its last one."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for rid, raw, codes in zip(pdf["rid"], pdf["bytes"], pdf["codes"]):
-                places = (np.asarray(codes) & ~_HOT) >> 16
+                places = np.asarray(codes) >> 16
                 grams = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), p.gram)[places]
                 hashes = gram_hashes(grams.T, p.gram)[0].view(np.int64)
                 for h, code in zip(hashes.tolist(), codes):
-                    hot, code = code & _HOT, int(code) & ~_HOT
-                    place, a, z = code >> 16, (code >> 8) & 255, code & 255
-                    if not hot:
-                        out.append((h, rid, code, raw[place - a: place - z + p.length]))
-                        continue
-                    for d in range(z, a + 1):
-                        s = raw[place - d: place - d + p.length]
-                        key = int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
-                        out.append((key, rid, place << 16 | d << 8 | d, s))
+                    place, a, z = int(code) >> 16, (int(code) >> 8) & 255, int(code) & 255
+                    out.append((h, rid, code, raw[place - a: place - z + p.length]))
             yield pd.DataFrame(out, columns=["h", "rid", "code", "context"])
 
     return repeated.join(text, "rid").select("rid", "bytes", "codes").mapInPandas(run, _CONTEXT)
 
 
+def _hot_repeats(text: DataFrame, hot: DataFrame, p: Params) -> DataFrame:
+    """(rid, first, last) of the repeats among the strings of hot (rid, codes).
+
+    Strings meet as digests in a grouped minimum, which is taken before the
+    shuffle too; a digest in over p.hot places is sent to all tasks."""
+
+    def run(batches):
+        for pdf in batches:
+            keys, rids, starts = [], [], []
+            for rid, raw, codes in zip(pdf["rid"], pdf["bytes"], pdf["codes"]):
+                for code in map(int, codes):
+                    for start in range((code >> 16) - ((code >> 8) & 255), (code >> 16) - (code & 255) + 1):
+                        keys.append(hashlib.blake2b(raw[start: start + p.length], digest_size=16).digest())
+                        rids.append(rid)
+                        starts.append(start)
+            yield pd.DataFrame({"key": keys, "rid": np.array(rids, np.int64), "start": np.array(starts, np.int64)})
+
+    strings = written(hot.join(text, "rid").select("rid", "bytes", "codes").mapInPandas(run, "key binary, rid long, start long"), "strings")
+    place = F.struct("rid", "start")
+    least = strings.groupBy("key").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    least = written(least, "least")
+    many = F.broadcast(least.where(F.col("m") > p.hot))
+    rest = strings.join(many, "key", "left_anti").join(least.where(F.col("m") <= p.hot), "key")
+    both = strings.join(many, "key").select(*rest.columns).union(rest)
+    return both.where(place != F.col("least")).select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
+
+
 def _ties(order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The members of groups of two or more, and their groups, numbered anew."""
     new = np.concatenate([[True], group[1:] != group[:-1]])
@@ -245,7 +259,7 @@ def _repeats(contexts: DataFrame, p: Params) -> DataFrame:
                 continue
             held.append(pdf)
             rows += len(pdf)
-            if rows < p.block:
+            if rows < p.block or held[0]["h"].iloc[0] == pdf["h"].iloc[-1]:
                 continue
             whole = pd.concat(held, ignore_index=True)
             h = whole["h"].to_numpy()
@@ -273,22 +287,34 @@ def repeats(keyed: DataFrame, text: DataFrame, p: Params = Params()) -> DataFram
 
     Whole copies are told by digest and take no further part. Of the others only
     anchors that occur twice can lie in such strings; the rest, most of the
-    text, ends at the first shuffle of 24 bytes each.
+    text, ends at the first shuffle of 24 bytes each. The places of an anchor in
+    over p.hot of them are never gathered.
     """
     whole = written(copies(keyed, p), "copies")
     few = F.broadcast(whole.select("rid")) if whole.count() <= p.broadcast_ids else whole.select("rid")
     a = _anchored(keyed.join(few, "rid", "left_anti"), p)
-    n = F.count(F.lit(1)).over(_by_hash())
-    twice = a.withColumn("n", n).where("n > 1")
-    code = F.when(F.col("n") > p.hot, F.col("code").bitwiseOR(F.lit(_HOT))).otherwise(F.col("code"))
-    codes = twice.groupBy("rid").agg(F.collect_list(code).alias("codes"))
-    return _repeats(_contexts(text, codes, p), p).unionByName(whole)
-
-
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("h")
+    hot = written(_hot(a, p), "hot")
+    marked = a.join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # a hot anchor's places need not meet
+    n = F.count(F.lit(1)).over(Window.partitionBy("hot", F.when(F.col("hot"), F.xxhash64("rid", "code")).otherwise(F.col("h"))))
+    twice = marked.withColumn("n", n).where("hot or n > 1")
+    if not hot.count():
+        codes = twice.groupBy("rid").agg(F.collect_list("code").alias("codes"))
+        return _repeats(_contexts(text, codes, p), p).unionByName(whole)
+    codes = written(twice.groupBy("rid", "hot").agg(F.collect_list("code").alias("codes")), "codes")
+    cold = _repeats(_contexts(text, codes.where("not hot").drop("hot"), p), p)
+    return cold.unionByName(_hot_repeats(text, codes.where("hot").drop("hot"), p)).unionByName(whole)
+
+
+def _hot(anchored: DataFrame, p: Params) -> DataFrame:
+    """(h, hot) of the anchors in over p.hot places, hot true. Only hashes whose
+    last 16 bits are in as many places are counted singly."""
+    part = F.col("h").bitwiseAND(F.lit(0xFFFF))
+    parts = written(anchored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.hot).select("part"), "parts")
+    if not parts.count():
+        return parts.select(F.col("part").alias("h"), F.lit(True).alias("hot"))
+    some = anchored.join(F.broadcast(parts), part == F.col("part"), "left_semi")
+    return some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.hot).select("h", F.lit(True).alias("hot"))
 
 
 _CUT = "rid long, n_bytes long, n_removed long, n_spans long, kept binary"
