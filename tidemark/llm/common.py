@@ -3,6 +3,7 @@ stages, document keys and connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,15 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is made and set.
+    Where the session names none, a temporary folder is made and set, but only
+    on a local master, where driver and executors are one machine; elsewhere it
+    is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = _LOCAL.get(sc.applicationId)
         if at is None:
             at = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
@@ -35,12 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for t in tables:
+        jvm, sc = t.sparkSession._jvm, t.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_row_key(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
@@ -77,27 +86,30 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str, carry: bool = Fals
     )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """(node, comp) of every node of edges (a, b); comp is the least node.
 
     Alternating large-star and small-star steps, each a grouped minimum and a
     join, written between rounds. A hub is only ever grouped with a map-side
-    minimum; its rows are joined, never gathered.
+    minimum; its rows are joined, never gathered. The rounds grow with the
+    logarithm of the nodes; if the edges are no forest of stars after most of
+    them, that is an error, not an answer.
     """
-    e = checkpointed(edges.select("a", "b").where("a <> b").distinct())
-    last = None
-    for _ in range(rounds):
+    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    for _ in range(most):
+        # done where every child has one parent and no parent is a child
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(e.select("b", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child + parent > 1")
+        if open_.isEmpty():
+            break
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").distinct()
-        least2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = checkpointed(small.union(least2.select("a", F.col("m").alias("b"))).distinct())
-        sign = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-        if sign == last:
-            break
-        last = sign
-    own = e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp")
-    roots = own.select(F.col("comp").alias("node"), "comp").distinct()
-    return own.union(roots)
+        down = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        dropped(e)
+        e = new
+    else:
+        raise RuntimeError(f"no components after {most} rounds")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

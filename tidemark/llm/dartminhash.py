@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, with_row_key, written
+from .common import components, dropped, with_row_key, written
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -29,9 +29,9 @@ class Params:
     bands: int = 36
     rows: int = 7
     darts: int = 8  # expected darts a coordinate in the first throw
+    counts: bool = False  # weigh a shingle by its count in the text; else by 1
     batch_elements: int = 100_000
     group_rows: int = 2000  # rows that share a copy of a hub's set
-    small: int = 16  # members of a bucket that are paired by id
     block_shingles: int = 1_000_000  # shingles of a bucket that are dealt out together
     broadcast_ids: int = 1_000_000  # most ids that are broadcast (8 MB)
 
@@ -137,22 +137,37 @@ class Words(dict):
         return h
 
 
-def shingles(text: str, size: int, cache: Words) -> np.ndarray:
-    """The distinct hashes of all runs of size words (lower case, between white
-    space) in order; of a shorter text its words together; none of an empty one."""
+def weighted(text: str, size: int, cache: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, in order, and the counts of all runs of size words
+    (lower case, between white space); of a shorter text its words together;
+    none of an empty one."""
     w = text.lower().split()
     if not w:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
     m = max(1, len(h) - size + 1)
     s = np.full(m, np.uint64(len(w) if len(w) < size else size))
     for j in range(min(size, len(h))):
         s = mixed(s * _GOLD + h[j: j + m])
-    return np.unique(s)
+    return np.unique(s, return_counts=True)
+
+
+def shingles(text: str, size: int, cache: Words) -> np.ndarray:
+    return weighted(text, size, cache)[0]
+
+
+def units(text: str, p: Params, cache: Words) -> np.ndarray:
+    """Distinct hashes whose Jaccard similarity is that of the weighted sets: a
+    shingle itself and, with p.counts, one more for each further time it occurs."""
+    s, n = weighted(text, p.words, cache)
+    if not p.counts:
+        return s
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.unique(mixed(np.repeat(s, n) + _GOLD * nth.astype(np.uint64)))
 
 
 def _described(docs: DataFrame, p: Params) -> DataFrame:
-    """(rid, same, n, bands): same identifies the set of shingles."""
+    """(rid, same, n, bands): same identifies the weighted set of shingles."""
 
     def run(batches):
         import xxhash
@@ -162,17 +177,18 @@ def _described(docs: DataFrame, p: Params) -> DataFrame:
             texts, rids = pdf["text"].tolist(), pdf["rid"].to_numpy()
             low = 0
             while low < len(texts):
-                sets, held, high = [], 0, low
+                sets, counts, held, high = [], [], 0, low
                 while high < len(texts) and held < p.batch_elements:
-                    sets.append(shingles(texts[high], p.words, cache))
-                    held += len(sets[-1])
+                    x, c = weighted(texts[high], p.words, cache)
+                    sets.append(x)
+                    counts.append(c if p.counts else np.ones(len(x), np.int64))
+                    held += int(counts[-1].sum())
                     high += 1
-                e = np.concatenate(sets)
-                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                sig = signatures(e, np.ones(len(e)), owner, len(sets), p.bands * p.rows, p.darts)
+                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                sig = signatures(np.concatenate(sets), np.concatenate(counts).astype(np.float64), owner, len(sets), p.bands * p.rows, p.darts)
                 yield pd.DataFrame({
-                    "rid": rids[low:high], "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "n": [len(s) for s in sets], "bands": list(band_keys(sig, p.bands, p.rows)),
+                    "rid": rids[low:high], "same": [xxhash.xxh3_128_digest(x.tobytes() + c.tobytes()) for x, c in zip(sets, counts)],
+                    "n": [int(c.sum()) for c in counts], "bands": list(band_keys(sig, p.bands, p.rows)),
                 })
                 low = high
 
@@ -187,7 +203,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
         for pdf in batches:
             for low in range(0, len(pdf), 500):
                 some = pdf.iloc[low: low + 500]
-                sets = [np.unique((shingles(t, p.words, cache) >> np.uint64(32)).astype("<u4")).tobytes() for t in some["text"]]
+                sets = [np.unique((units(t, p, cache) >> np.uint64(32)).astype("<u4")).tobytes() for t in some["text"]]
                 yield pd.DataFrame({"rid": some["rid"].to_numpy(), "shingles": sets})
 
     wanted = written(wanted, "wanted")
@@ -230,15 +246,6 @@ def linked(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def _others(placed: DataFrame, p: Params) -> DataFrame:
-    """The distinct pairs (a, b) of members of a bucket of placed (bucket, rid,
-    n, comp) that lie in different components and whose sizes allow the
-    similarity; for buckets of up to p.small members."""
-    x = placed.groupBy("bucket").agg(F.collect_list(F.struct("rid", "n", "comp")).alias("x")).select("x", F.explode("x").alias("u"))
-    pair = F.filter("x", lambda v: (v["rid"] > F.col("u.rid")) & (v["comp"] != F.col("u.comp")) & (F.least(v["n"], F.col("u.n")) >= F.lit(p.similarity) * F.greatest(v["n"], F.col("u.n"))))
-    return x.select(F.col("u.rid").alias("a"), F.explode(F.transform(pair, lambda v: v["rid"])).alias("b")).distinct()
-
-
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places begin to begin + n - 1 of each, in a row."""
     return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -336,36 +343,42 @@ def _joined(keyed: DataFrame, placed: DataFrame, p: Params) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
+def _contracted(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """links (a, b) between the components comp (rid, c) of their ends."""
+    for side in ("a", "b"):
+        links = links.join(comp.withColumnRenamed("rid", side), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    return links.select("a", "b")
+
+
 def classes(keyed: DataFrame, p: Params = Params()) -> DataFrame:
     """(rid, class) of every row of keyed (rid, text): rows are in a class if a
     chain of pairs of p.similarity or more joins them; class is its least rid.
 
-    Rows with equal shingle sets are one from the start. In each bucket of each
-    band all are compared with the least; after that only members of different
-    components are, so a large group of near copies costs a comparison a member.
-    Buckets of up to p.small members pair them by id; in larger ones the sets
-    meet by their rarest shingles (joined), so no pair of a bucket is left out.
+    Rows with equal weighted sets are one from the start. Each of the others is
+    first compared with one head, the least of all it shares a bucket with: one
+    comparison a row, which makes one component of a large group of near copies.
+    What is left are the buckets that still span components. Their sets meet by
+    their rarest shingles (joined), so every pair that shares a band is linked,
+    compared or excluded by a bound, whatever the size of its bucket.
     """
     s = written(_described(keyed, p), "signatures")
     rep = s.groupBy("same").agg(F.min("rid").alias("rep"))
-    members = s.select("rid", "same").join(rep, "same").select("rid", "rep")
-    chosen = s.join(rep.select(F.col("rep").alias("rid")), "rid", "left_semi").where("n > 0").select("rid", "n", "bands")
-    rows = chosen.select("rid", "n", F.explode("bands").alias("bucket"))
-    least = rows.groupBy("bucket").agg(F.min(F.struct("rid", "n")).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = rows.join(least, "bucket").select("bucket", "rid", "n", F.col("least.rid").alias("a"), F.col("least.n").alias("a_n"), "m")
-    shared = written(shared, "buckets")
-    # sets of too unlike sizes cannot be alike
-    sizes = F.least("n", "a_n") >= F.lit(p.similarity) * F.greatest("n", "a_n")
-    star = shared.where(sizes & (F.col("rid") != F.col("a"))).select("a", F.col("rid").alias("b")).distinct()
-    links = written(linked(keyed, star, p), "links")
-    comp = written(components(links), "components")
-    placed = shared.where("m > 2").join(comp, shared.rid == comp.node, "left").select("bucket", "rid", "m", "n", F.coalesce("comp", "rid").alias("comp"))
+    members = written(s.join(rep, "same").select("rid", "rep", "n", F.when(F.col("rid") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    rows = members.where("rid = rep and n > 0").select("rid", "n", F.explode("bands").alias("bucket"))
+    least = rows.groupBy("bucket").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    shared = written(rows.join(least, "bucket").select("bucket", "rid", "n", "a"), "buckets")
+    heads = shared.where("rid <> a").groupBy("rid").agg(F.min("a").alias("a")).select("a", F.col("rid").alias("b"))
+    links = written(linked(keyed, heads, p), "links")
+    first = written(components(links), "components")
+    placed = shared.join(first, shared.rid == first.node, "left").select("bucket", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
     several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("held")).where("lo < hi").select("bucket", "held")
-    still = placed.join(several, "bucket")
-    few = linked(keyed, _others(still.where(F.col("m") <= p.small), p), p)
-    more = few.union(_joined(keyed, still.where(F.col("m") > p.small), p))
-    final = components(links.union(more))
-    return members.join(final, members.rep == final.node, "left").select("rid", F.coalesce("comp", "rep").alias("class"))
+    more = written(_joined(keyed, placed.join(several, "bucket"), p), "more")
+    comp = first.select(F.col("node").alias("rid"), F.col("comp").alias("c"))
+    second = components(_contracted(more, comp))
+    top = members.select("rid", "rep").join(comp, F.col("rep") == comp.rid, "left").select(members.rid, F.coalesce("c", "rep").alias("c"))
+    out = written(top.join(second, top.c == second.node, "left").select("rid", F.coalesce("comp", "c").alias("class")), "classes")
+    dropped(s, members, shared, links, first, more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -379,7 +392,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     read.
     """
     keyed = with_row_key(docs, "doc_id", "text")
-    c = written(classes(keyed, p), "classes")
+    c = classes(keyed, p)
     ids = keyed.select("rid", "doc_id")
     heads = ids.join(c.select(F.col("class").alias("rid")).distinct(), "rid").select(F.col("rid").alias("class"), F.col("doc_id").alias("class_id"))
     return c.join(ids, "rid").join(heads, "class").select("doc_id", "class_id", (F.col("rid") == F.col("class")).alias("kept"))

@@ -17,7 +17,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, hold_mod: in
 
     The choice reads ids and labels only; its 2 * per_class ids are the proven
     bound of the broadcast that picks their texts out of the documents. Labels
-    that are null are skipped; if an id has several, the largest counts.
+    that are null are skipped; if an id has several, the largest counts. If
+    several documents have an id, the least text is taken, so rows are bounded
+    too.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -31,6 +33,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, hold_mod: in
     ]
     chosen = part[0].union(part[1])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y")).toPandas()
-    rows = rows.drop_duplicates().sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
-    return rows, totals
+    some = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min((F.col("y") > 0).cast("int")).alias("y"))
+    rows = some.toArrow().sort_by("doc_id")
+    return rows.select(["text", "y"]).to_pandas(), totals

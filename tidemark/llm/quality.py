@@ -54,10 +54,10 @@ def fit(texts: list[str], y: np.ndarray, totals: dict[int, int], p: Params) -> t
     vec = rng.uniform(-1 / p.dim, 1 / p.dim, (1 << p.bits, p.dim)).astype(np.float32)
     out = rng.uniform(-0.1, 0.1, (2, p.dim)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    docs = []
+    docs = []  # 8 bytes a distinct feature
     for t in texts:
         u, n = np.unique(buckets(t, p), return_counts=True)
-        docs.append((u, (n / max(1, n.sum())).astype(np.float32)))
+        docs.append((u.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     steps = 2 * max(len(ones), len(zeros))
     for epoch in range(p.epochs):
