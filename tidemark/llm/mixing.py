@@ -15,6 +15,7 @@ from .common import written
 #: Most sources whose table is broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 _SECTIONS = 16
+MADE = ("mix_tokens", "mix_weight", "mix_copies", "mix_position")
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,10 @@ def exponent(totals: DataFrame, p: Params) -> tuple[float, float, float]:
 
     1 keeps the shares and 0 makes sources equal; entropy and repetition fall as
     the exponent grows. It is searched from 0 to 1, or to 16 for an entropy
-    below that of the shares. Each job
-    narrows the range to a sixteenth and returns sums only.
+    below that of the shares. Each job cuts the range in sixteen parts (four
+    bisections at once) and returns sums only. A limit that no exponent of the
+    range meets is an error; for an entropy above that of equal sources, they
+    are made equal.
     """
     t = totals.where("tokens > 0")
     total, least, most = t.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
@@ -77,12 +80,15 @@ def exponent(totals: DataFrame, p: Params) -> tuple[float, float, float]:
         good = [fits(f) for f in figures(grid)]
         k = good.index(True) if True in good else len(grid)
         low, high = ([low] + grid)[k], (grid + [high])[k]
-    z = figures([high])[0][0]
+    best = figures([high])[0]
+    if not (fits(best) or p.max_repetition is not None and best[2] <= p.max_repetition * (1 + 1e-9)):
+        raise ValueError(f"no exponent to {high} meets {p}: entropy {best[1]}, most passes {best[2]}")
+    z = best[0]
     return high, z, float(p.budget_tokens or most * z / (most / total) ** high)
 
 
 def _position(doc_id: Column, text: Column, epoch: Column, p: Params) -> Column:
-    return F.xxhash64(F.lit(p.seed), epoch, doc_id, F.xxhash64(text))
+    return F.xxhash64(F.lit(p.seed), epoch, doc_id, F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
 def plan(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -129,34 +135,42 @@ def plan(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs plus mix_tokens, mix_weight and mix_copies: how often each row is
-    taken. Rows with equal doc_id and text share their position and so their
-    copies. Texts that are null or without tokens are passed as often as their
-    source; a source without tokens has weight 0 and one pass, so that nothing
-    is lost for want of a share. An empty table gives no rows. docs may have
-    other columns, but not ones named like the three or starting with _mix_.
+    """docs plus mix_tokens, mix_weight, mix_copies (how often each row is
+    taken) and mix_position (its place in the permutation of the first pass).
+
+    Rows with equal doc_id and text share their position and so their copies.
+    Texts that are null or without tokens are passed as often as their source; a
+    source without tokens has weight 0 and one pass, so that nothing is lost for
+    want of a share. An empty table gives no rows. Columns of docs that are
+    named like one of the four give way to it; all others pass unread.
     """
     s = plan(docs, p)
-    s = s.select(F.col("key").alias("_mix_key"), F.col("weight").alias("mix_weight"), F.col("passes").alias("_mix_passes"), F.col("last").alias("_mix_last"))
     few = F.broadcast(s) if s.count() <= BROADCAST_SOURCES else s
-    more = _position(F.col("doc_id"), F.coalesce("text", F.lit("")), F.col("_mix_passes"), p) <= F.col("_mix_last")
-    return (
-        docs.withColumn("_mix_key", _key(F.col("source"))).join(few, "_mix_key")
-        .withColumn("mix_tokens", words(F.col("text")))
-        .withColumn("mix_copies", F.col("_mix_passes") + F.coalesce(more, F.lit(False)).cast("long"))
-        .drop("_mix_key", "_mix_passes", "_mix_last")
+    rows = docs.select(_key(F.col("source")).alias("key"), F.struct(*docs.columns).alias("row"))
+    place = lambda epoch: _position(F.col("row.doc_id"), F.col("row.text"), epoch, p)
+    more = F.coalesce(place(F.col("passes")) <= F.col("last"), F.lit(False))
+    return rows.join(few.drop("tokens"), "key").select(
+        *(F.col("row")[c].alias(c) for c in docs.columns if c not in MADE),
+        words(F.col("row.text")).alias("mix_tokens"), F.col("weight").alias("mix_weight"),
+        (F.col("passes") + more.cast("long")).alias("mix_copies"), place(F.lit(0).cast("long")).alias("mix_position"),
     )
 
 
 def realised(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of docs, each as often as mixed() says, columns as given."""
-    m = mixed(docs, p)
-    return m.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.greatest("mix_copies", F.lit(1))))).where("_mix_epoch <= mix_copies").select(*docs.columns)
+    """The rows of docs, each as often as mixed() says, columns as given, pass
+    by pass and within a pass in the order of its permutation of all sources'
+    documents: written part by part, they are in that order."""
+    names = docs.columns
+    m = mixed(docs.select(F.struct(*names).alias("row"), "doc_id", "source", "text"), p)
+    epochs = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("mix_copies") - 1, F.lit(0)))
+    m = m.where("mix_copies > 0").select("row", "doc_id", "text", F.explode(epochs).alias("epoch"))
+    m = m.select("row", "epoch", _position(F.col("doc_id"), F.col("text"), F.col("epoch"), p).alias("position"))
+    return m.repartitionByRange("epoch", "position").sortWithinPartitions("epoch", "position").select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tokens, its source's weight and its copies at a
-    repetition limit of 4."""
+    """Every document's tokens, its source's weight, its copies at a repetition
+    limit of 4 and its place in the first pass."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).select(
-        "doc_id", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_copies").alias("copies")
+        "doc_id", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_copies").alias("copies"), F.col("mix_position").alias("position")
     )
