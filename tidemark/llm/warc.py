@@ -202,9 +202,10 @@ def resolved(read: DataFrame) -> DataFrame:
     record; a revisit's length and page come from the response it refers to."""
     slim = written(read.select("record_id", "record_type", "page_id", "refers_id", "payload_digest", F.octet_length("payload").cast("long").alias("n")), "records")
     first = slim.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("n").alias("m"))
-    return slim.join(first, "refers_id", "left").select(
-        "page_id", F.coalesce("n", "m").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
-    )
+    # responses, most of the rows, refer to nothing and take no part in the join
+    own = slim.where("refers_id is null").select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    others = slim.where("refers_id is not null").join(first, "refers_id", "left")
+    return own.union(others.select("page_id", F.coalesce("n", "m"), "payload_digest", "record_type", "refers_to"))
 
 
 def archived(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
