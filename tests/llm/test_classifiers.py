@@ -81,3 +81,62 @@ def test_features():
     stamp = np.zeros(1 << 18, np.int32)
     h = textfeatures.char_ngrams(c, (2,), 18)
     assert sorted(textfeatures.first_of_each(h, stamp)) == sorted(set(h.tolist()))
+
+
+def test_null_ids_beside_large_ones(spark):
+    docs, labels = _made(spark, 60)
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "one two"), (None, "x"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    for run in (toxicity.toxicity, quality.quality):
+        assert {r.doc_id for r in run(df, labels).collect()} == {big, None, big + 2}
+
+
+def test_scores_match_brute_force(spark):
+    """Scores recomputed text by text with plain dictionaries of n-grams."""
+    docs, labels = _made(spark, 150)
+    p = toxicity.Params(bits=22, rounds=20)
+    rows, totals = training_sample(docs, labels, "toxic", 4, 2, p.per_class)
+    w, bias = toxicity.fit(list(rows["text"]), rows["y"].to_numpy(np.int64), totals, p)
+    number = {}
+
+    def grams(t):
+        return {t[i: i + n] for n in p.sizes for i in range(len(t) - n + 1)}
+
+    for t in rows["text"]:
+        for g in grams(t.lower()):
+            number[g] = int(textfeatures.char_ngrams(textfeatures.code_points(g), (len(g),), p.bits)[0])
+    # log-count ratios by counting in how many texts of each class an n-gram is
+    pos, neg = ({}, {})
+    for t, y in zip(rows["text"], rows["y"]):
+        for b in {number[g] for g in grams(t.lower())}:
+            (pos if y else neg)[b] = (pos if y else neg).get(b, 0) + 1
+    n1, n0 = int(rows["y"].sum()), int((1 - rows["y"]).sum())
+    for b in np.flatnonzero(w):
+        r = np.log((pos.get(b, 0) + 1) / (n1 + 2)) - np.log((neg.get(b, 0) + 1) / (n0 + 2))
+        assert abs(r) >= p.least_ratio and pos.get(b, 0) + neg.get(b, 0) >= p.least_docs
+    got = {(r.doc_id, r.score) for r in toxicity.scored(docs, w, bias, p).collect()}
+    for r in docs.collect():
+        t = (r.text or "").lower()
+        z = bias + sum(float(w[b]) for b in {number.get(g, int(textfeatures.char_ngrams(textfeatures.code_points(g), (len(g),), p.bits)[0])) for g in grams(t)})
+        want = 1 / (1 + np.exp(-z))
+        assert any(i == r.doc_id and s == pytest.approx(want, abs=1e-6) for i, s in got)
+
+
+def test_quality_scores_match_brute_force(spark):
+    docs, labels = _made(spark, 120)
+    p = quality.Params(epochs=2)
+    w, bias = quality.model(docs, labels, p)
+    got = [(r.doc_id, r.score) for r in quality.quality(docs, labels, p).collect()]
+
+    def one(t):
+        c = textfeatures.code_points(t)
+        words = [x for x in textfeatures.words(c)]
+        b = [int(x) for x in textfeatures.mixed(np.array(words + [quality._SAME for x, y in zip(words, words[1:]) if x == y], np.uint64), p.bits)]
+        for n in p.sizes:
+            b += [int(textfeatures.char_ngrams(c[i: i + n], (n,), p.bits)[0]) for i in range(len(c) - n + 1)]
+        z = bias + (sum(float(w[x]) for x in b) / len(b) if b else 0.0)
+        return 1 / (1 + np.exp(-z))
+
+    for r in docs.where("length(text) < 1000 or text is null").collect():
+        want = one(r.text or "")
+        assert any(i == r.doc_id and s == pytest.approx(want, abs=1e-5) for i, s in got)

@@ -98,3 +98,12 @@ def test_best_fit_is_the_fullest_row():
                 left.append(64 - n)
         assert len(rows) == len(left)
         assert sorted(64 - int(lengths[r].sum()) for r in rows) == sorted(int(x) for x in left)
+
+
+def test_null_ids_beside_large_ones(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b c"), (None, "d " * 90), (big + 2, None), (None, None)], "doc_id long, text string").coalesce(1)
+    for pieces in (packing.packed(df, size=16), bestfit.segments(bestfit.token_matrices(df, size=16))):
+        rows = pieces.collect()
+        assert {r.doc_id for r in rows} == {big, big + 2, None}
+        assert sum(r.length for r in rows) == sum(map(len, _expected(["a b c", "d " * 90, None, None])))

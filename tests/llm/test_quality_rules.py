@@ -59,3 +59,52 @@ def test_accuracies_recover_rules():
     chance, share = q.accuracies(patterns.astype(float), times.astype(float))
     assert share == pytest.approx(0.85, abs=0.05)
     assert chance[1, 0, 2] == pytest.approx(0.98, abs=0.03) and chance[0, 2, 0] == pytest.approx(0.7 * 0.9, abs=0.12)
+
+
+def test_null_ids_beside_large_ones(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "one two"), (None, "x"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in q.judged(df).collect()} == {big, None, big + 2}
+
+
+def test_kept_matches_brute_force(spark):
+    """The verdicts recomputed row by row: plain EM over documents, not over
+    vote patterns, then Bayes by hand."""
+    good, bad = _texts()
+    rows = list(enumerate(good + bad + ["", "a b " * 100]))
+    got = {r.doc_id: r for r in q.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def vote(name, c):
+        num, den = (dict(zip(q._COUNTS, c))[x] for x in q.RULES[name][0])
+        if not den:
+            return 0
+        x = num / den
+        low = {"word_length": (2.5 <= x <= 12, x < 2 or x > 20), "symbols": (x <= 0.05, x > 0.2), "dup_lines": (x <= 0.15, x > 0.4), "repeats": (x <= 0.2, x > 0.35), "capitals": (x <= 0.15, x > 0.4), "letters": (x >= 0.6, x < 0.3)}[name]
+        return 1 if low[0] else -1 if low[1] else 0
+
+    votes = [[vote(n, q.counts_of(t)) for n in q.RULES] for _, t in rows]
+    p_good = [0.1 if -1 in v else 0.95 for v in votes]
+    for _ in range(500):
+        chance = []
+        for c in (0, 1):
+            weight = [g if c else 1 - g for g in p_good]
+            chance.append([])
+            for j in range(len(q.RULES)):
+                tally = {x: 0.1 + sum(w for w, v in zip(weight, votes) if v[j] == x) for x in (-1, 0, 1)}
+                chance[c].append({x: n / sum(tally.values()) for x, n in tally.items()})
+        for j in range(len(q.RULES)):
+            if chance[0][j][-1] < chance[1][j][-1]:
+                both = {x: (chance[0][j][x] + chance[1][j][x]) / 2 for x in (-1, 0, 1)}
+                chance[0][j] = chance[1][j] = both
+        share = min(0.99, max(0.01, (sum(p_good) + 1) / (len(rows) + 2)))
+        new = []
+        for v in votes:
+            a, b = share, 1 - share
+            for j, x in enumerate(v):
+                a, b = a * chance[1][j][x], b * chance[0][j][x]
+            new.append(a / (a + b))
+        p_good = new
+    for (i, t), g in zip(rows, p_good):
+        c = q.counts_of(t)
+        failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        assert got[i].base_failed == failed and got[i].posterior == pytest.approx(g, abs=1e-6) and got[i].kept == (not failed and g >= 0.5)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import as_long, as_text, written
 from .tokens import Vocabulary, tokenised
 
 SEQUENCE = 2048
@@ -101,7 +101,7 @@ def matrices(tokens: DataFrame, size: int = SEQUENCE, block_tokens: int = BLOCK_
         for pdf in batches:
             for doc, raw in zip(pdf["doc_id"], pdf["ids"]):
                 ids = np.frombuffer(raw, "<u2")
-                doc = None if pd.isna(doc) else int(doc)
+                doc = None if doc is None else int(doc)
                 pieces += [(ids[low: low + size], doc, low, len(ids)) for low in range(0, len(ids), size)]
                 held += len(ids)
                 if held >= block_tokens:
@@ -110,7 +110,7 @@ def matrices(tokens: DataFrame, size: int = SEQUENCE, block_tokens: int = BLOCK_
         if pieces:
             yield emit(part, row, pieces)
 
-    return tokens.select("doc_id", "ids").mapInPandas(run, _MATRIX)
+    return tokens.select(as_text("doc_id"), "ids").mapInPandas(run, _MATRIX)
 
 
 def numbered(packed: DataFrame) -> DataFrame:
@@ -147,7 +147,10 @@ def segments(packed: DataFrame) -> DataFrame:
                     out.append((doc, start, b - a, zlib.crc32(ids[a:b].tobytes()), n, r.sequence_id, a))
             yield pd.DataFrame(out, columns=names)
 
-    return packed.select("ids", "cu_seqlens", "doc_ids", "starts", "doc_tokens", "sequence_id").mapInPandas(run, ", ".join(f"{c} long" for c in names))
+    made = packed.select("ids", "cu_seqlens", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "starts", "doc_tokens", "sequence_id").mapInPandas(
+        run, ", ".join(f"{c} {'string' if c == 'doc_id' else 'long'}" for c in names)
+    )
+    return as_long(made, "doc_id")
 
 
 def op9_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,16 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def as_text(name: str):
+    """A column of whole numbers as text on its way through pandas, where a
+    null beside them would turn all into floating point; as_long reads it."""
+    return F.col(name).cast("string").alias(name)
+
+
+def as_long(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def with_row_key(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """docs as (rid, <id_col>, <text_col>) with a unique long rid that follows
     the order of (id, text); carry adds all of docs' columns as a struct, row.

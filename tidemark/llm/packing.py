@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import as_long, as_text, written
 from .tokens import Vocabulary, tokenised
 
 SEQUENCE = 2048
@@ -53,7 +53,8 @@ def cut(tokens: DataFrame, size: int = SEQUENCE, with_ids: bool = False) -> Data
             names = [c.split()[0] for c in _PIECES.split(", ")] + ["ids"] * with_ids
             yield pd.DataFrame(out, columns=names)
 
-    return tokens.select("doc_id", "ids", "base").mapInPandas(run, _PIECES + ", ids binary" * with_ids)
+    made = tokens.select(as_text("doc_id"), "ids", "base").mapInPandas(run, _PIECES.replace("doc_id long", "doc_id string") + ", ids binary" * with_ids)
+    return as_long(made, "doc_id")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import as_long, as_text, written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split() that does not end a word here.
@@ -61,7 +61,7 @@ def counted(docs: DataFrame) -> DataFrame:
             got.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield got
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return as_long(docs.select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, " + ", ".join(f"{c} long" for c in _COUNTS)), "doc_id")
 
 
 def _share(a: str, b: str):

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import as_long, as_text
+
 #: A space with white space, or an end of the text, beside it.
 _ODD_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
 #: A space between two characters that are not white space: a token never spans
@@ -85,4 +87,4 @@ def tokenised(docs: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
                 start += int(n.sum())
                 yield pd.DataFrame({"part": np.int32(part), "start": at, "doc_id": some["doc_id"].to_numpy(), "n_tokens": n, "ids": ids})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "part int, start long, doc_id long, n_tokens long, ids binary")
+    return as_long(docs.select(as_text("doc_id"), "text").mapInPandas(run, "part int, start long, doc_id string, n_tokens long, ids binary"), "doc_id")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textfeatures as tf
+from .common import as_long, as_text
 from .labelled import fold, training_sample
 
 
@@ -93,7 +94,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, p: Params) -> Data
                 out[i] = b + float(w[h].sum(dtype=np.float64))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(out, -35, 35)))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return as_long(docs.select(as_text("doc_id"), "text").mapInPandas(run, "doc_id string, score double"), "doc_id")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params(), hold_mod: int = 4, hold_rest: int = 2, threshold: float = 0.3) -> DataFrame:
