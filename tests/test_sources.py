@@ -1,9 +1,12 @@
 """Readers, store, the production run and streams."""
 
+import logging
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.operators import returns
+from tidemark.operators import returns, sv
 from tidemark.plans import runner
 from tidemark.sources import prices, store
 from tidemark.streaming import monitor
@@ -41,8 +44,47 @@ def test_run_resumes(spark, sf, tmp_path):
 
 def test_robustness(spark, sf):
     bars = prices.order_bars(spark, sf).where("series_id = '1-URGENT'")
-    t = runner.robustness(bars, windows=(40, 60), models=("HistSim",), leave_out=("1997-03-03",))
-    assert t.groupBy("window", "without_flagged").count().count() == 4
+    t = runner.robustness(bars, Config(window=60), (40, 60), ("HistSim",), ("1997-03-03",), others={"same": bars})
+    assert t.groupBy("arm", "window").count().count() == 5
+    g = runner.robustness(bars.where("date < '1997-01-01'"), Config(window=60), (), ("GARCH",), (), ((1, 1, 0), (2, 1, 0)))
+    assert {r.arm for r in g.collect()} == {"orders 1,1,0", "orders 2,1,0"}
+
+
+def test_sampled_models_are_saved_as_they_go(spark, sf, tmp_path, monkeypatch):
+    bars = prices.order_bars(spark, sf).where("series_id in ('1-URGENT', '2-HIGH')")
+    r = returns.log_returns(prices.prices(bars))
+    last = r.groupBy("series_id").agg(F.max("t").alias("m")).agg(F.min("m")).first()[0]
+    c = Config(window=last - 30, refit_every=5, save_every=10, simulations=5)
+    sampler, real, calls = sv.Sampler(20, 20), sv.forecasts, []
+
+    def once(*a):
+        calls.append(a[4])
+        if len(calls) == 3:
+            raise OSError("lost")
+        return real(*a)
+
+    monkeypatch.setattr(sv, "forecasts", once)
+    with pytest.raises(RuntimeError, match="SV-t"):
+        runner.run(bars, str(tmp_path), ("SV-t",), c, sampler=sampler)
+    kept = store.ForecastStore(spark, f"{tmp_path}/forecasts")
+    assert {x.t - c.window for x in kept.load().select("t").distinct().collect()} == set(range(1, 21))  # two saves of two refits
+    runner.run(bars, str(tmp_path), ("SV-t",), c, sampler=sampler)
+    assert calls[:4] == [(0, 1), (2, 3), (4, 5), (4, 5)]
+    want = real(r, "SV-t", c, sampler).select("series_id", "t", "alpha", "var")
+    assert kept.load().select("series_id", "t", "alpha", "var").exceptAll(want).count() == 0 and kept.load().count() == want.count()
+
+
+def test_log_file(tmp_path):
+    runner.log_to(str(tmp_path))
+    runner.log.info("hello")
+    logging.basicConfig(force=True)  # closes the file
+    assert "hello" in next(tmp_path.glob("run_*.log")).read_text()
+
+
+def test_processed_prices(spark, sf, tmp_path):
+    p = prices.prices(prices.order_bars(spark, sf), mask_zero_volume=True)
+    store.save_prices(p, f"{tmp_path}/prices")
+    assert spark.read.parquet(f"{tmp_path}/prices").count() == p.where("price is not null").count()
 
 
 def test_stream(spark, sf, tmp_path):

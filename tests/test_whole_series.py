@@ -21,6 +21,7 @@ def test_volatility_takes_every_series(spark, sf, monkeypatch, name):
 
     monkeypatch.setattr(sv, "forecasts", kept)
     monkeypatch.setattr(sv, "posterior", kept)
+    monkeypatch.setattr(sv, "long_draws", lambda df, *a: df)
     monkeypatch.setattr(report, "histogram", lambda df, *a: df)
     catalog.QUERIES[name](spark, sf)
     assert seen == [(_days(catalog.QUERIES["log_returns"](spark, sf)), 250, Config().refit_every, sv.Sampler())]
@@ -31,7 +32,7 @@ def test_posteriors_are_told_apart(spark, sf, monkeypatch):
     made = sv.posterior
     monkeypatch.setattr(sv, "posterior", lambda r, v, c: made(r.where("series_id = '1-URGENT' and t <= 300"), v, c, sv.Sampler(40, 40)))
     got = catalog.QUERIES["sv_posterior_histogram"](spark, "/root/testdata/sf0.01").toPandas()
-    assert set(got["refit_t"]) == {251, 293}
+    assert set(got["refit_t"]) == {251, 293} and set(got["parameter"]) == {"phi", "sigma", "nu"}
 
 
 @pytest.mark.parametrize("name", ["garch_fit", "egarch_fit"])

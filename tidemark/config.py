@@ -15,6 +15,7 @@ class Config:
     alphas: tuple[float, ...] = (0.01, 0.05)
     significance: float = 0.05
     refit_every: int = 42
+    save_every: int = 50  # days of a sampled model after which its forecasts are saved
     block: int = 250
     day_fraction: float = 1 / 252
     kappa_least: float = 0.01

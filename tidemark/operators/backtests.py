@@ -22,18 +22,22 @@ def hits(forecasts: DataFrame) -> DataFrame:
 
 def counts(forecasts: DataFrame) -> DataFrame:
     """Observations, violations, the four transitions between neighbouring rows
-    (gaps are bridged), and the sums of the shortfall statistic."""
-    w = Window.partitionBy(*KEY).orderBy("t")
-    h = hits(forecasts).withColumn("before", F.lag("hit").over(w))
+    (gaps are bridged), and the sums of the shortfall statistic.
+
+    Rows without both figures have no hit and count nowhere, but keep their
+    group: one window and one aggregation, and the forecasts are made once.
+    """
+    usable = F.col("actual_return").isNotNull() & F.col("var").isNotNull() & ~F.isnan("actual_return") & ~F.isnan("var")
+    f = forecasts.select(*KEY, "t", "actual_return", "es", F.when(usable, (F.col("actual_return") < -F.col("var")).cast("int")).alias("hit"))
+    w = Window.partitionBy(*KEY).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    h = f.withColumn("before", F.last("hit", ignorenulls=True).over(w))
     step = lambda a, b: F.count_if((F.col("before") == a) & (F.col("hit") == b))
-    es = F.col("es").isNotNull() & ~F.isnan("es")
-    got = h.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("n_obs"), F.sum("hit").alias("n_violations"), step(0, 0).alias("n00"), step(0, 1).alias("n01"), step(1, 0).alias("n10"), step(1, 1).alias("n11"),
+    es = F.col("hit").isNotNull() & F.col("es").isNotNull() & ~F.isnan("es")
+    return h.groupBy(*KEY).agg(
+        F.count("hit").alias("n_obs"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("n_violations"),
+        step(0, 0).alias("n00"), step(0, 1).alias("n01"), step(1, 0).alias("n10"), step(1, 1).alias("n11"),
         F.count_if(es).alias("n_es"), F.sum(F.when(es, F.col("actual_return") * F.col("hit"))).alias("tail_sum"), F.avg(F.when(es, F.col("es"))).alias("mean_es"),
     )
-    every = forecasts.select(*KEY).distinct()
-    none = ("n_obs", "n_violations", "n00", "n01", "n10", "n11", "n_es")
-    return every.join(got, list(KEY), "left").fillna(0, list(none))
 
 
 def kupiec(c: DataFrame) -> DataFrame:
@@ -66,6 +70,7 @@ def christoffersen(k: DataFrame) -> DataFrame:
 
 
 def interpretation(z2: Column) -> Column:
+    # fixed values: the published labels
     return (
         F.when(z2 < 0, "ES under-estimated (model under-forecasts tail risk)").when(z2 > 0, "ES over-estimated (model over-forecasts tail risk)")
         .when(z2 == 0, "ES exactly correct (Z2=0)").otherwise("insufficient data")

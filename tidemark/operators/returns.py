@@ -51,6 +51,12 @@ def aligned(returns: DataFrame, prices: DataFrame) -> DataFrame:
     return returns.drop("price").join(p, ["series_id", "date"], "left").withColumn("price", filled).drop("found")
 
 
+def tail(rows: DataFrame, n: int) -> DataFrame:
+    """The last n rows of each series by date."""
+    last = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("date")))
+    return rows.withColumn("_last", last).where(F.col("_last") <= n).drop("_last")
+
+
 def five_sigma(returns: DataFrame, times: float = 5.0) -> DataFrame:
     w = Window.partitionBy("series_id")
     d = returns.select("*", F.avg("ret").over(w).alias("mean"), F.stddev_samp("ret").over(w).alias("std"))

@@ -46,18 +46,19 @@ def _below(a: Column, q: Column) -> Column:
 def historical_simulation(returns: DataFrame, c: Config) -> DataFrame:
     """VaR: minus the linearly interpolated quantile of the window before t; ES:
     minus the mean of the returns strictly below it, or the VaR if none is. One
-    sorted array of the window serves every alpha. Too short a series gives no
-    rows."""
+    sorted array of the window serves every alpha; only its head, up to the
+    largest alpha's quantile, goes on. Too short a series gives no rows."""
     w = Window.partitionBy("series_id", "block").orderBy("t").rowsBetween(-c.window, -1)
     b = blocked(returns, c.window, c.window + 1, max(c.block, c.window))
-    s = b.select("*", F.array_sort(F.collect_list("ret").over(w)).alias("a")).where("target")
+    head = int((c.window - 1) * max(c.alphas)) + 2
+    s = b.select("*", F.slice(F.sort_array(F.collect_list("ret").over(w)), 1, head).alias("a")).where("target")
     values = {}
     for alpha in c.alphas:
         h = (c.window - 1) * alpha
         k = int(h)
         lo, hi = F.element_at("a", k + 1), F.element_at("a", min(k + 2, c.window))
         q = lo + F.lit(h - k) * (hi - lo)
-        below = _below(F.col("a"), q)
+        below = _below(F.slice("a", 1, k + 1), q)  # the rest is not below it
         mean = F.aggregate(below, F.lit(0.0), lambda m, x: m + x) / F.size(below)
         values[alpha] = (-q, F.coalesce(F.when(F.size(below) > 0, -mean), -q))
     return _per_alpha(s, "HistSim", values, F.lit(False))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Config
 from .rolling import FORECAST, blocked, dealt
@@ -17,13 +18,36 @@ from .rolling import FORECAST, blocked, dealt
 VARIANTS = {"SV-Gaussian": (False, False), "SV-t": (True, False), "SV-Leverage": (False, True), "SV-t-Leverage": (True, True)}
 
 
+@dataclass(frozen=True)
+class Priors:
+    """mu Normal(mu_mean, mu_sd); (phi + 1) / 2 Beta(phi_a, phi_b); sigma
+    half-Cauchy of scale sigma; nu Gamma(nu_shape, nu_rate)."""
+
+    mu_mean: float = -10.0
+    mu_sd: float = 3.0
+    phi_a: float = 20.0
+    phi_b: float = 1.5
+    sigma: float = 0.5
+    nu_shape: float = 2.0
+    nu_rate: float = 0.1
+
+
+#: Wider alternatives, for robustness.
+FLAT = Priors(mu_sd=10.0, phi_a=5.0, phi_b=1.0, sigma=1.0, nu_shape=1.0, nu_rate=0.05)
+
+
 @dataclass(frozen=True)
 class Sampler:
+    """One chain counts as converged with an effective size of over 200;
+    several with all split R-hat under 1.01 and a size of over 400."""
+
     draws: int = 500
     tune: int = 500
     accept: float = 0.9
     most_steps: int = 24
     use_rho: bool = False  # whether the next return feels the correlation
+    chains: int = 1
+    priors: Priors = Priors()
 
 
 def _digamma(x: float) -> float:
@@ -37,17 +61,15 @@ def _digamma(x: float) -> float:
 
 class Posterior:
     """Log density and gradient over (mu, logit of (phi + 1) / 2, log sigma,
-    [log nu], [atanh rho], z), with the latent log variance mu + sigma z.
-
-    Priors: mu Normal(-10, 3); (phi + 1) / 2 Beta(20, 1.5); sigma half-Cauchy
-    0.5; nu Gamma(2, 0.1); rho uniform; z a unit autoregression.
+    [log nu], [atanh rho], z), with the latent log variance mu + sigma z. rho is
+    uniform, z a unit autoregression.
     """
 
-    def __init__(self, r: np.ndarray, variant: str):
+    def __init__(self, r: np.ndarray, variant: str, priors: Priors = Priors()):
         if variant not in VARIANTS:
             raise ValueError(f"unknown variant {variant!r}")
         self.r, (self.heavy, self.lever) = r, VARIANTS[variant]
-        self.k = 3 + self.heavy + self.lever
+        self.k, self.priors = 3 + self.heavy + self.lever, priors
 
     def parts(self, u: np.ndarray):
         raw = 1 / (1 + math.exp(-u[1]))
@@ -66,7 +88,7 @@ class Posterior:
         if not np.isfinite(u).all() or np.abs(u[1: self.k]).max() > 12 or abs(u[0]) > 100:
             return -math.inf, np.zeros(len(u))  # a step gone astray
         mu, raw, phi, sigma, nu, rho, z = self.parts(u)
-        n = len(z)
+        n, q0 = len(z), self.priors
         h = np.clip(mu + sigma * z, -60, 60)
         y = self.r * np.exp(-h / 2)
         eta = np.empty(n)
@@ -87,7 +109,7 @@ class Posterior:
             g = -w
         v0 = 1 - phi * phi + 1e-6
         like += 0.5 * math.log(v0) - 0.5 * v0 * z[0] ** 2 - 0.5 * (step @ step)
-        like += -0.5 * ((mu + 10) / 3) ** 2 + 20 * math.log(raw) + 1.5 * math.log1p(-raw) - math.log1p(4 * sigma * sigma) + u[2]
+        like += -0.5 * ((mu - q0.mu_mean) / q0.mu_sd) ** 2 + q0.phi_a * math.log(raw) + q0.phi_b * math.log1p(-raw) - math.log1p((sigma / q0.sigma) ** 2) + u[2]
         dh = -0.5 - g * y / (2 * c)
         de = -g * rho / c
         grad = np.empty(len(u))
@@ -96,13 +118,13 @@ class Posterior:
         dz[1:] += de[1:] - step
         dz[:-1] -= phi * (de[1:] - step)
         dphi = -(de[1:] @ z[:-1]) - de[0] * z[0] + step @ z[:-1] - phi / v0 + phi * z[0] ** 2
-        grad[0] = dh.sum() - (mu + 10) / 9
-        grad[1] = dphi * 2 * raw * (1 - raw) + 20 * (1 - raw) - 1.5 * raw
-        grad[2] = sigma * (dh @ z) + 1 - 8 * sigma * sigma / (1 + 4 * sigma * sigma)
+        grad[0] = dh.sum() - (mu - q0.mu_mean) / q0.mu_sd**2
+        grad[1] = dphi * 2 * raw * (1 - raw) + q0.phi_a * (1 - raw) - q0.phi_b * raw
+        grad[2] = sigma * (dh @ z) + 1 - 2 * sigma * sigma / (q0.sigma**2 + sigma * sigma)
         if self.heavy:
-            like += 2 * u[3] - 0.1 * nu
+            like += q0.nu_shape * u[3] - q0.nu_rate * nu
             dnu = n * (0.5 * _digamma((nu + 1) / 2) - 0.5 * _digamma(nu / 2) - 0.5 / nu) - 0.5 * lq + (nu + 1) / 2 * ((w * w / (nu * nu)) / q).sum()
-            grad[3] = dnu * nu + 2 - 0.1 * nu
+            grad[3] = dnu * nu + q0.nu_shape - q0.nu_rate * nu
         if self.lever:
             like += math.log(c2)
             drho = n * rho / c2 + (g * (-eta / c + w * rho / c2)).sum()
@@ -113,7 +135,7 @@ class Posterior:
 
 def sample(r: np.ndarray, variant: str, seed: int, s: Sampler = Sampler()) -> dict[str, np.ndarray]:
     """Draws of mu, phi, sigma, nu, rho and the last latent log variance."""
-    post, rng = Posterior(r, variant), np.random.default_rng(seed)
+    post, rng = Posterior(r, variant, s.priors), np.random.default_rng(seed)
     u = post.start()
     like, grad = post(u)
     scale = np.ones(len(u))
@@ -177,14 +199,29 @@ def effective_size(x: np.ndarray) -> float:
     return float(n / max(1e-9, 1 + 2 * total))
 
 
-def split_rhat(x: np.ndarray) -> float:
-    h = len(x) // 2
-    a, b = x[:h], x[h: 2 * h]
-    within = (a.var(ddof=1) + b.var(ddof=1)) / 2
-    between = h * np.var([a.mean(), b.mean()], ddof=1)
+def split_rhat(*chains: np.ndarray) -> float:
+    """R-hat of the halves of all chains."""
+    h = len(chains[0]) // 2
+    halves = [part for x in chains for part in (x[:h], x[h: 2 * h])]
+    within = np.mean([a.var(ddof=1) for a in halves])
+    between = h * np.var([a.mean() for a in halves], ddof=1)
     return float(np.sqrt(((h - 1) / h * within + between / h) / within)) if within > 0 else 1.0
 
 
+def fitted(x: np.ndarray, variant: str, seed: int, s: Sampler) -> tuple[dict[str, np.ndarray], bool, float, float] | None:
+    """(draws of all chains, converged, largest R-hat, least effective size) for
+    demeaned returns; None where they do not vary or nothing finite comes out."""
+    if len(x) < 2 or not x.std() > 0:
+        return None
+    chains = [sample(x, variant, seed + 7919 * k, s) for k in range(s.chains)]
+    draws = {n: np.concatenate([c[n] for c in chains]) for n in chains[0]}
+    if not all(np.isfinite(v).all() for v in draws.values()):
+        return None
+    rhat = max(split_rhat(*(c[n] for c in chains)) for n in _names(variant))
+    size = min(sum(effective_size(c[n]) for c in chains) for n in _names(variant))
+    return draws, bool(size > 200 if s.chains == 1 else rhat < 1.01 and size > 400), rhat, size
+
+
 def var_es(draws: dict[str, np.ndarray], variant: str, mean: float, alphas: tuple[float, ...], seed: int, use_rho: bool = False) -> dict[float, tuple[float, float]]:
     """VaR and ES of the next return, a simulated return a draw."""
     rng = np.random.default_rng(seed)
@@ -208,37 +245,47 @@ def _names(variant: str) -> list[str]:
     return ["mu", "phi", "sigma"] + ["nu"] * heavy + ["rho"] * lever
 
 
-def _refits(returns: DataFrame, c: Config) -> DataFrame:
+def _refits(returns: DataFrame, c: Config, refits: tuple[int, int] | None = None) -> DataFrame:
     """A group a refit: the window before it and the days it serves."""
-    return dealt(blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.refit_every))
+    b = blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.refit_every)
+    return dealt(b.where(F.col("block").between(*refits)) if refits else b)
 
 
-def forecasts(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler()) -> DataFrame:
+def forecasts(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(), refits: tuple[int, int] | None = None) -> DataFrame:
     """Long forecasts with converged, max_rhat and min_ess of the fit they use.
 
     A fit is made every c.refit_every days, from the seed c.seed + its day's
     place, and its figures serve the days up to the next; fits that did not
-    converge are used and say so. A window without variance counts as failed.
+    converge are used and say so. Where a fit fails (a window without variance)
+    that day counts as failed and the next day tries again; the next regular
+    fit keeps its day, so that refits stay independent of each other. refits:
+    the first and last number of those to make, from 0; all by default.
     """
     Posterior(np.zeros(2), variant)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        days = pdf[pdf["target"]]
-        x = pdf.loc[~pdf["target"], "ret"].to_numpy()[-c.window:]
-        got, rhat, ess = {a: (None, None) for a in c.alphas}, None, None
-        if x.std() > 0:
-            d = sample(x - x.mean(), variant, c.seed + int(days["t"].iloc[0]) - c.window - 1, s)
-            got = var_es(d, variant, float(x.mean()), c.alphas, c.seed, s.use_rho)
-            rhat, ess = max(split_rhat(d[n]) for n in _names(variant)), min(effective_size(d[n]) for n in _names(variant))
-        out = [pd.DataFrame({
-            "series_id": days["series_id"], "model": variant, "date": days["date"], "t": days["t"], "alpha": a, "actual_return": days["ret"], "var": v, "es": e,
-            "estimation_failed": v is None, "converged": bool(ess and ess > 200), "max_rhat": rhat, "min_ess": ess,
-        }) for a, (v, e) in got.items()]
-        return pd.concat(out, ignore_index=True)
+        pdf = pdf.sort_values("t").reset_index(drop=True)
+        ret, out, fit, figures = pdf["ret"].to_numpy(), [], None, {}
+        for i in np.flatnonzero(pdf["target"].to_numpy()).tolist():
+            day = pdf.iloc[i]
+            if fit is None:
+                x = ret[max(0, i - c.window): i]
+                fit = fitted(x - x.mean(), variant, c.seed + int(day["t"]) - c.window - 1, s)
+                if fit:
+                    figures = var_es(fit[0], variant, float(x.mean()), c.alphas, c.seed, s.use_rho)
+            for a in c.alphas:
+                v, e = figures.get(a, (None, None))
+                out.append((day["series_id"], variant, day["date"], int(day["t"]), a, float(day["ret"]), v, e, fit is None, bool(fit and fit[1]), *(fit[2:] if fit else (None, None))))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     schema = "series_id string, model string, date date, t int, alpha double, actual_return double, var double, es double, estimation_failed boolean, converged boolean, max_rhat double, min_ess double"
-    return _refits(returns, c).groupBy("series_id", "block").applyInPandas(one, schema).select(*FORECAST, "converged", "max_rhat", "min_ess")
+    return _refits(returns, c, refits).groupBy("series_id", "block").applyInPandas(one, schema).select(*FORECAST, "converged", "max_rhat", "min_ess")
+
+
+def long_draws(draws: DataFrame, parameters: tuple[str, ...]) -> DataFrame:
+    """posterior() with a row for each parameter: (..., parameter, value)."""
+    each = F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(p).alias("value")) for p in parameters))
+    return draws.select("series_id", "variant", "refit_t", "draw", F.inline(each))
 
 
 def posterior(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler()) -> DataFrame:
@@ -248,7 +295,9 @@ def posterior(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(
         pdf = pdf.sort_values("t")
         t = int(pdf.loc[pdf["target"], "t"].iloc[0])
         x = pdf.loc[~pdf["target"], "ret"].to_numpy()[-c.window:]
-        d = sample(x - x.mean(), variant, c.seed + t - c.window - 1, s)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "variant": variant, "refit_t": t, "draw": range(s.draws), **d})
+        d = fitted(x - x.mean(), variant, c.seed + t - c.window - 1, s)
+        if d is None:
+            return pd.DataFrame(columns=["series_id", "variant", "refit_t", "draw", "mu", "phi", "sigma", "nu", "rho", "h_last"])
+        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "variant": variant, "refit_t": t, "draw": range(len(d[0]["mu"])), **d[0]})
 
     return _refits(returns, c).groupBy("series_id", "block").applyInPandas(one, "series_id string, variant string, refit_t int, draw int, mu double, phi double, sigma double, nu double, rho double, h_last double")

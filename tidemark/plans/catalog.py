@@ -60,6 +60,11 @@ def _table(spark, d):
     return backtests.table(_both(spark, d), SHORT, monte_carlo=False)
 
 
+def _full(spark, d):
+    """With the Monte Carlo p of the shortfall test, which no SQL can draw."""
+    return backtests.table(_both(spark, d), SHORT)
+
+
 def _hs_query(c):
     return lambda s, d: _rounded(_hs(s, d, c), actual_return=8, var=8, es=8)
 
@@ -69,12 +74,11 @@ def _fit_stats(df):
 
 
 def _cross(spark, d):
-    """Orders' series against lineitem's of the same rank by name, an alignment
-    of two unlike sources on common days."""
-    a = _prices(spark, d).where(F.col("series_id").isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
-    names = F.create_map(*(F.lit(x) for p in (("A", "1-URGENT"), ("N", "2-HIGH"), ("R", "3-MEDIUM")) for x in p))
-    b = prices.prices(prices.lineitem_bars(spark, d)).withColumn("series_id", F.element_at(names, F.col("series_id")))
-    return a, b
+    """Every series of orders against one of lineitem, in turn by name: an
+    alignment of two unlike sources on common days."""
+    pair = spark.createDataFrame([(s, "ANR"[k % 3]) for k, s in enumerate(SERIES)], "name string, series_id string")
+    b = prices.prices(prices.lineitem_bars(spark, d)).join(F.broadcast(pair), "series_id").drop("series_id").withColumnRenamed("name", "series_id")
+    return _prices(spark, d), b
 
 
 def _sv(variant):
@@ -107,7 +111,9 @@ QUERIES = {
     "ou_kappa_21d": lambda s, d: _rounded(rolling.kappa_path(_fits(s, d), SHORT), kappa=6),
     "backtest_table": _table,
     "pass_summary": lambda s, d: report.pass_summary(_table(s, d)),
-    "heatmap_pivot": lambda s, d: report.heatmap(_table(s, d), list(SERIES)),
+    "backtest_table_full": lambda s, d: _full(s, d),
+    "pass_summary_full": lambda s, d: report.pass_summary(_full(s, d)),
+    "heatmap_pivot": lambda s, d: report.heatmap(_table(s, d)),
     "model_rank": lambda s, d: _rounded(report.ranking(_table(s, d)), mean_abs_z2=4),
     "bonferroni": lambda s, d: report.bonferroni(_table(s, d)),
     "hill_index": lambda s, d: _rounded(diagnostics.hill(_returns(s, d)), hill=6),
@@ -115,7 +121,9 @@ QUERIES = {
     "acf_sq_40": lambda s, d: _rounded(diagnostics.acf(_returns(s, d)), acf=8),
     "ljung_box": lambda s, d: _rounded(diagnostics.ljung_box(_returns(s, d)), q=6),
     "leverage_corr": lambda s, d: _rounded(diagnostics.leverage(_returns(s, d)), corr=8),
-    "five_sigma": lambda s, d: _rounded(returns.five_sigma(_returns(s, d), 2.5).select("series_id", "date", "ret"), ret=8),
+    "five_sigma": lambda s, d: _rounded(returns.five_sigma(_returns(s, d)).select("series_id", "date", "ret"), ret=8),
+    "large_moves": lambda s, d: _rounded(returns.five_sigma(_returns(s, d), 2.5).select("series_id", "date", "ret"), ret=8),
+    "last_100": lambda s, d: _rounded(returns.tail(_returns(s, d), 100).drop("price"), ret=8),
     "cross_validate": lambda s, d: _rounded(returns.cross_validated(*_cross(s, d)), corr=8, mean_abs_diff=8),
     "lag_shift_check": lambda s, d: _rounded(returns.shifted(*_cross(s, d)), corr=8, mean_abs_diff=8),
     "zero_volume_diag": lambda s, d: _rounded(returns.zero_volume_moves(_bars(s, d), 0.5), zero_share=8, after_zero=8, base_rate=8),
@@ -133,7 +141,7 @@ QUERIES = {
     "sv_leverage": _sv("SV-Leverage"),
     "sv_t_leverage": _sv("SV-t-Leverage"),
     "sv_posterior_histogram": lambda s, d: report.histogram(
-        sv.posterior(_returns(s, d), "SV-t", SHORT), "phi", ["series_id", "variant", "refit_t"]),
+        sv.long_draws(sv.posterior(_returns(s, d), "SV-t", SHORT), ("phi", "sigma", "nu")), "value", ["series_id", "variant", "refit_t", "parameter"]),
 }
 
 
@@ -226,8 +234,8 @@ _TABLE_SQL = f"""WITH {_HS_SQL}, {_OU_SQL}, fc AS (SELECT * FROM hs UNION ALL SE
 tab AS (SELECT series_id, model, alpha, n_obs, n_violations, round(observed_rate, 4) AS observed_rate, alpha AS expected_rate, round(kupiec_lr, 4) AS kupiec_lr, round(kupiec_p, 4) AS kupiec_p, kupiec_passed,
   round(cc_lr, 4) AS cc_lr, round(cc_p, 4) AS cc_p, cc_passed, round(ind_lr, 4) AS ind_lr, round(ind_p, 4) AS ind_p, ind_passed, round(as_z2, 4) AS as_z2, as_interpretation FROM res)"""
 _PASSES = ", ".join(f"CAST(sum(CAST({t}_passed AS INTEGER)) AS BIGINT) AS {t}_pass" for t in ("kupiec", "cc", "ind"))
-_CROSS_SQL = f"""WITH {_BARS_SQL}, a AS (SELECT series_id, date, "close" AS a FROM bars WHERE series_id IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
-b0 AS (SELECT CASE l_returnflag WHEN 'A' THEN '1-URGENT' WHEN 'N' THEN '2-HIGH' ELSE '3-MEDIUM' END AS series_id, CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice), 6) AS b FROM lineitem GROUP BY 1, 2)"""
+_CROSS_SQL = f"""WITH {_BARS_SQL}, a AS (SELECT series_id, date, "close" AS a FROM bars), pair(series_id, flag) AS (VALUES {', '.join(f"('{s}', '{'ANR'[k % 3]}')" for k, s in enumerate(SERIES))}),
+b0 AS (SELECT series_id, CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice), 6) AS b FROM lineitem JOIN pair ON flag = l_returnflag GROUP BY 1, 2)"""
 _W = "OVER (PARTITION BY series_id ORDER BY date)"
 _CELLS = ", ".join(
     f"""max(CAST({t}_passed AS INTEGER)) FILTER (WHERE series_id = '{s}' AND alpha = {a}) AS "{s}|{a}|{t}\"""" for s in SERIES for a in ALPHAS for t in ("kupiec", "cc", "ind")
@@ -242,6 +250,8 @@ def _acf_sql(lags: int, x: str) -> str:
 s AS (SELECT series_id, {sums} FROM l GROUP BY 1), acf AS ({rows})"""
 
 
+_SIGMA_SQL = f"""WITH {_RET_SQL}, z AS (SELECT *, avg(ret) OVER (PARTITION BY series_id) AS m, stddev_samp(ret) OVER (PARTITION BY series_id) AS s FROM ret)
+  SELECT series_id, date, round(ret, 8) AS ret FROM z WHERE abs(ret - m) > {{}} * s"""
 _OMEGA, _A1, _B1, _GW = GARCH_FIXED
 
 ORACLE_SQL = {
@@ -281,7 +291,9 @@ ORACLE_SQL = {
     "acf_sq_40": _acf_sql(40, "ret * ret") + " SELECT series_id, lag, round(acf, 8) AS acf FROM acf",
     "ljung_box": _acf_sql(10, "ret") + ", n AS (SELECT series_id, count(*) AS n FROM ret GROUP BY 1) SELECT series_id, n, round(n * (n + 2) * sum(acf * acf / (n - lag)), 6) AS q FROM acf JOIN n USING (series_id) GROUP BY series_id, n",
     "leverage_corr": f"WITH {_RET_SQL}, l AS (SELECT series_id, ret, pow(lead(ret) OVER (PARTITION BY series_id ORDER BY t), 2) AS sq FROM ret) SELECT series_id, round(corr(ret, sq), 8) AS corr FROM l GROUP BY 1",
-    "five_sigma": f"WITH {_RET_SQL}, z AS (SELECT *, avg(ret) OVER (PARTITION BY series_id) AS m, stddev_samp(ret) OVER (PARTITION BY series_id) AS s FROM ret) SELECT series_id, date, round(ret, 8) AS ret FROM z WHERE abs(ret - m) > 2.5 * s",
+    "five_sigma": _SIGMA_SQL.format(5.0),
+    "large_moves": _SIGMA_SQL.format(2.5),
+    "last_100": f"WITH {_RET_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS k FROM ret) SELECT series_id, date, t, round(ret, 8) AS ret FROM k WHERE k <= 100",
     "cross_validate": f"{_CROSS_SQL} SELECT series_id, count(*) AS n, round(corr(a, b), 8) AS corr, round(avg(abs(a / b - 1)), 8) AS mean_abs_diff, count(*) FILTER (WHERE a = b) AS n_equal FROM a JOIN b0 USING (series_id, date) GROUP BY 1",
     "lag_shift_check": f"""{_CROSS_SQL}, b AS (SELECT series_id, date, -1 AS shift, lead(b) {_W} AS b FROM b0 UNION ALL SELECT series_id, date, 0, b FROM b0 UNION ALL SELECT series_id, date, 1, lag(b) {_W} FROM b0)
   SELECT series_id, shift, count(*) AS n, round(corr(a, b), 8) AS corr, round(avg(abs(a / b - 1)), 8) AS mean_abs_diff FROM a JOIN b USING (series_id, date) WHERE b IS NOT NULL GROUP BY 1, 2""",

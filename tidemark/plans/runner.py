@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import argparse
 import logging
+import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import FLAGGED_DATES, Config
 from ..operators import backtests, garch, report, returns, rolling, sv
 from ..sources import prices, store
 
@@ -17,66 +19,110 @@ log = logging.getLogger("tidemark")
 MODELS = ("HistSim", "OU", "GARCH", "EGARCH", *sv.VARIANTS)
 
 
-def forecast(model: str, r: DataFrame, c: Config, sampler: sv.Sampler = sv.Sampler()) -> DataFrame:
+def forecast(model: str, r: DataFrame, c: Config, sampler: sv.Sampler = sv.Sampler(), orders: tuple[int, int, int] = (1, 1, 0), refits: tuple[int, int] | None = None) -> DataFrame:
+    """orders: p, q and o of the GARCH models. refits: those of a sampled model
+    that are made, by number."""
     if model == "HistSim":
         out = rolling.historical_simulation(r, c)
     elif model == "OU":
         out = rolling.ou_forecasts(rolling.ou_fits(r, c), c)
     elif model in ("GARCH", "EGARCH"):
-        out = garch.forecasts(r, c, model)
+        out = garch.forecasts(r, c, model, *orders)
     elif model in sv.VARIANTS:
-        out = sv.forecasts(r, model, c, sampler)
+        out = sv.forecasts(r, model, c, sampler, refits)
     else:
         raise ValueError(f"unknown model {model!r}")
     return out.select(*rolling.FORECAST)
 
 
+def _complete(kept: store.ForecastStore, r: DataFrame, model: str, c: Config, sampler: sv.Sampler) -> int:
+    """Makes and saves what model lacks; the number of jobs it took.
+
+    Only series that lack something are forecast. Sampled models are saved
+    whenever about c.save_every more days of every series are done, so a crash
+    loses no more than that; each of these jobs runs all series at once.
+    """
+    alphas = F.explode(F.array(*map(F.lit, c.alphas)))
+    due = r.where(F.col("t") > c.window).select("series_id", "t", F.lit(model).alias("model"), alphas.alias("alpha"))
+    open_rows = kept.missing(due)
+    if model in sv.VARIANTS:
+        each = max(1, -(-c.save_every // c.refit_every))
+        part = F.floor((F.col("t") - c.window - 1) / (each * c.refit_every))
+        # one number for each part of the longest series
+        parts = [(x.k * each, x.k * each + each - 1) for x in open_rows.select(part.alias("k")).distinct().orderBy("k").collect()]
+    else:
+        parts = [None] if not open_rows.isEmpty() else []
+    for refits in parts:
+        made = forecast(model, r.join(open_rows.select("series_id").distinct(), "series_id", "left_semi"), c, sampler, refits=refits)
+        have = kept.load()
+        kept.save(made if have is None else made.join(have.select(*kept.KEY), list(kept.KEY), "left_anti"))
+    return len(parts)
+
+
 def run(bars: DataFrame, path: str, models: tuple[str, ...] = MODELS, c: Config = Config(), mask_zero_volume: bool = False, sampler: sv.Sampler = sv.Sampler()) -> DataFrame:
     """Forecasts to path/forecasts and tables to path/results; returns the table
-    of backtests. Series whose forecasts of a model are whole are not computed
-    again; a model that fails is logged and the others go on."""
+    of backtests. What is there is not computed again. A model that fails is
+    logged and the others go on; after the tables are written, the failures are
+    raised together."""
     p = prices.prices(bars, mask_zero_volume=mask_zero_volume)
     r = returns.log_returns(p)
     kept = store.ForecastStore(bars.sparkSession, f"{path}/forecasts")
+    failed: dict[str, Exception] = {}
     for model in models:
-        alphas = F.explode(F.array(*map(F.lit, c.alphas)))
-        due = r.where(F.col("t") > c.window).select("series_id", "t", F.lit(model).alias("model"), alphas.alias("alpha"))
-        open_series = [x.series_id for x in kept.missing(due).select("series_id").distinct().collect()]
-        if not open_series:
-            log.info("%s: complete", model)
-            continue
         try:
-            made = forecast(model, r.where(F.col("series_id").isin(open_series)), c, sampler)
-            have = kept.load()
-            kept.save(made if have is None else made.join(have.select(*kept.KEY), list(kept.KEY), "left_anti"))
-            log.info("%s: %d series", model, len(open_series))
-        except Exception:
+            log.info("%s: %d jobs", model, _complete(kept, r, model, c, sampler))
+        except Exception as e:
             log.exception("%s failed", model)
+            failed[model] = e
     made = kept.load()
     if made is None:
-        raise RuntimeError("no model made a forecast")
+        raise RuntimeError("no model made a forecast") from next(iter(failed.values()), None)
+    for x in backtests.missing_forecasts(made).groupBy("model").agg(F.sum("n_missing").alias("n")).orderBy("model").collect():
+        log.warning("%s: %d rows without a forecast", x.model, x.n)
     table = backtests.table(made, c)
     store.write_csv(table, f"{path}/results/full_backtest_results")
     store.write_csv(report.pass_summary(table), f"{path}/results/summary_pass_counts")
+    if failed:
+        raise RuntimeError(f"failed: {', '.join(failed)}; the others' results are written") from next(iter(failed.values()))
     return table
 
 
-def robustness(bars: DataFrame, c: Config = Config(), windows: tuple[int, ...] = (750, 1000, 1250), models: tuple[str, ...] = ("HistSim", "OU"), leave_out: tuple[str, ...] = ()) -> DataFrame:
-    """Backtests for each window length, with flagged days and without."""
-    from dataclasses import replace
+def robustness(
+    bars: DataFrame, c: Config = Config(), windows: tuple[int, ...] = (750, 1000, 1250), models: tuple[str, ...] = MODELS, leave_out: tuple[str, ...] = FLAGGED_DATES,
+    orders: tuple[tuple[int, int, int], ...] = ((1, 1, 0), (2, 1, 0), (1, 2, 0), (1, 1, 1)), others: dict[str, DataFrame] | None = None, sampler: sv.Sampler = sv.Sampler(),
+) -> DataFrame:
+    """Backtests by arm: each window length, with flagged days and without; the
+    orders of the GARCH models; wider priors of the sampled ones; and other
+    bars for the same series, by name."""
+    parts = []
+
+    def add(arm: str, r: DataFrame, cw: Config, model: str, **how) -> None:
+        t = backtests.table(forecast(model, r, cw, **{"sampler": sampler, **how}), cw, monte_carlo=False)
+        parts.append(t.select(F.lit(arm).alias("arm"), F.lit(cw.window).alias("window"), "*"))
 
     r = returns.log_returns(prices.prices(bars))
-    parts = []
     for w in windows:
-        for days in {(), leave_out}:
-            one = returns.without(r, days) if days else r
-            for m in models:
-                cw = replace(c, window=w)
-                t = backtests.table(forecast(m, one, cw), cw, monte_carlo=False)
-                parts.append(t.select(F.lit(w).alias("window"), F.lit(bool(days)).alias("without_flagged"), "*"))
+        for m in models:
+            add("as is", r, replace(c, window=w), m)
+            if leave_out:
+                add("without flagged days", returns.without(r, leave_out), replace(c, window=w), m)
+    for m in models:
+        if m in ("GARCH", "EGARCH"):
+            for o in orders:
+                add("orders " + ",".join(map(str, o)), r, c, m, orders=o)
+        if m in sv.VARIANTS:
+            add("flat priors", r, c, m, sampler=replace(sampler, priors=sv.FLAT))
+        for name, b in (others or {}).items():
+            add(name, returns.log_returns(prices.prices(b)), c, m)
     return report.compiled(*parts)
 
 
+def log_to(path: str) -> None:
+    """The run's log to the console and to a file of the driver, named by the time."""
+    handlers = [logging.StreamHandler(), logging.FileHandler(f"{path}/run_{time.strftime('%Y%m%d_%H%M%S')}.log")]
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s", handlers=handlers, force=True)
+
+
 def main(args: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(description=__doc__)
     a.add_argument("sf_dir")
@@ -84,8 +130,9 @@ def main(args: list[str] | None = None) -> None:
     a.add_argument("--models", nargs="+", default=list(MODELS), choices=MODELS)
     a.add_argument("--window", type=int, default=1000)
     a.add_argument("--draws", type=int, default=500)
+    a.add_argument("--logs", default=".", help="folder of the driver for the log file")
     o = a.parse_args(args)
-    logging.basicConfig(level=logging.INFO)
+    log_to(o.logs)
     spark = SparkSession.builder.getOrCreate()
     run(prices.order_bars(spark, o.sf_dir), o.out, tuple(o.models), Config(window=o.window), sampler=sv.Sampler(o.draws, o.draws)).show(100)
 
