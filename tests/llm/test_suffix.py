@@ -55,9 +55,7 @@ def test_deep_shallow_groups_equal_strings():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, (500, 24)).astype(np.uint8)
     text[:, 4:20] = 97
-    words = np.ascontiguousarray(text[:, :16]).view(">u8").astype(np.uint64)
-    order, group = s.shallow_sort(words, np.zeros(500, np.int64), 2)
-    order, leaf = s.blind_tries(text, order, group, 16)
+    order, leaf = s.deep_shallow(text, np.zeros(500, np.int64), s.Params())
     got = {}
     for i, g in zip(order.tolist(), leaf.tolist()):
         got.setdefault(g, set()).add(i)
@@ -67,7 +65,22 @@ def test_deep_shallow_groups_equal_strings():
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
-@pytest.mark.parametrize("p", [s.Params(), s.Params(hot=2, block=20)])
+def test_multikey_quicksort_keeps_groups_apart():
+    rng = np.random.default_rng(1)
+    for n, values, depth in ((0, 2, 1), (1, 2, 1), (400, 3, 2), (3000, 2, 3), (500, 1, 2)):
+        words, group = rng.integers(0, values, (n, depth)).astype(np.uint64) << np.uint64(60), rng.integers(0, 9, n) * 1000
+        order, segment = s.multikey_quicksort(words, group)
+        want = {}
+        for i in range(n):
+            want.setdefault((group[i], *words[i].tolist()), set()).add(i)
+        got = {}
+        for i, g in zip(order.tolist(), segment.tolist()):
+            got.setdefault(g, set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+        assert len(order) == sum(map(len, got.values())) and (np.diff(segment) >= 0).all()
+
+
+@pytest.mark.parametrize("p", [s.Params(), s.Params(hot=2, block=20), s.Params(hot=2, strings=30)])
 def test_query_matches_brute_force(spark, p):
     texts = _texts(99, 60) + [None, ""]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, h string").repartition(4)
@@ -109,3 +122,12 @@ def test_common_line_is_never_gathered(spark, monkeypatch):
     got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in s.without_repeats(df, s.Params(hot=10)).orderBy("doc_id").collect()]
     assert got == _brute([t.encode() for t in texts], 100) and max(most) <= 10
     assert sum(r[1] for r in got) >= 39 * 104
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(7)
+    body = "".join(rnd.choice("abcdefghij é") for _ in range(60_000))
+    texts = [body[:30_000], "x" + body[20_000:] + body[:500], body[100:300] * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in s.without_repeats(df, s.Params(chunk=5000)).orderBy("doc_id").collect()]
+    assert got == _brute([t.encode() for t in texts], 100)

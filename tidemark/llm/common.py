@@ -67,7 +67,7 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str, carry: bool = Fals
     the order of (id, text); carry adds all of docs' columns as a struct, row.
 
     rid is the id itself where ids are whole and unique, which one pass over the
-    ids decides. Otherwise rows are ranked: range partitions are sorted and
+    ids decides (own_ids of the result says so). Otherwise rows are ranked: range partitions are sorted and
     written, and partition offsets (one row a partition) are added.
     """
     row = ["row"] if carry else []
@@ -78,7 +78,9 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str, carry: bool = Fals
         .first()
     )
     if not n or (whole == n and uniq == n):
-        return d.select(F.col(id_col).cast("long").alias("rid"), id_col, text_col, *row)
+        out = d.select(F.col(id_col).cast("long").alias("rid"), id_col, text_col, *row)
+        out.own_ids = True
+        return out
     parts = max(1, min(2048, n // 20_000 + 1))
     ranged = d.repartitionByRange(parts, F.col(id_col).asc_nulls_first(), text_col).sortWithinPartitions(
         F.col(id_col).asc_nulls_first(), text_col
@@ -89,11 +91,13 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str, carry: bool = Fals
     offsets = sizes.select(
         "p", (F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("o")
     )
-    return (
+    out = (
         keyed.withColumn("p", part)
         .join(F.broadcast(offsets), "p")
         .select((F.col("o") + F.col("m") - F.shiftleft(F.col("p"), 33)).alias("rid"), id_col, text_col, *row)
     )
+    out.own_ids = False
+    return out
 
 
 def components(edges: DataFrame, most: int = 200) -> DataFrame:

@@ -27,7 +27,7 @@ class Params:
     hot: int = 100_000  # occurrences of an anchor above which its strings meet as digests
     block: int = 8000  # anchor occurrences sorted together
     strings: int = 250_000  # strings sorted together
-    shallow: int = 2  # 8-byte words of the multikey sort
+    shallow: int = 2  # 8-byte words of the multikey quicksort
     broadcast_ids: int = 1_000_000  # most ids that are broadcast (8 MB)
 
 
@@ -119,53 +119,111 @@ def _contexts(text: DataFrame, repeated: DataFrame, p: Params) -> DataFrame:
 def _hot_repeats(text: DataFrame, hot: DataFrame, p: Params) -> DataFrame:
     """(rid, first, last) of the repeats among the strings of hot (rid, codes).
 
-    Strings meet as digests in a grouped minimum, which is taken before the
-    shuffle too; a digest in over p.hot places is sent to all tasks."""
+    A task sorts its strings some p.strings at a time; all but the earliest of
+    equal ones are repeats. What is left, one of each block, meets as digests in
+    a grouped minimum, which is taken before the shuffle too; a digest in over
+    p.hot blocks is sent to all tasks."""
+
+    def sorted_out(rid, start, raw):
+        strings = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), p.length)
+        order, leaf = deep_shallow(strings, np.zeros(len(raw), np.int64), p)
+        r, s = np.array(rid, np.int64), np.array(start, np.int64)
+        again = later(order, leaf, r, s)
+        first = np.ones(len(raw), bool)
+        first[again] = False
+        key = [hashlib.blake2b(x, digest_size=16).digest() if f else None for x, f in zip(raw, first.tolist())]
+        return pd.DataFrame({"key": key, "rid": r, "start": s})
 
     def run(batches):
+        rids, starts, raws = [], [], []
         for pdf in batches:
-            keys, rids, starts = [], [], []
             for rid, raw, codes in zip(pdf["rid"], pdf["bytes"], pdf["codes"]):
                 for code in map(int, codes):
-                    for start in range((code >> 16) - ((code >> 8) & 255), (code >> 16) - (code & 255) + 1):
-                        keys.append(hashlib.blake2b(raw[start: start + p.length], digest_size=16).digest())
-                        rids.append(rid)
-                        starts.append(start)
-            yield pd.DataFrame({"key": keys, "rid": np.array(rids, np.int64), "start": np.array(starts, np.int64)})
+                    low, high = (code >> 16) - ((code >> 8) & 255), (code >> 16) - (code & 255) + 1
+                    rids += [rid] * (high - low)
+                    starts += range(low, high)
+                    raws += [raw[x: x + p.length] for x in range(low, high)]
+                    if len(raws) >= p.strings:
+                        yield sorted_out(rids, starts, raws)
+                        rids, starts, raws = [], [], []
+        if raws:
+            yield sorted_out(rids, starts, raws)
 
     strings = written(hot.join(text, "rid").select("rid", "bytes", "codes").mapInPandas(run, "key binary, rid long, start long"), "strings")
-    place = F.struct("rid", "start")
-    least = strings.groupBy("key").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    place, open_ = F.struct("rid", "start"), strings.where("key is not null")
+    least = open_.groupBy("key").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
     least = written(least, "least")
     many = F.broadcast(least.where(F.col("m") > p.hot))
-    rest = strings.join(many, "key", "left_anti").join(least.where(F.col("m") <= p.hot), "key")
-    both = strings.join(many, "key").select(*rest.columns).union(rest)
-    return both.where(place != F.col("least")).select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
+    rest = open_.join(many, "key", "left_anti").join(least.where(F.col("m") <= p.hot), "key")
+    both = open_.join(many, "key").select(*rest.columns).union(rest)
+    again = both.where(place != F.col("least")).select("rid", "start").union(strings.where("key is null").select("rid", "start"))
+    return again.select("rid", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
 def _ties(order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The members of groups of two or more, and their groups, numbered anew."""
+    if not len(order):
+        return order, group
     new = np.concatenate([[True], group[1:] != group[:-1]])
     number = np.cumsum(new) - 1
     many = np.bincount(number)[number] > 1
     return order[many], (np.cumsum(new & many) - 1)[many]
 
 
-def shallow_sort(words: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort with 8-byte keys: (order, group) of strings that tie
-    with another of their group in the first depth words. words holds strings
-    as rows of big-endian words."""
+def multikey_quicksort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group) of the strings that tie with another of their group in all
+    of words, whose rows are strings cut in big-endian words.
+
+    Multikey quicksort, all segments a step at a time: each is parted by one word
+    into what is less than its pivot, equal, and greater; equal ones go on with
+    their next word. A string alone in its segment is sorted and leaves; a
+    segment equal in every word is done.
+    """
     order = np.argsort(group, kind="stable")
-    order, group = _ties(order, group[order])
-    for d in range(depth):
-        if not len(order):
-            break
-        key = words[order, d]
-        by = np.lexsort((key, group))
-        order, group, key = order[by], group[by], key[by]
-        new = np.concatenate([[False], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
-        order, group = _ties(order, np.cumsum(new))
-    return order, group
+    order, segment = _ties(order, group[order])
+    depth = np.zeros(len(order), np.int64)
+    done, done_segment, parts = [], [], 0
+    while len(order):
+        key = words[order, depth]
+        begin = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+        size = np.diff(np.append(begin, len(order)))
+        lo, mid, hi = key[begin], key[begin + size // 2], key[begin + size - 1]
+        pivot = np.maximum(np.minimum(lo, mid), np.minimum(np.maximum(lo, mid), hi))[segment]
+        side = (key > pivot).astype(np.int64) - (key < pivot)
+        by = np.argsort(3 * segment + side, kind="stable")
+        order, segment, depth, side = order[by], segment[by], depth[by], side[by]
+        depth += side == 0
+        part = np.cumsum(np.concatenate([[0], (segment[1:] != segment[:-1]) | (side[1:] != side[:-1])]))
+        many = np.bincount(part)[part] > 1
+        full = many & (depth == words.shape[1])
+        if full.any():
+            done.append(order[full])
+            done_segment.append(part[full] + parts)
+            parts += len(part)
+        on = many & ~full
+        order, depth = order[on], depth[on]
+        segment = np.cumsum(np.concatenate([[0], np.diff(part[on]) > 0])) if len(order) else part[:0]
+    if not done:
+        return order, segment
+    segment = np.concatenate(done_segment)
+    return np.concatenate(done), np.unique(segment, return_inverse=True)[1]
+
+
+def deep_shallow(text: np.ndarray, group: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(order, leaf) of the rows of text (n, bytes) that equal another of their
+    group: multikey quicksort by the first 8 * p.shallow bytes, then blind tries
+    of what still ties. Equal rows have equal leaves and stand together."""
+    shallow = min(8 * p.shallow, text.shape[1])
+    wide = np.zeros((len(text), -(-shallow // 8) * 8), np.uint8)
+    wide[:, :shallow] = text[:, :shallow]
+    order, segment = multikey_quicksort(wide.view(">u8").astype(np.uint64), group)
+    return blind_tries(text, order, segment, min(shallow, text.shape[1] - 1))
+
+
+def later(order: np.ndarray, leaf: np.ndarray, rid: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of equal strings all but the earliest by (rid, start)."""
+    by = np.lexsort((start[order], rid[order], leaf))
+    return order[by][np.concatenate([[False], leaf[by][1:] == leaf[by][:-1]])] if len(by) else order
 
 
 def blind_tries(text: np.ndarray, order: np.ndarray, group: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,20 +262,20 @@ def repeated_strings(h: np.ndarray, rid: np.ndarray, code: np.ndarray, context:
     earlier by (rid, start), among whole groups of equal h."""
     place, far, near = code >> 16, (code >> 8) & 255, code & 255
     # equal contexts first: all but the earliest are repeated throughout
-    same, _ = pd.factorize(np.fromiter(context, object, len(context)))
-    by = np.lexsort((place, rid, near, far, same, h))
-    key = np.stack([h, same, far, near], 1)[by]
-    head = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
-    later = by[~head]
-    out = [(rid[later], place[later] - far[later], place[later] - near[later])]
-    rep = by[head]
+    same = np.unique(h, return_inverse=True)[1].ravel() << 16 | code & 0xFFFF
+    wide = 2 * p.length - p.gram
+    text = np.frombuffer(b"".join(c.ljust(wide, b"\0") for c in context), np.uint8).reshape(len(context), wide)
+    order, leaf = deep_shallow(text, same, p)
+    again = later(order, leaf, rid, place)
+    out = [(rid[again], place[again] - far[again], place[again] - near[again])]
+    rest = np.ones(len(h), bool)
+    rest[again] = False
+    rep = np.flatnonzero(rest)
     rep = rep[np.argsort(h[rep], kind="stable")]
     rep, anchor = _ties(rep, np.cumsum(np.concatenate([[0], (h[rep][1:] != h[rep][:-1]).astype(np.int64)]))) if len(rep) else (rep, rep)
     if len(rep):
-        joined = np.frombuffer(b"".join([context[i] for i in rep.tolist()]) + bytes(8), np.uint8)
-        begin = np.concatenate([[0], np.cumsum([len(context[i]) for i in rep.tolist()])[:-1]])
-        view = np.lib.stride_tricks.sliding_window_view(joined, p.length)
         step = max(1, p.strings // len(rep))
+        window = np.arange(p.length)
         for d in range(0, int(far[rep].max()) + 1, step):  # equal strings have equal distances
             low, high = np.maximum(near[rep], d), np.minimum(far[rep], d + step - 1)
             n = np.maximum(0, high - low + 1)
@@ -225,23 +283,21 @@ def repeated_strings(h: np.ndarray, rid: np.ndarray, code: np.ndarray, context:
             if not len(of):
                 continue
             dist = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]
-            text = view[begin[of] + far[rep][of] - dist]
-            wide = np.zeros((len(of), 8 * p.shallow), np.uint8)
-            wide[:, : min(8 * p.shallow, p.length)] = text[:, : 8 * p.shallow]
-            order, group = shallow_sort(wide.view(">u8").astype(np.uint64), anchor[of] * 256 + dist, p.shallow)
-            order, leaf = blind_tries(text, order, group, min(8 * p.shallow, p.length - 1))
-            r, s = rid[rep][of[order]], place[rep][of[order]] - dist[order]
-            by = np.lexsort((s, r, leaf))
-            again = by[np.concatenate([[False], leaf[by][1:] == leaf[by][:-1]])] if len(by) else by
-            r, s = r[again], s[again]
-            by = np.lexsort((s, r))
-            r, s = r[by], s[by]
-            if len(r):
-                new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)]))
-                out.append((r[new], s[new], s[np.concatenate([new[1:], [len(s)]]) - 1]))
+            strings = text[rep[of][:, None], (far[rep][of] - dist)[:, None] + window]
+            r, s = rid[rep][of], place[rep][of] - dist
+            order, leaf = deep_shallow(strings, anchor[of] * 256 + dist, p)
+            out.append(_runs(r, s, later(order, leaf, r, s)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _runs(rid: np.ndarray, start: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rid, first, last): the starts of some, neighbours joined."""
+    some = some[np.lexsort((start[some], rid[some]))]
+    r, s = rid[some], start[some]
+    new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)])) if len(r) else np.zeros(0, np.int64)
+    return r[new], s[new], s[np.append(new[1:], len(s)) - 1] if len(r) else s
+
+
 def _repeats(contexts: DataFrame, p: Params) -> DataFrame:
     """(rid, first, last) from _CONTEXT rows: groups of an anchor meet in one
     task, sorted, and are worked off some p.block rows at a time."""
@@ -359,7 +415,7 @@ def without_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     keyed = with_row_key(docs, "doc_id", "text")
     cut = removed(keyed, p)
-    if keyed.where(~F.col("rid").eqNullSafe(F.col("doc_id"))).limit(1).count():
+    if not keyed.own_ids:
         return cut.join(keyed.select("rid", "doc_id"), "rid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
     return cut.select(F.col("rid").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
