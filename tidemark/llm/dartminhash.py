@@ -393,6 +393,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     keyed = with_row_key(docs, "doc_id", "text")
     c = classes(keyed, p)
+    if keyed.own_ids:
+        return c.select(F.col("rid").alias("doc_id"), F.col("class").alias("class_id"), (F.col("rid") == F.col("class")).alias("kept"))
     ids = keyed.select("rid", "doc_id")
     heads = ids.join(c.select(F.col("class").alias("rid")).distinct(), "rid").select(F.col("rid").alias("class"), F.col("doc_id").alias("class_id"))
     return c.join(ids, "rid").join(heads, "class").select("doc_id", "class_id", (F.col("rid") == F.col("class")).alias("kept"))
