@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import re
 import unicodedata
 
@@ -9,7 +11,7 @@ from tidemark.llm import fingerprint as f
 
 
 def _canon(t):
-    n = unicodedata.normalize("NFKC", t or "").upper().lower().replace("ß", "ss").replace("ς", "σ")
+    n = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())
     return re.sub(r"\s+", " ", n).strip()
 
 
@@ -46,9 +48,45 @@ def test_one_row_follows_itself(spark):
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1.0
 
 
-def test_equal_buckets_compare_bytes(spark):
-    weak = lambda c: F.lpad(F.hex(F.xxhash64(c) % 3), 4, "0")
-    d = spark.createDataFrame([(i, f"t{i % 11}") for i in range(44)], "doc_id long, text string")
-    got = f.fingerprinted(d, f.checked_clashes(d, weak), "text", "fp", weak).toPandas()
-    assert got.groupby("text").fp.nunique().max() == 1 and got.fp.nunique() == 11
-    assert f.checked_clashes(d) is None
+def test_equal_buckets_are_told_apart(spark):
+    weak = lambda c: F.lpad(F.hex(F.abs(F.xxhash64(c)) % 3), 4, "0")
+    texts = [f"t{i % 11}" for i in range(44)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = f.fingerprints(d, weak).toPandas().set_index("doc_id")
+    all_of = {}
+    for i, t in enumerate(texts):
+        nxt = texts[i - 1]  # the first follows the last
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        all_of.setdefault(t, set()).add(got.fingerprint[i])
+        all_of.setdefault(e, set()).add(got.edited_fingerprint[i])
+    assert all(len(v) == 1 for v in all_of.values()) and len(set.union(*all_of.values())) == len(all_of)
+    assert f.numbered(spark.createDataFrame([("a" * 96,), ("b" * 96,)], "key string")) is None
+
+
+def test_bytes_are_compared(spark):
+    d = spark.createDataFrame([(1, "same"), (2, "SAME "), (3, "other")], "doc_id long, text string")
+    keys = f.keyed(d, "text", "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    f.compared(d, keys)
+    assert keys.where("n = 2").count() == 1
+
+
+MARKS = ["a", "e", "o", "q", "\u0301", "\u0302", "\u0323", "\u0307", "\u0327", "\u1100", "\u1161", "\u11a8", "\uac00", "\u3099", "\u30ab", "\ufb01", "\u0130", "\u00df", "\u03c2", "\u1fb3", " ", "\u00a0", "\t"]
+
+
+def test_canonical_forms_of_any_marks(spark):
+    """Marks in any order, conjoining Hangul, ligatures and folds against
+    Python's Unicode data, all permutations of up to three and random runs."""
+    rnd = random.Random(0)
+    texts = ["".join(x) for n in (1, 2, 3) for x in itertools.product(MARKS, repeat=n)] + ["".join(rnd.choices(MARKS, k=rnd.randint(4, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", f.canonical(F.col("text")).alias("c")).collect()
+    assert [r.text for r in rows if r.c != _canon(r.text)] == []
+    forms = [unicodedata.normalize(k, t) for t in texts[-500:] for k in ("NFC", "NFD", "NFKC", "NFKD")]
+    got = [r.c for r in spark.createDataFrame([(t,) for t in forms], "text string").select(f.canonical(F.col("text")).alias("c")).collect()]
+    assert all(len(set(got[k: k + 4])) == 1 for k in range(0, len(got), 4))
+
+
+def test_very_long_text(spark):
+    t = "Ǆé " * 200_000
+    got = {r.doc_id: r for r in f.fingerprints(spark.createDataFrame([(2, t), (1, t.lower() + "\n"), (0, "x")], "doc_id long, text string")).collect()}
+    assert got[2].n_chars == len(t) and got[2].fingerprint == got[1].fingerprint and got[2].near_next == 1.0 and got[1].near_next == 0.0
+    assert got[2].edited_sha256 == hashlib.sha256((t[: len(t) // 2] + t.lower()[: len(t) // 2]).encode()).hexdigest()

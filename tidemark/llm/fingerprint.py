@@ -1,12 +1,9 @@
 """Operator 7: canonical exact digests. Unicode normalisation, case and white
 space folding, a 128-bit xxhash, and byte comparison inside equal buckets; all
-of it DataFrame functions."""
+of it DataFrame and SQL functions."""
 
 from __future__ import annotations
 
-import unicodedata
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,43 +15,6 @@ BROADCAST_ROWS = 200_000
 BUCKET_ROWS = 2000
 _FIRST_LEVEL = 512
 
-
-@cache
-def _tables():
-    """From Python's Unicode data: single characters and what NFKC makes of
-    them, and pairs of a character and a mark with what they compose to, a pair
-    whose first is itself composed after that."""
-    one, many, pairs = {}, [], []
-    for cp in range(0x80, 0x110000):
-        if 0xD800 <= cp < 0xE000:
-            continue
-        c = chr(cp)
-        n = unicodedata.normalize("NFKC", c)
-        if n != c:
-            if len(n) == 1:
-                one[c] = n
-            else:
-                many.append((c, n))
-        elif not 0xAC00 <= cp < 0xD7A4:
-            d = unicodedata.decomposition(c)
-            if d and "<" not in d and " " in d:
-                a, b = (chr(int(x, 16)) for x in d.split())
-                pairs.append((len(unicodedata.normalize("NFD", c)), a, b, c))
-    return one, many, [x[1:] for x in sorted(pairs)]
-
-
-def _bound(x: Column, f) -> Column:
-    """f(x) with x computed once however often f uses it."""
-    return F.transform(F.array(x), f)[0]
-
-
-#: Any character but ASCII and Latin letters that NFKC leaves alone.
-_UNUSUAL = r"[^\x00-\x9F\xC0-\x{131}]"
-#: Characters that NFKC may change, but for few more that it does not.
-_COMPATIBLE = (
-    r"[\x{A0}\x{A8}\x{AA}\x{AF}\x{B2}-\x{B5}\x{B8}-\x{BA}\x{BC}-\x{BE}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}"
-    r"\x{1C4}-\x{200A}\x{2011}\x{2017}\x{2024}-\x{2026}\x{202F}-\x{10FFFF}]"
-)
 #: White space that NFKC leaves, without the blank: such a run, or one of
 #: several blanks, is replaced; single blanks, nearly all runs, are passed over.
 _SPACE = r"\t-\r\x1C-\x1F\x85\x{1680}\x{2028}\x{2029}"
@@ -62,41 +22,21 @@ _RUNS = f" {{2,}}[ {_SPACE}]*| ?[{_SPACE}][ {_SPACE}]*"
 
 
 def normalised(t: Column) -> Column:
-    """The NFKC form of a text, but for marks that are out of canonical order
-    or separated from their base by others, and conjoining Hangul letters, all
-    of which stay as they are.
-
-    Most texts have no unusual character and are only matched against one class.
-    """
-    one, many, pairs = _tables()
-    frm, to = "".join(one), "".join(one.values())
-
-    def replaced(x: Column, table: list[tuple[str, str, str]]) -> Column:
-        """table: (needle, from, to); only rows whose needle is in x are run."""
-        lines = F.split(F.lit("\x02".join("\x01".join(r) for r in table)), "\x02")
-        rows = F.transform(lines, lambda r: F.split(r, "\x01"))
-        return F.aggregate(F.filter(rows, lambda r: F.contains(x, r[0])), x, lambda acc, r: F.replace(acc, r[1], r[2]))
+    """The NFKC form of a text, by the Unicode library that Spark ships for its
+    collations (java_method calls it in the executor's JVM)."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
 
-    def compatible(x: Column) -> Column:
-        return F.when(x.rlike(_COMPATIBLE), F.translate(replaced(x, [(a, a, b) for a, b in many]), frm, to)).otherwise(x)
 
-    def composed(x: Column) -> Column:
-        return F.when(x.rlike(r"\p{M}"), replaced(x, [(b, a + b, c) for a, b, c in pairs])).otherwise(x)
-
-    return F.when(t.rlike(_UNUSUAL), _bound(_bound(t, compatible), composed)).otherwise(t)
+def case_folded(t: Column) -> Column:
+    """Full Unicode case folding, by the same library."""
+    return F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), t, F.lit(True))
 
 
 def canonical(t: Column) -> Column:
-    """Normalised, case folded (lower case of upper case, sharp s as ss, final
-    sigma as sigma), each run of white space a blank, none at the ends. Null is
-    empty."""
-
-    def beyond_ascii(x: Column) -> Column:
-        n = F.lower(F.upper(normalised(x)))
-        return F.replace(F.replace(n, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-
+    """Normalised, case folded and normalised again, each run of white space a
+    blank, none at the ends. Null is empty. ASCII texts need lower case only."""
     x = F.coalesce(t, F.lit(""))
-    folded = F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(beyond_ascii(x))
+    folded = F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(normalised(case_folded(normalised(x))))
     return F.trim(F.regexp_replace(folded, _RUNS, " "))
 
 
@@ -106,38 +46,39 @@ def wide_hash(c: Column) -> Column:
     return F.concat(*part)
 
 
-def clashes(docs: DataFrame, digest=wide_hash) -> DataFrame:
-    """(hash, text, ordinal) of canonical texts that share their hash with
-    another text, ordinal from 0 in byte order; expected to be empty.
+def keyed(docs: DataFrame, text: str, out: str, digest=wide_hash) -> DataFrame:
+    """docs plus a key of the canonical text: its hash, then its SHA-256. The
+    canonical text is made once for both."""
+    c = docs.withColumn("_c", canonical(F.col(text)))
+    return c.withColumn(out, F.concat(digest(F.col("_c")), F.sha2(F.col("_c").cast("binary"), 256))).drop("_c")
 
-    Hashes that occur once cannot clash. Only rows of the others bring their
-    texts, equal ones merged before the shuffle, and compare their bytes.
-    """
-    c = docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", digest(F.col("canon")))
-    twice = written(c.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
-    few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    texts = c.join(few, "hash", "left_semi").groupBy("hash", "canon").agg(F.lit(1).alias("one"))
-    w = Window.partitionBy("hash")
-    return texts.select("hash", "canon", F.count(F.lit(1)).over(w).alias("n"), (F.row_number().over(w.orderBy("canon")) - 1).alias("ordinal")).where("n > 1").select("hash", F.col("canon").alias("clash"), "ordinal")
 
+def hash_of(key: Column) -> Column:
+    return F.substring(key, F.lit(1), F.length(key) - 64)
 
-def fingerprinted(docs: DataFrame, known: DataFrame | None, text: str, out: str, digest=wide_hash) -> DataFrame:
-    """docs plus the fingerprint of a text column: the hash, and a number after
-    it for a text that is not the first of those with that hash ("-x": one with
-    that hash but not among the known texts)."""
-    d = docs.withColumn("_c", canonical(F.col(text))).withColumn(out, digest(F.col("_c")))
-    if known is not None:
-        hashes = known.select(F.col("hash").alias("_h")).distinct()
-        d = d.join(known, (d[out] == known["hash"]) & (d["_c"] == known["clash"]), "left").drop("hash", "clash")
-        d = d.join(hashes, d[out] == hashes["_h"], "left")
-        more = F.when(F.col("_h").isNull() | (F.col("ordinal") == 0), "").otherwise(F.concat(F.lit("-"), F.coalesce(F.col("ordinal").cast("string"), F.lit("x"))))
-        d = d.withColumn(out, F.concat(out, more)).drop("_h", "ordinal")
-    return d.drop("_c")
+
+def compared(docs: DataFrame, keys: DataFrame, digest=wide_hash) -> None:
+    """Raises where two of docs' canonical texts have the same key (one of keys)
+    but unlike bytes. Only rows whose hash occurs twice can, so only those bring
+    their texts, equal ones merged before the shuffle."""
+    twice = written(keys.groupBy(hash_of(F.col("key")).alias("hash")).agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "twice")
+    few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    c = docs.select(canonical(F.col("text")).alias("canon")).withColumn("hash", digest(F.col("canon")))
+    texts = c.join(few, "hash", "left_semi").groupBy("hash", "canon").agg(F.lit(1).alias("one"))
+    wrong = texts.groupBy("hash", F.sha2(F.col("canon").cast("binary"), 256).alias("sha")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not wrong.isEmpty():
+        raise RuntimeError("unlike texts have the same hash and the same SHA-256")
 
 
-def checked_clashes(docs: DataFrame, digest=wide_hash) -> DataFrame | None:
-    found = clashes(docs, digest)
-    return found if found.limit(1).count() else None
+def numbered(keys: DataFrame) -> DataFrame | None:
+    """(key, number) of the keys whose hash several of keys share, from 0 in
+    their order; None where there are none, as is to be expected."""
+    h = hash_of(F.col("key"))
+    clash = written(keys.groupBy(h.alias("hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "clashes")
+    if clash.isEmpty():
+        return None
+    at = F.row_number().over(Window.partitionBy("hash").orderBy("key")) - 1
+    return keys.withColumn("hash", h).join(clash, "hash", "left_semi").select("key", at.alias("number"))
 
 
 def _buckets(docs: DataFrame) -> Column:
@@ -159,56 +100,73 @@ def _buckets(docs: DataFrame) -> Column:
     return F.when(i.isNull(), F.lit(-1)).otherwise(outer.cast("long") * (each + 1) + inner).cast("long")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, fingerprint) plus next_text and next_fingerprint,
-    those of the row that follows by descending doc_id (nulls last, ties by text); the first follows the last.
+def with_next(docs: DataFrame, digest=wide_hash) -> DataFrame:
+    """(doc_id, text, key) of docs plus next_text and next_key, those of the row
+    that follows by descending doc_id (nulls last, ties by text); the first
+    follows the last.
 
     Rows are sorted within buckets of consecutive ids, so no task holds all of
     them. The first row of each bucket is also put at the end of the bucket
     before it; buckets are one in BUCKET_ROWS, and their ids' number decides
     whether they are broadcast.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "fingerprint")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("bucket", _buckets(docs))
     heads = d.groupBy("bucket").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy(F.desc("bucket"))  # a row a bucket
     ends = heads.select("bucket", "head", F.lag("bucket").over(order).alias("to"), F.min("bucket").over(Window.partitionBy()).alias("low"))
     ends = ends.select(F.col("bucket").alias("b"), "head", F.coalesce("to", "low").alias("to"))
     few = F.broadcast(ends) if heads.count() <= BROADCAST_ROWS else ends
-    ghosts = d.join(few, (d.bucket == few.b) & d.doc_id.eqNullSafe(few["head"])).groupBy("to").agg(F.min(F.struct("text", "fingerprint")).alias("row"))
-    ghosts = ghosts.select(F.lit(None).cast("long").alias("doc_id"), "row.text", "row.fingerprint", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
+    ghosts = d.join(few, (d.bucket == few.b) & d.doc_id.eqNullSafe(few["head"])).groupBy("to").agg(F.min("text").alias("text"))
+    ghosts = ghosts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
+    both = keyed(d.select("doc_id", "text", "bucket", F.lit(0).alias("ghost")).union(ghosts), "text", "key", digest)
     w = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
-    both = d.select("doc_id", "text", "fingerprint", "bucket", F.lit(0).alias("ghost")).union(ghosts)
-    after = both.select("*", F.lead("text").over(w).alias("next_text"), F.lead("fingerprint").over(w).alias("next_fingerprint"))
+    after = both.select("*", F.lead("text").over(w).alias("next_text"), F.lead("key").over(w).alias("next_key"))
     return after.where("ghost = 0").drop("ghost", "bucket")
 
 
-def edited(docs: DataFrame) -> DataFrame:
+def edited(docs: DataFrame, digest=wide_hash) -> DataFrame:
     """with_next() plus n_chars and edited_text: the last half of the code
     points replaced by as many from the start of the next text, or all."""
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    return with_next(docs).select(
-        "doc_id", "fingerprint", "next_fingerprint", n.cast("long").alias("n_chars"),
+    return with_next(docs, digest).select(
+        "doc_id", "key", "next_key", n.cast("long").alias("n_chars"),
         F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited_text"),
     )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digest=wide_hash) -> DataFrame:
     """Fingerprints of every row's text and edited text, and whether they meet
     (an exact digest's likeness is 1 or 0).
 
+    A fingerprint is the hash; where unlike texts share it, all but the first
+    have a number after it. Documents in equal buckets are compared by their
+    bytes; edited texts, which are not kept, by SHA-256. Each text is put in
+    order, shuffled and edited once, and only figures of it are written.
+
     One row for each row of docs, repeated ones included; null texts count as
     empty, null ids come last. An empty table gives no rows. Columns other than
     doc_id and text are not read.
     """
-    known = checked_clashes(docs)
-    own = fingerprinted(docs.select("doc_id", "text"), known, "text", "fingerprint")
-    d = fingerprinted(edited(own), known, "edited_text", "edited_fingerprint")
-    return d.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"),
-        (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
+    made = written(
+        keyed(edited(docs, digest), "edited_text", "edited_key", digest)
+        .select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "key", "edited_key", "next_key"),
+        "edited",
+    )
+    own = made.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    compared(docs, own, digest)
+    several = numbered(made.select("key").union(made.select("edited_key")).distinct())
+
+    def fingerprint(df: DataFrame, key: str, out: str) -> DataFrame:
+        if several is None:
+            return df.withColumn(out, hash_of(F.col(key)))
+        more = F.when(F.coalesce("number", F.lit(0)) == 0, "").otherwise(F.concat(F.lit("-"), F.col("number").cast("string")))
+        return df.join(several.withColumnRenamed("key", key), key, "left").withColumn(out, F.concat(hash_of(F.col(key)), more)).drop("number")
+
+    return fingerprint(fingerprint(made, "key", "fingerprint"), "edited_key", "edited_fingerprint").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        (F.col("key") == F.col("edited_key")).cast("double").alias("near_edited"), (F.col("key") == F.col("next_key")).cast("double").alias("near_next"),
     )
 
 
