@@ -30,9 +30,9 @@ class Params:
     rows: int = 7
     darts: int = 8  # expected darts a coordinate in the first throw
     counts: bool = False  # weigh a shingle by its count in the text; else by 1
-    batch_elements: int = 100_000
+    batch_elements: int = 50_000
     group_rows: int = 2000  # rows that share a copy of a hub's set
-    block_shingles: int = 1_000_000  # shingles of a bucket that are dealt out together
+    block_shingles: int = 500_000  # shingles of a bucket that are dealt out together
     broadcast_ids: int = 1_000_000  # most ids that are broadcast (8 MB)
 
 
@@ -131,7 +131,7 @@ class Words(dict):
     def __missing__(self, w: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         return h

@@ -26,7 +26,7 @@ class Params:
     chunk: int = 1 << 22  # windows of a text taken at once
     hot: int = 100_000  # occurrences of an anchor above which its strings meet as digests
     block: int = 8000  # anchor occurrences sorted together
-    strings: int = 250_000  # strings sorted together
+    strings: int = 120_000  # strings sorted together
     shallow: int = 2  # 8-byte words of the multikey quicksort
     broadcast_ids: int = 1_000_000  # most ids that are broadcast (8 MB)
 
@@ -81,15 +81,17 @@ def _anchored(docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            hs, rids, codes = [], [], []
-            for rid, raw in zip(pdf["rid"], pdf["bytes"]):
-                h, place, first, last = anchors(np.frombuffer(raw, np.uint8), p)
-                if len(h):
-                    hs.append(h)
-                    rids.append(np.full(len(h), rid, np.int64))
-                    codes.append(place << 16 | (place - first) << 8 | (place - last))
-            if hs:
-                yield pd.DataFrame({"h": np.concatenate(hs), "rid": np.concatenate(rids), "code": np.concatenate(codes)})
+            for low in range(0, len(pdf), 1000):
+                some = pdf.iloc[low: low + 1000]
+                hs, rids, codes = [], [], []
+                for rid, raw in zip(some["rid"], some["bytes"]):
+                    h, place, first, last = anchors(np.frombuffer(raw, np.uint8), p)
+                    if len(h):
+                        hs.append(h)
+                        rids.append(np.full(len(h), rid, np.int64))
+                        codes.append(place << 16 | (place - first) << 8 | (place - last))
+                if hs:
+                    yield pd.DataFrame({"h": np.concatenate(hs), "rid": np.concatenate(rids), "code": np.concatenate(codes)})
 
     return docs.where(F.octet_length("text") >= p.length).select("rid", F.col("text").cast("binary").alias("bytes")).mapInPandas(run, "h long, rid long, code long")
 
@@ -101,6 +103,8 @@ def _contexts(text: DataFrame, repeated: DataFrame, p: Params) -> DataFrame:
     """_CONTEXT rows for repeated (rid, codes): the bytes from the first string
     of each anchor to the end of its last one."""
 
+    names = ["h", "rid", "code", "context"]
+
     def run(batches):
         for pdf in batches:
             out = []
@@ -111,7 +115,10 @@ def _contexts(text: DataFrame, repeated: DataFrame, p: Params) -> DataFrame:
                 for h, code in zip(hashes.tolist(), codes):
                     place, a, z = int(code) >> 16, (int(code) >> 8) & 255, int(code) & 255
                     out.append((h, rid, code, raw[place - a: place - z + p.length]))
-            yield pd.DataFrame(out, columns=["h", "rid", "code", "context"])
+                if len(out) >= p.block:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     return repeated.join(text, "rid").select("rid", "bytes", "codes").mapInPandas(run, _CONTEXT)
 
@@ -275,7 +282,7 @@ def repeated_strings(h: np.ndarray, rid: np.ndarray, code: np.ndarray, context:
     rep, anchor = _ties(rep, np.cumsum(np.concatenate([[0], (h[rep][1:] != h[rep][:-1]).astype(np.int64)]))) if len(rep) else (rep, rep)
     if len(rep):
         step = max(1, p.strings // len(rep))
-        window = np.arange(p.length)
+        view = np.lib.stride_tricks.sliding_window_view(text.reshape(-1), p.length)
         for d in range(0, int(far[rep].max()) + 1, step):  # equal strings have equal distances
             low, high = np.maximum(near[rep], d), np.minimum(far[rep], d + step - 1)
             n = np.maximum(0, high - low + 1)
@@ -283,7 +290,7 @@ def repeated_strings(h: np.ndarray, rid: np.ndarray, code: np.ndarray, context:
             if not len(of):
                 continue
             dist = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]
-            strings = text[rep[of][:, None], (far[rep][of] - dist)[:, None] + window]
+            strings = view[rep[of] * wide + far[rep][of] - dist]
             r, s = rid[rep][of], place[rep][of] - dist
             order, leaf = deep_shallow(strings, anchor[of] * 256 + dist, p)
             out.append(_runs(r, s, later(order, leaf, r, s)))
@@ -396,6 +403,9 @@ def removed(keyed: DataFrame, p: Params = Params(), whole_characters: bool = Fal
                 if whole_characters:
                     kept = kept.decode("utf-8", "ignore").encode()
                 out.append((rid, len(raw), int(gone.sum()), n_spans, kept))
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=[c.split()[0] for c in _CUT.split(", ")])
+                    out = []
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _CUT.split(", ")])
 
     # the same exchange of texts serves both joins
