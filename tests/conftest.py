@@ -14,7 +14,7 @@ def spark():
     tmp = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tmp).getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tmp).config("spark.checkpoint.dir", f"file://{tmp}/shared").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
