@@ -111,6 +111,38 @@ def test_large_buckets_leave_no_pair_out(spark, block):
     assert {r.doc_id: r.class_id for r in d.near_duplicates(df, p).collect()} == want
 
 
+def test_counts_as_weights(spark):
+    """Repeats of a shingle weigh with counts=True and do not without."""
+    rng = np.random.default_rng(3)
+    line, rest = " ".join(rng.choice(5000, 12).astype(str)), " ".join(rng.choice(5000, 80).astype(str))
+    texts = [f"{rest} {' '.join([line] * 20)}", f"{rest} {' '.join([line] * 3)}", f"{rest} {' '.join([line] * 19)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in d.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 0}
+    assert {r.doc_id: r.class_id for r in d.near_duplicates(df, d.Params(counts=True)).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_bucket_of_many_links(spark):
+    """A chain in one bucket: neighbours are alike, its ends are not."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    base, texts = list(rng.choice(words, 200, replace=False)), []
+    for k in range(40):
+        texts.append(" ".join(base))
+        base[(5 * k) % 200: (5 * k) % 200 + 5] = [f"n{k}x{j}" for j in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in d.near_duplicates(df).collect()}
+    assert got == _brute(list(range(40)), texts) and set(got.values()) == {0}
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(5)
+    w = [f"w{x}" for x in rng.integers(0, 90_000, 60_000)]
+    v = list(w)
+    v[::400] = ["edit"] * len(v[::400])
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v)), (3, " ".join(w[:20_000]))], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in d.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_joined_components():
     rng = np.random.default_rng(9)
     base = rng.choice(2000, 60, replace=False)

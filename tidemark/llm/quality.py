@@ -54,10 +54,13 @@ def fit(texts: list[str], y: np.ndarray, totals: dict[int, int], p: Params) -> t
     vec = rng.uniform(-1 / p.dim, 1 / p.dim, (1 << p.bits, p.dim)).astype(np.float32)
     out = rng.uniform(-0.1, 0.1, (2, p.dim)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    docs = []  # 8 bytes a distinct feature
-    for t in texts:
-        u, n = np.unique(buckets(t, p), return_counts=True)
-        docs.append((u.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+    docs = []  # 8 bytes a distinct feature, in few arrays, which go back to the system whole
+    for low in range(0, len(texts), 500):
+        some = [np.unique(buckets(t, p), return_counts=True) for t in texts[low: low + 500]]
+        u, s = np.concatenate([x for x, _ in some]).astype(np.int32), np.concatenate([n / max(1, n.sum()) for _, n in some]).astype(np.float32)
+        ends = np.cumsum([0] + [len(x) for x, _ in some])
+        docs += [(u[a:b], s[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        del some
     ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     steps = 2 * max(len(ones), len(zeros))
     for epoch in range(p.epochs):
