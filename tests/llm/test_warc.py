@@ -54,3 +54,24 @@ def test_damage_is_found(spark):
     s = spark.createDataFrame([("o", "response", 1, None, "sha1:X", [(1, None, b"ab"), (3, 9, b"c")])], "origin string, type string, page_id long, refers_id string, digest string, parts array<struct<number:int,total:long,block:binary>>")
     with pytest.raises(Exception, match="segments are missing"):
         warc._decode(s).collect()
+
+
+def test_oracle(spark):
+    import duckdb
+
+    from tidemark.llm import registry
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got = registry.QUERIES["op3_warc"](spark, sf)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({registry.ORACLE_SQL['op3_warc']})").fetchall()
+    assert sorted(got.columns) == sorted(names) and sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want)
+
+
+def test_very_long_page(spark):
+    html = "<p>é</p>\r\n0\r\n" * 40_000
+    df = spark.createDataFrame([(7, "http://a", html), (9, "http://b", html), (None, "http://c", "x")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archived(df).collect()}
+    assert got[7].payload_bytes == got[9].payload_bytes == len(html.encode()) and got[9].refers_to == 7 and got[7].record_type == "response" and got[None].payload_bytes == 1

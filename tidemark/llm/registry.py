@@ -26,5 +26,15 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+_BITS = " + ".join(f"{16 >> k} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
+_BASE32 = f"array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1)), '')"
+
+#: DuckDB SQL of the queries that SQL can express. The others rest on hashes of
+#: the engine, tokenizers, fitted models or orders of rows that SQL has not.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits,
+  min(page_id) OVER (PARTITION BY html) AS first, row_number() OVER (PARTITION BY html ORDER BY page_id) = 1 AS response FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN NOT response THEN first END AS refers_to FROM d""",
+}
