@@ -1,15 +1,12 @@
-import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import bestfit, packing
-from tidemark.llm.tokens import Encoder, Vocabulary, odd_space
+from tidemark.llm.tokens import Encoder, Vocabulary
 
 ODD = ["", " ", "a", "  two  spaces \n\n tail ", "tabs\t\tand\r\nlines", "it's we'll 'tis", "<|endoftext|> inside <|endoftext|>", "naïve café ☕ 日本語  x\x1c y \x85 z", "x" * 9000, " lead", "trail ", "a b  c", "1234 5678,90.", "…“quotes” — dash"]
 
@@ -20,15 +17,10 @@ def _expected(texts):
 
 
 def test_ids(spark, sf):
-    texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
-    enc = Encoder(Vocabulary(cached=50))
+    texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    enc = Encoder(Vocabulary())
     for x, want in zip(texts, _expected(texts)):
         assert np.frombuffer(enc(x), "<u2").tolist() == want[:-1], x[:40]
-    for cached in (20, 100_000):
-        enc = Encoder(Vocabulary(cached=cached))
-        for low in range(0, len(texts), 17):
-            got = enc.many(texts[low: low + 17])
-            assert [np.frombuffer(g, "<u2").tolist() for g in got] == [x[:-1] for x in _expected(texts[low: low + 17])]
 
 
 def _check(pieces, texts, size):
@@ -115,9 +107,3 @@ def test_null_ids_beside_large_ones(spark):
         rows = pieces.collect()
         assert {r.doc_id for r in rows} == {big, big + 2, None}
         assert sum(r.length for r in rows) == sum(map(len, _expected(["a b c", "d " * 90, None, None])))
-
-
-@settings(max_examples=500, deadline=None)
-@given(st.lists(st.sampled_from(["a", "é", " ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "　", "bc"]), max_size=12).map("".join))
-def test_odd_spaces(t):
-    assert odd_space(t) == bool(re.search(r"(?:^|\s) | (?:\s|$)", t))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,46 +11,20 @@ from pyspark.sql import DataFrame
 
 from .common import as_long, as_text
 
-_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-_ASCII_SPACES = [c for c in _SPACES if c < "\x80"]
-#: A space between two characters that are not white space: a token never spans
-#: it other than as a leading space, so texts may be encoded between such spaces.
-_PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def odd_space(text: str) -> bool:
-    """Whether a space has white space, or an end of the text, beside it."""
-    if "  " in text or text[:1] == " " or text[-1:] == " ":
-        return True
-    spaces = _ASCII_SPACES if text.isascii() else _SPACES
-    return any(c in text and (c + " " in text or " " + c in text) for c in spaces)
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     """The tokenizer's file, and the same vocabulary as ranks, whose encoder is
-    about five times as fast. An empty path stands for the installed file."""
+    faster. An empty path stands for the installed file."""
 
     json_path: str = ""
     ranks_path: str = ""
     eos_id: int = 1
-    cached: int = 400_000
-
-
-class _Cache(dict):
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, word: str) -> bytes:
-        found = np.array(self.encode(word), "<u2").tobytes()
-        if len(self) >= self.most:
-            self.clear()  # bounds memory only
-        self[word] = found
-        return found
 
 
 class Encoder:
+    """A text's ids as little-endian 16-bit bytes. Texts that hold a special
+    token's string go through the tokenizer itself."""
+
     def __init__(self, v: Vocabulary):
         import public_tokenizers
         import tiktoken
@@ -63,45 +36,12 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(v.ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes_of = np.zeros(1 << 16, np.int64)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = len(token)
-        plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.plain = plain
-        self.head = _Cache(plain, v.cached)
-        self.tail = _Cache(lambda w: plain(" " + w), v.cached)
-
-    def _learn(self, words: list[str]) -> None:
-        """Puts words that follow a space into the cache, encoded in one call.
-        No token spans the space between two of them, so the tokens' lengths in
-        bytes say where each word ends."""
-        if len(self.tail) + len(words) > self.tail.most:
-            self.tail.clear()  # bounds memory only
-        ids = np.array(self.plain(" " + " ".join(words)), "<u2")
-        ends = np.cumsum([len(w.encode("utf-8", "replace")) + 1 for w in words])
-        at = np.cumsum(self.bytes_of[ids])
-        cut = np.searchsorted(at, ends)
-        if len(at) != cut[-1] + 1 or (at[cut] != ends).any():
-            return  # left to be encoded one at a time
-        raw, low = ids.tobytes(), 0
-        for w, high in zip(words, (2 * (cut + 1)).tolist()):
-            self.tail[w] = raw[low:high]
-            low = high
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        parted = [None if any(s in t for s in self.special) else _PLAIN_SPACE.split(t) if odd_space(t) else t.split(" ") for t in texts]
-        new = {w for parts in parted if parts for w in parts[1:]}.difference(self.tail)
-        new = [w for w in new if w and not w[-1].isspace()]
-        if new:
-            self._learn(new)
-        tail, head = self.tail.__getitem__, self.head
-        return [
-            np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() if parts is None else head[parts[0]] + b"".join(map(tail, parts[1:]))
-            for t, parts in zip(texts, parted)
-        ]
+        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
+        if any(s in text for s in self.special):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return self.plain.encode_to_numpy(text).astype("<u2").tobytes()
 
 
 def tokenised(docs: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
@@ -119,7 +59,7 @@ def tokenised(docs: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
         for pdf in batches:
             for low in range(0, len(pdf), 1000):
                 some = pdf.iloc[low: low + 1000]
-                ids = [x + eos for x in encode.many([t or "" for t in some["text"]])]
+                ids = [encode(t or "") + eos for t in some["text"]]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 at = start + np.concatenate([[0], np.cumsum(n)[:-1]])
                 start += int(n.sum())
