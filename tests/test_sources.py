@@ -19,8 +19,15 @@ def test_csv(spark, tmp_path):
     assert [(str(r.date), r.close, r.volume) for r in got] == [("2020-01-02", 1.5, 0.0), ("2020-01-03", None, 7.0)]
     slim = tmp_path / "slim.csv"
     slim.write_bytes(b"observation_date,DCOILWTICO\r\n22/06/2021,73.01\r\n23/06/2021,\r\n")
-    got = prices.read_csv(spark, str(slim), "wti", wide=False, date_format="dd/MM/yyyy").orderBy("date").collect()
-    assert [(str(r.date), r.close, r.volume) for r in got] == [("2021-06-22", 73.01, None), ("2021-06-23", None, None)]
+    for wide in (False, None):
+        got = prices.read_csv(spark, str(slim), "wti", wide, "dd/MM/yyyy").orderBy("date").collect()
+        assert [(str(r.date), r.close, r.volume) for r in got] == [("2021-06-22", 73.01, None), ("2021-06-23", None, None)]
+    three = tmp_path / "three.csv"
+    three.write_text("2020-01-02,1.5,9\n")
+    assert [(r.close, r.high) for r in prices.read_csv(spark, str(three), "x").collect()] == [(1.5, None)]
+    none = tmp_path / "none.csv"
+    none.write_text("")
+    assert prices.read_csv(spark, str(none), "x").isEmpty()
 
 
 def test_policy(spark):

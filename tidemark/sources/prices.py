@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 COLUMNS = ("date", "close", "high", "low", "open", "volume")
 
 
-def read_csv(spark: SparkSession, path: str, series_id: str, wide: bool = True, date_format: str = "yyyy-MM-dd") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, series_id: str, wide: bool | None = None, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """A price file as (series_id, date, close, high, low, open, volume).
 
     All fields are read as text. Rows whose first field is not a date of the
     given format are left out, which takes away header rows however many; what
     is not a number becomes null. wide: Date, Close, High, Low, Open, Volume;
-    else Date and Close.
+    else Date and Close. Where it is not given, it holds if one of the first
+    five rows has five fields or more.
     """
+    if wide is None:
+        fields = spark.read.text(path).limit(5).select(F.size(F.split("value", ",")).alias("n"))
+        wide = (fields.agg(F.max("n")).first()[0] or 0) >= 5
     names = COLUMNS if wide else COLUMNS[:2]
     raw = spark.read.schema(", ".join(f"{c} string" for c in names)).option("mode", "PERMISSIVE").csv(path)
     shape = F.regexp_replace(F.lit(date_format), "[yMd]", "9").alias("shape")
