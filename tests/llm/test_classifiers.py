@@ -140,3 +140,11 @@ def test_quality_scores_match_brute_force(spark):
     for r in docs.where("length(text) < 1000 or text is null").collect():
         want = one(r.text or "")
         assert any(i == r.doc_id and s == pytest.approx(want, abs=1e-5) for i, s in got)
+
+
+def test_totals_of_many_label_values(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4) for i in range(400)], "doc_id long, toxic int")
+    _, totals = training_sample(docs, labels, "toxic", 5, 0, 10)
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert totals == {0: sum(i % 4 == 0 for i in train), 1: sum(i % 4 > 0 for i in train)}

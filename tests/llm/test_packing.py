@@ -23,6 +23,31 @@ def test_ids(spark, sf):
         assert np.frombuffer(enc(x), "<u2").tolist() == want[:-1], x[:40]
 
 
+LONG_SPACE = ["a" + c * 1_000_001 + "b" for c in (" ", "\t", "\n", "\u00a0")]
+
+
+def test_a_million_spaces(spark):
+    """In the encoder and both packings."""
+    want = _expected(LONG_SPACE)
+    for x, ids in zip(LONG_SPACE, want):
+        assert np.frombuffer(Encoder(Vocabulary())(x), "<u2").tolist() == ids[:-1]
+    df = spark.createDataFrame(list(enumerate(LONG_SPACE)), "doc_id long, text string")
+    _check(packing.packed(df).collect(), LONG_SPACE, 2048)
+    _check(bestfit.segments(bestfit.token_matrices(df)).collect(), LONG_SPACE, 2048)
+
+
+def test_files_in_order(spark, tmp_path):
+    """Files of unlike size, which the engine reads the largest first."""
+    texts = [f"{k} " * (1 + (37 * k) % 200) for k in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for lo, hi in ((0, 10), (10, 200), (200, 203), (203, 330), (330, 390), (390, 400)):
+        df.where(f"doc_id >= {lo} and doc_id < {hi}").coalesce(1).sortWithinPartitions("doc_id").write.mode("append").parquet(f"{tmp_path}/t/k={lo}")
+    rows = packing.packed(spark.read.parquet(f"{tmp_path}/t").drop("k"), size=64).collect()
+    _check(rows, texts, 64)
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert order == list(range(400))
+
+
 def _check(pieces, texts, size):
     """Each id in one piece, rows gapless, checksums of the ids."""
     want = {i: x for i, x in enumerate(_expected(texts))}

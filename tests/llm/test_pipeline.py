@@ -90,3 +90,48 @@ def test_stages_match_brute_force(spark, sf):
 
 def test_run(spark, sf):
     assert set(corpus_pipeline.run(spark, sf).columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_packed_in_the_order_of_the_mix(spark, sf):
+    """Eight files of unlike size; the permutation of the first pass decides."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = [r.doc_id for r in mixing.mixed(docs, mixing.Params(max_repetition=1.25)).where("mix_copies > 0").orderBy("mix_position").collect()]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        mix = written(corpus_pipeline.mixing_stage(spark, docs, sf), "mix")
+        assert len(mix.inputFiles()) >= 6
+        pieces = corpus_pipeline.packing_stage(spark, mix, sf).where("start = 0").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))]
+    assert got[: len(want)] == want and len(got) > len(want)  # then the second pass
+
+
+ODD = [(1, None), (2, ""), (3, "same words here " * 20), (3, "same words here " * 20), (4, "same words here " * 20), (None, "no id at all " * 9), (2**53 + 1, "long " * 60_000), (7, "other clean text of its own kind " * 5)]
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Null ids and texts, repeated ids, a long text, extra columns that are
+    named like the operators' own, and no rows at all."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, score double, rid long, epoch int, position long, ids string"
+    rows = [(i, t, None, None if k % 2 else "s", None, 0.5, k, k, k, "x") for k, (i, t) in enumerate(ODD)]
+    for docs in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
+        columns = docs.columns
+        before = [(i, t or "") for i, t in ODD] if docs.count() else []
+        for name, stage in corpus_pipeline.STAGES:
+            docs = written(stage(spark, docs, sf), name)
+            if name != "packing":
+                assert docs.columns == columns, name
+                after = [(r.doc_id, r.text or "") for r in docs.collect()]
+                if name in ("quality_classifier", "near_duplicates"):
+                    assert not Counter(after) - Counter(before), name
+                else:
+                    assert {i for i, _ in after} <= {i for i, _ in before}, name
+                before = after
+        n = Counter()
+        for r in docs.collect():
+            n[r.doc_id] += r.length
+        assert set(n) == {i for i, _ in before}

@@ -26,7 +26,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, hold_mod: in
         .where(fold(F.col("doc_id"), hold_mod) != hold_rest)
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     )
-    totals = {int(r.y > 0): r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {int(r.positive): r.n for r in known.groupBy((F.col("y") > 0).alias("positive")).agg(F.count(F.lit(1)).alias("n")).collect()}
     part = [
         known.where((F.col("y") > 0) == F.lit(bool(y))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         for y in (0, 1)

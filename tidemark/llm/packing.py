@@ -3,6 +3,7 @@ partitions give every document its global offset; fixed windows then cut it."""
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -17,20 +18,27 @@ SEQUENCE = 2048
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _natural(name: str) -> list:
+    """Order of names by the numbers in them: part-100000 after part-99999."""
+    return [int(x) if x.isdigit() else x for x in re.split("([0-9]+)", name)]
+
+
 def with_offsets(tokens: DataFrame) -> DataFrame:
-    """tokens plus base, the tokens of all rows before each one.
+    """tokens plus base, the tokens of all rows before each one: of files by
+    name and place in them, so that what was written in an order is packed in
+    it; of other rows by partition.
 
-    First pass: a total for each partition that was written. Their running sum
-    has one row a partition (some thousands, whatever the rows), which bounds
-    what is sorted in one place and broadcast.
+    First pass: a total for each piece of a file that one task read. Their
+    running sum has one row a piece (some thousands, whatever the rows), which
+    bounds what is sorted in one place and broadcast.
     """
-    totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("t")).orderBy("part").collect()
+    totals = tokens.groupBy("file", "block", "part").agg(F.sum("n_tokens").alias("t")).collect()
     at, rows = 0, []
-    for r in totals:
-        rows.append((r.part, at))
+    for r in sorted(totals, key=lambda r: (_natural(r.file), r.block, r.part)):
+        rows.append((r.file, r.block, r.part, at))
         at += r.t
-    offsets = tokens.sparkSession.createDataFrame(rows, "part int, before long")
-    return tokens.join(F.broadcast(offsets), "part").withColumn("base", F.col("before") + F.col("start"))
+    offsets = tokens.sparkSession.createDataFrame(rows, "file string, block long, part int, before long")
+    return tokens.join(F.broadcast(offsets), ["file", "block", "part"]).withColumn("base", F.col("before") + F.col("start"))
 
 
 def cut(tokens: DataFrame, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -73,6 +81,7 @@ def packed(docs: DataFrame, v: Vocabulary = Vocabulary(), size: int = SEQUENCE,
     rows in the same partitions and each text is encoded once; nothing is
     shuffled but the partition totals. A null or empty text is its end id alone.
     Repeated rows are packed each for itself; an empty table gives no pieces.
+    Rows of files keep the order of the files' names and of their rows.
     Columns other than doc_id and text are not read.
     """
     return cut(with_offsets(written(tokenised(docs, v), "tokens")), size, with_ids)

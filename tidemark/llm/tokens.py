@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import as_long, as_text
 
@@ -23,7 +24,9 @@ class Vocabulary:
 
 class Encoder:
     """A text's ids as little-endian 16-bit bytes. Texts that hold a special
-    token's string go through the tokenizer itself."""
+    token's string go through the tokenizer itself, and so do those that the
+    faster encoder refuses: its pattern gives up within white space of about a
+    million signs."""
 
     def __init__(self, v: Vocabulary):
         import public_tokenizers
@@ -39,30 +42,40 @@ class Encoder:
         self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        return self.plain.encode_to_numpy(text).astype("<u2").tobytes()
+        if not any(s in text for s in self.special):
+            try:
+                return self.plain.encode_to_numpy(text).astype("<u2").tobytes()
+            except ValueError:
+                pass
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def tokenised(docs: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
-    """(part, start, doc_id, n_tokens, ids) of every row of docs.
+    """(file, block, part, start, doc_id, n_tokens, ids) of every row of docs.
 
-    ids ends with v.eos_id; n_tokens counts it. part is the task that read the
-    row, start the tokens of its rows before it. A null text counts as empty.
+    ids ends with v.eos_id; n_tokens counts it. file and block say which piece of
+    which file a row was read from (none: an empty name), part which task read
+    it, start how many tokens that piece has before the row. A null text counts
+    as empty.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, start = Encoder(v), TaskContext.get().partitionId(), 0
+        encode, part, starts = Encoder(v), TaskContext.get().partitionId(), {}
         eos = np.array([v.eos_id], "<u2").tobytes()
         for pdf in batches:
             for low in range(0, len(pdf), 1000):
                 some = pdf.iloc[low: low + 1000]
                 ids = [encode(t or "") + eos for t in some["text"]]
-                n = np.array([len(x) // 2 for x in ids], np.int64)
-                at = start + np.concatenate([[0], np.cumsum(n)[:-1]])
-                start += int(n.sum())
-                yield pd.DataFrame({"part": np.int32(part), "start": at, "doc_id": some["doc_id"].to_numpy(), "n_tokens": n, "ids": ids})
-
-    return as_long(docs.select(as_text("doc_id"), "text").mapInPandas(run, "part int, start long, doc_id string, n_tokens long, ids binary"), "doc_id")
+                n, at = [len(x) // 2 for x in ids], []
+                for key, k in zip(zip(some["file"], some["block"]), n):
+                    at.append(starts.get(key, 0))
+                    starts[key] = at[-1] + k
+                yield pd.DataFrame({
+                    "file": some["file"].to_numpy(), "block": some["block"].to_numpy(), "part": np.int32(part), "start": at,
+                    "doc_id": some["doc_id"].to_numpy(), "n_tokens": n, "ids": ids,
+                })
+
+    rows = docs.select(as_text("doc_id"), "text", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+    return as_long(rows.mapInPandas(run, "file string, block long, part int, start long, doc_id string, n_tokens long, ids binary"), "doc_id")
