@@ -93,7 +93,6 @@ def test_chains_and_priors():
     draws, converged, rhat, size = sv.fitted(x, "SV-Gaussian", 1, sv.Sampler(60, 60, chains=3))
     assert len(draws["mu"]) == 180 and converged == (rhat < 1.01 and size > 400)
     assert sv.fitted(np.zeros(10), "SV-t", 1, sv.Sampler(5, 5)) is None
-    assert sv.split_rhat(np.zeros(10) + np.arange(10) % 2, np.arange(10) % 2 + 5.0) > 2
 
 
 def test_failed_refit_is_tried_again_the_next_day(spark):

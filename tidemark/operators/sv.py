@@ -1,5 +1,5 @@
-"""Stochastic-volatility forecasts: four observation densities, sampled by
-Hamiltonian Monte Carlo with analytic gradients, one chain a refit."""
+"""Stochastic-volatility forecasts: four observation densities, sampled by the
+No-U-Turn method with analytic gradients in coordinates that are nearly white."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from . import chains, nuts
 from .rolling import FORECAST, blocked, dealt
 
 #: variant -> (Student-t observations, correlated innovations)
@@ -38,13 +39,16 @@ FLAT = Priors(mu_sd=10.0, phi_a=5.0, phi_b=1.0, sigma=1.0, nu_shape=1.0, nu_rate
 
 @dataclass(frozen=True)
 class Sampler:
-    """One chain counts as converged with an effective size of over 200;
-    several with all split R-hat under 1.01 and a size of over 400."""
+    """draws and tune a chain; accept: the mean acceptance that the step is tuned
+    to; most_depth: doublings of a trajectory; thin: transitions a draw. One chain
+    counts as converged with an effective size of over 200; several with all
+    rank-normalised split R-hat under 1.01 and a size of over 400."""
 
     draws: int = 500
     tune: int = 500
-    accept: float = 0.9
-    most_steps: int = 24
+    accept: float = 0.7
+    most_depth: int = 10
+    thin: int = 2
     use_rho: bool = False  # whether the next return feels the correlation
     chains: int = 1
     priors: Priors = Priors()
@@ -133,79 +137,156 @@ class Posterior:
         return like, grad
 
 
-def sample(r: np.ndarray, variant: str, seed: int, s: Sampler = Sampler()) -> dict[str, np.ndarray]:
-    """Draws of mu, phi, sigma, nu, rho and the last latent log variance."""
-    post, rng = Posterior(r, variant, s.priors), np.random.default_rng(seed)
-    u = post.start()
-    like, grad = post(u)
-    scale = np.ones(len(u))
-    scale[: post.k] = 0.3
-    size, log_size, mean_h, centre = 0.05, math.log(0.05), 0.0, math.log(0.5)
-    count, seen, sq, mean = 0, 0, np.zeros(len(u)), np.zeros(len(u))
-    keep = {n: np.empty(s.draws) for n in ("mu", "phi", "sigma", "nu", "rho", "h_last")}
-    for i in range(s.tune + s.draws):
-        p0 = rng.standard_normal(len(u))
-        x, lx, gx, p = u, like, grad, p0
-        steps = int(rng.integers(s.most_steps // 3, s.most_steps + 1))
-        p = p + 0.5 * size * scale * gx
-        for j in range(steps):
-            x = x + size * scale * p
-            lx, gx = post(x)
-            if not math.isfinite(lx):
-                break
-            p = p + (size if j < steps - 1 else 0.5 * size) * scale * gx
-        delta = lx - 0.5 * (p @ p) - like + 0.5 * (p0 @ p0) if math.isfinite(lx) else -math.inf
-        chance = math.exp(min(0.0, delta)) if delta == delta else 0.0
-        if rng.random() < chance:
-            u, like, grad = x, lx, gx
-        if i < s.tune:
-            count += 1
-            mean_h += ((s.accept - chance) - mean_h) / (count + 10)
-            size = math.exp(centre - math.sqrt(count) / 0.05 * mean_h)
-            k = count**-0.75
-            log_size = k * math.log(size) + (1 - k) * log_size
-            if i >= s.tune // 4:
-                seen += 1
-                d = u - mean
-                mean = mean + d / seen
-                sq = sq + d * (u - mean)
-            if seen > 20 and i in (s.tune // 2, s.tune * 3 // 4):
-                scale = np.sqrt(sq / seen + 1e-3)
-                count, mean_h, log_size = 0, 0.0, math.log(size)
-                centre, seen, sq, mean = math.log(10 * size), 0, np.zeros(len(u)), np.zeros(len(u))
-            if i == s.tune - 1:
-                size = math.exp(log_size)
+def _powers(phi: float, n: int) -> np.ndarray:
+    """1, phi, phi^2, ... as far as they matter among n."""
+    a = abs(phi)
+    return phi ** np.arange(n if a > 0.999 else min(n, 2 + int(-21 / math.log(a))) if a > 1e-9 else 1)
+
+
+def _filtered(x: np.ndarray, powers: np.ndarray, back: bool = False) -> np.ndarray:
+    """y[t] = x[t] + phi y[t - 1] (back: y[t + 1]) for all t, from _powers(phi):
+    a convolution, or doubling where the powers are many."""
+    n, k = len(x), len(powers)
+    if k * n < 150_000:
+        return np.correlate(x, powers, "full")[k - 1:] if back else np.convolve(x, powers)[:n]
+    y, k, p = x.copy(), 1, powers[1]
+    while k < n and abs(p) > 1e-17:
+        if back:
+            y[:-k] += p * y[k:]
         else:
-            mu, _, phi, sigma, nu, rho, z = post.parts(u)
-            for n, v in zip(keep, (mu, phi, sigma, nu, rho, mu + sigma * z[-1])):
-                keep[n][i - s.tune] = v
-    return keep
+            y[k:] += p * y[:-k]
+        k, p = 2 * k, p * p
+    return y
+
+
+class Whitened:
+    """A Posterior in coordinates (mu, ..., e) where e is close to independent
+    and normal whatever the parameters: neither centred nor non-centred.
+
+    The latent x = z sigma has about the precision Q / sigma^2 + c, Q that of its
+    autoregression and c the information of a return on its log variance, which
+    is again that of an autoregression (phi', sigma'). With its filter F, x = m +
+    F (e + F' c (y - mu - m)): y are pseudo-returns, the path of log variances
+    that fits best at the start, moved by its score over c. Innovations that are
+    correlated with the returns have the mean m, the filtered returns in units of
+    that path, and sigma sqrt(1 - rho^2) for sigma. The first coordinate is mu in
+    units of how well phi and sigma let it be known, which is little as phi nears
+    1. What y and m are changes only how well the coordinates suit; the density
+    takes the volume of the map in.
+    """
 
+    def __init__(self, post: Posterior):
+        self.post, self.k, self.n = post, post.k, len(post.r)
+        self.c = 0.4 if post.heavy else 0.5
+        h, self.pseudo = self._path(post.start()[0], 0.95, 0.25)
+        self.level = float(self.pseudo.mean())
+        y = post.r * np.exp(-np.clip(h, -60, 60) / 2)
+        self.unit = y * (16 / (15 + y * y)) if post.heavy else y
+
+    def _path(self, mu: float, phi: float, sigma: float, rounds: int = 8):
+        """Newton steps on the path of log variances, with expected information."""
+        r2, nu = self.post.r**2, 15.0
+        h = np.full(self.n, mu)
+        p, s, _ = self._filter(phi, sigma)
+        powers = _powers(p, self.n)
+        for _ in range(rounds):
+            y2 = r2 * np.exp(-np.clip(h, -60, 60))
+            score = 0.5 * ((nu + 1) * y2 / (nu + y2) if self.post.heavy else y2) - 0.5
+            pseudo = h + np.clip(score / self.c, -4, 4)
+            h = mu + s * _filtered(s * _filtered(self.c * (pseudo - mu), powers, True), powers)
+        return h, pseudo
+
+    def _filter(self, phi: float, sigma: float):
+        """phi', sigma' and the derivatives of phi' and log sigma' by phi and log
+        sigma."""
+        g = self.c * sigma * sigma
+        b = 1 + phi * phi + g
+        d = math.sqrt(max(b * b - 4 * phi * phi, 1e-14))
+        s = b + d
+        s_phi, s_sigma = 2 * phi * (1 + (b - 2) / d), 2 * g * (1 + b / d)
+        p = 2 * phi / s
+        return p, sigma * math.sqrt(2 / s), (2 / s - p * s_phi / s, -p * s_sigma / s, -0.5 * s_phi / s, 1 - 0.5 * s_sigma / s)
+
+    def _mean(self, unit: float, phi: float, sigma: float):
+        """mu, its scale, and the derivatives of both by phi and log sigma."""
+        q0 = self.post.priors
+        p0, far = 1 / q0.mu_sd**2, sigma * sigma / max(1e-12, (1 - phi) ** 2)
+        a = far + 1 / self.c
+        info = self.n / a
+        scale = (p0 + info) ** -0.5
+        by_a = np.array([2 * far / max(1e-6, 1 - phi), 2 * far])
+        by_info = -info / a * by_a
+        mean = (p0 * q0.mu_mean + info * self.level) * scale * scale
+        by_scale = -0.5 * scale**3 * by_info
+        return mean + scale * unit, scale, p0 * (self.level - q0.mu_mean) * scale**4 * by_info + unit * by_scale, by_scale / scale
+
+    def _latent(self, v: np.ndarray):
+        """The parameters, x, and what it is made of."""
+        raw, sigma = 1 / (1 + math.exp(-v[1])), math.exp(v[2])
+        mean = self._mean(v[0], 2 * raw - 1, sigma)
+        phi, rho = 2 * raw - 1, math.tanh(v[self.k - 1]) if self.post.lever else 0.0
+        p, s, by = self._filter(phi, sigma * math.sqrt(max(1e-6, 1 - rho * rho)))
+        m = sigma * rho * _filtered(self.unit, _powers(phi, self.n)) if self.post.lever else 0.0
+        powers = _powers(p, self.n)
+        w = s * _filtered(self.c * (self.pseudo - mean[0] - m), powers, True)
+        drive = v[self.k:] + w
+        own = s * _filtered(drive, powers)
+        return mean, raw, phi, sigma, rho, powers, s, by, m, w, drive, own
+
+    def to_posterior(self, v: np.ndarray) -> np.ndarray:
+        """The Posterior's coordinates of v."""
+        mean, _, _, sigma, _, _, _, _, m, _, _, own = self._latent(v)
+        return np.concatenate([[mean[0]], v[1: self.k], (m + own) / sigma])
 
-def effective_size(x: np.ndarray) -> float:
-    """Effective number of draws of one chain (initial positive pairs)."""
-    n, d = len(x), x - x.mean()
-    v = d @ d / n
-    if n < 4 or v <= 0:
-        return float(n)
-    f = np.fft.rfft(d, 2 * n)
-    rho = np.fft.irfft(f * np.conj(f))[:n] / (n * v)
-    total = 0.0
-    for k in range(1, n - 1, 2):
-        pair = rho[k] + rho[k + 1]
-        if pair <= 0:
-            break
-        total += pair
-    return float(n / max(1e-9, 1 + 2 * total))
-
-
-def split_rhat(*chains: np.ndarray) -> float:
-    """R-hat of the halves of all chains."""
-    h = len(chains[0]) // 2
-    halves = [part for x in chains for part in (x[:h], x[h: 2 * h])]
-    within = np.mean([a.var(ddof=1) for a in halves])
-    between = h * np.var([a.mean() for a in halves], ddof=1)
-    return float(np.sqrt(((h - 1) / h * within + between / h) / within)) if within > 0 else 1.0
+    def start(self) -> np.ndarray:
+        return np.concatenate([[0.0], self.post.start()[1: self.k], np.zeros(self.n)])
+
+    def __call__(self, v: np.ndarray) -> tuple[float, np.ndarray]:
+        if not np.isfinite(v).all() or np.abs(v[1: self.k]).max() > 12 or abs(v[0]) > 1000:
+            return -math.inf, np.zeros(len(v))  # a step gone astray
+        (mu, scale, mu_by, scale_by), raw, phi, sigma, rho, powers, s, (p_phi, p_sigma, s_phi, s_sigma), m, w, drive, own = self._latent(v)
+        z = (m + own) / sigma
+        like, g = self.post(np.concatenate([[mu], v[1: self.k], z]))
+        if not math.isfinite(like):
+            return -math.inf, np.zeros(len(v))
+        gz = g[self.k:]
+        gx = gz / sigma
+        back = s * _filtered(gx, powers, True)  # by e, and by w
+        by_d = s * _filtered(back, powers)
+        by_log_s = float(back @ (drive + w)) + self.n
+        by_p = float(back[1:] @ own[:-1] + by_d[:-1] @ w[1:]) / s
+        by_sigma = by_p * p_sigma + by_log_s * s_sigma
+        by_phi = by_p * p_phi + by_log_s * s_phi
+        grad = np.concatenate([g[: self.k], back])
+        by_mu = g[0] - self.c * by_d.sum()
+        grad[0] = scale * by_mu
+        by_phi += by_mu * mu_by[0] + scale_by[0]
+        grad[2] += by_sigma - gz @ z - self.n + by_mu * mu_by[1] + scale_by[1]
+        if self.post.lever:
+            by_m = gx - self.c * by_d
+            along = float(by_m @ m)
+            by_phi += float(_filtered(by_m, _powers(phi, self.n), True)[1:] @ m[:-1])
+            grad[2] += along
+            grad[self.k - 1] += (1 - rho * rho) * (along / rho if abs(rho) > 1e-8 else float(by_m @ _filtered(self.unit, _powers(phi, self.n))) * sigma) - rho * by_sigma
+        grad[1] += by_phi * 2 * raw * (1 - raw)
+        return like + self.n * math.log(s / sigma) + math.log(scale), grad
+
+
+#: Variances that the sampler starts from, of mu, logit, log sigma, log nu, atanh rho.
+_FIRST = {"mu": 1.0, "phi": 0.5, "sigma": 0.15, "nu": 0.3, "rho": 0.1}
+
+
+def sample(r: np.ndarray, variant: str, seed: int, s: Sampler = Sampler()) -> dict[str, np.ndarray]:
+    """Draws of mu, phi, sigma, nu, rho and the last latent log variance."""
+    post = Posterior(r, variant, s.priors)
+    white, keep = Whitened(post), {n: np.empty(s.draws) for n in ("mu", "phi", "sigma", "nu", "rho", "h_last")}
+    first = np.array([_FIRST[n] for n in _names(variant)])
+    states = nuts.draws(white, white.start(), first, np.random.default_rng(seed), s.draws, s.tune, s.accept, s.most_depth, s.thin)
+    for i, v in enumerate(states):
+        mu, _, phi, sigma, nu, rho, z = post.parts(white.to_posterior(v))
+        for n, x in zip(keep, (mu, phi, sigma, nu, rho, mu + sigma * z[-1])):
+            keep[n][i] = x
+    return keep
 
 
 def fitted(x: np.ndarray, variant: str, seed: int, s: Sampler) -> tuple[dict[str, np.ndarray], bool, float, float] | None:
@@ -213,12 +294,12 @@ def fitted(x: np.ndarray, variant: str, seed: int, s: Sampler) -> tuple[dict[str
     demeaned returns; None where they do not vary or nothing finite comes out."""
     if len(x) < 2 or not x.std() > 0:
         return None
-    chains = [sample(x, variant, seed + 7919 * k, s) for k in range(s.chains)]
-    draws = {n: np.concatenate([c[n] for c in chains]) for n in chains[0]}
+    got = [sample(x, variant, seed + 7919 * k, s) for k in range(s.chains)]
+    draws = {n: np.concatenate([c[n] for c in got]) for n in got[0]}
     if not all(np.isfinite(v).all() for v in draws.values()):
         return None
-    rhat = max(split_rhat(*(c[n] for c in chains)) for n in _names(variant))
-    size = min(sum(effective_size(c[n]) for c in chains) for n in _names(variant))
+    rhat = max(chains.rhat(*(c[n] for c in got)) for n in _names(variant))
+    size = min(chains.effective_size(*(c[n] for c in got)) for n in _names(variant))
     return draws, bool(size > 200 if s.chains == 1 else rhat < 1.01 and size > 400), rhat, size
 
 
