@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import stats
 from ..functions.stats import CHI2_95, chi2_tail, log_or_floor
+from . import scans
 
 KEY = ("series_id", "model", "alpha")
 
@@ -20,23 +21,37 @@ def hits(forecasts: DataFrame) -> DataFrame:
     return f.withColumn("hit", (F.col("actual_return") < -F.col("var")).cast("int"))
 
 
-def counts(forecasts: DataFrame) -> DataFrame:
+def counts(forecasts: DataFrame, width: int = scans.WIDTH) -> DataFrame:
     """Observations, violations, the four transitions between neighbouring rows
     (gaps are bridged), and the sums of the shortfall statistic.
 
     Rows without both figures have no hit and count nowhere, but keep their
-    group: one window and one aggregation, and the forecasts are made once.
+    group. Rows are counted in buckets of width days, each of which hands its
+    first and last hit on; a transition across buckets is counted between the
+    hits that meet when a group's buckets, one row each, are laid side by side.
+    A frame without es has no shortfall figures.
     """
     usable = F.col("actual_return").isNotNull() & F.col("var").isNotNull() & ~F.isnan("actual_return") & ~F.isnan("var")
-    f = forecasts.select(*KEY, "t", "actual_return", "es", F.when(usable, (F.col("actual_return") < -F.col("var")).cast("int")).alias("hit"))
-    w = Window.partitionBy(*KEY).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    f = forecasts if "es" in forecasts.columns else forecasts.withColumn("es", F.lit(None).cast("double"))
+    f = f.select(*KEY, "t", "actual_return", "es", F.when(usable, (F.col("actual_return") < -F.col("var")).cast("int")).alias("hit"), F.floor(F.col("t") / width).alias("_b"))
+    w = Window.partitionBy(*KEY, "_b").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     h = f.withColumn("before", F.last("hit", ignorenulls=True).over(w))
     step = lambda a, b: F.count_if((F.col("before") == a) & (F.col("hit") == b))
-    es = F.col("hit").isNotNull() & F.col("es").isNotNull() & ~F.isnan("es")
-    return h.groupBy(*KEY).agg(
-        F.count("hit").alias("n_obs"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("n_violations"),
+    es, seen = F.col("hit").isNotNull() & F.col("es").isNotNull() & ~F.isnan("es"), F.when(F.col("hit").isNotNull(), F.col("t"))
+    each = h.groupBy(*KEY, "_b").agg(
+        F.count("hit").alias("n_obs"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_violations"),
         step(0, 0).alias("n00"), step(0, 1).alias("n01"), step(1, 0).alias("n10"), step(1, 1).alias("n11"),
-        F.count_if(es).alias("n_es"), F.sum(F.when(es, F.col("actual_return") * F.col("hit"))).alias("tail_sum"), F.avg(F.when(es, F.col("es"))).alias("mean_es"),
+        F.count_if(es).alias("n_es"), F.sum(F.when(es, F.col("actual_return") * F.col("hit"))).alias("tail_sum"), F.sum(F.when(es, F.col("es"))).alias("sum_es"),
+        F.min_by("hit", seen).alias("first"), F.max_by("hit", seen).alias("last"),
+    )
+    ends = F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("_b", "first", "last"))))
+    total = each.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("n_obs", "n_violations", "n00", "n01", "n10", "n11", "n_es", "tail_sum", "sum_es")), ends.alias("a"))
+    met = F.transform("a", lambda x, i: F.when(i > 0, 2 * F.get("a", i - 1)["last"] + x["first"]))
+    across = lambda k: F.size(F.filter("met", lambda x: x == k))
+    total = total.withColumn("met", met)
+    return total.select(
+        *KEY, "n_obs", F.col("n_violations").cast("long").alias("n_violations"), *((F.col(n) + across(k)).alias(n) for k, n in enumerate(("n00", "n01", "n10", "n11"))),
+        "n_es", "tail_sum", F.try_divide("sum_es", "n_es").alias("mean_es"),
     )
 
 
@@ -104,6 +119,8 @@ def acerbi_p(forecasts: DataFrame, c: Config) -> DataFrame:
             p = below / c.simulations
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in KEY}, "as_p": [p]})
 
+    if "es" not in forecasts.columns:
+        return forecasts.select(*KEY).distinct().withColumn("as_p", F.lit(None).cast("double"))
     h = hits(forecasts).where("es is not null and not isnan(es)").select(*KEY, "t", "actual_return", "var", "es")
     return h.groupBy(*KEY).applyInPandas(one, "series_id string, model string, alpha double, as_p double")
 

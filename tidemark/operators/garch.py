@@ -4,10 +4,12 @@ windows, all windows of a block fitted at once in numpy."""
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import stats
@@ -27,10 +29,11 @@ def _unpack(theta: np.ndarray, kind: str, p: int, q: int, o: int):
     return mu, c, a, g, np.tanh(b)
 
 
-def filtered(x: np.ndarray, theta: np.ndarray, kind: str, p: int = 1, q: int = 1, o: int = 0):
+def filtered(x: np.ndarray, theta: np.ndarray, kind: str, p: int = 1, q: int = 1, o: int = 0, with_state: bool = False):
     """(loglik, next variance) of each row of x (rows, days); loglik is by day.
     Before the first day stands an exponentially weighted mean of the first 75
-    squares."""
+    squares. with_state adds the last q variances (EGARCH: their logarithms),
+    squares and standardised days, the latest first."""
     mu, c, a, g, b = _unpack(theta, kind, p, q, o)
     e = x - mu[:, None]
     n = x.shape[1]
@@ -53,7 +56,7 @@ def filtered(x: np.ndarray, theta: np.ndarray, kind: str, p: int = 1, q: int = 1
             lv = np.clip(lv, -_MOST / 2, _MOST / 2)
             v = np.exp(lv)
         if t == n:
-            return like.T, v
+            return (like.T, v, (old_v, old_s, old_z)) if with_state else (like.T, v)
         like[t] = -0.5 * (math.log(2 * math.pi) + np.log(v) + et[t] ** 2 / v)
         old_v = [v if kind == "GARCH" else lv, *old_v[:-1]]
         old_s = [et[t] ** 2, *old_s[:-1]]
@@ -104,12 +107,84 @@ def fit(x: np.ndarray, kind: str = "GARCH", p: int = 1, q: int = 1, o: int = 0,
     return theta, like.sum(1), v, done
 
 
+def variances_ahead(x: np.ndarray, theta: np.ndarray, kind: str, horizon: int, keys: list[tuple[int, ...]], p: int = 1, q: int = 1, o: int = 0, paths: int = 1000) -> np.ndarray:
+    """(rows, horizon): the expected variance of each of the next days.
+
+    GARCH: the recursion, a square being its variance where it is yet to come.
+    EGARCH has no closed form beyond the next day: the mean over simulated paths,
+    whose numbers come from the row's key, so that they depend on nothing else.
+    """
+    _, v, (old_v, old_s, old_z) = filtered(x, theta, kind, p, q, o, with_state=True)
+    _, c, a, g, b = _unpack(theta, kind, p, q, o)
+    out = np.empty((len(x), horizon))
+    out[:, 0] = v
+    if horizon == 1:
+        return out
+    if kind == "GARCH":
+        for h in range(1, horizon):
+            old_v, old_s = [v, *old_v[:-1]], [v, *old_s[:-1]]
+            v = np.clip(c + sum(a[:, i] * old_s[i] for i in range(p)) + sum(b[:, j] * old_v[j] for j in range(q)), 1e-12, 1e12)
+            out[:, h] = v
+        return out
+    root, lags = math.sqrt(2 / math.pi), max(p, o)
+    for r, key in enumerate(keys):
+        z = np.random.default_rng(key).standard_normal((horizon, paths))
+        lv = np.full(paths, math.log(v[r]))
+        was_v, was_z = [np.full(paths, u[r]) for u in old_v], [np.full(paths, u[r]) for u in old_z]
+        for h in range(1, horizon):
+            was_v, was_z = [lv, *was_v[:-1]], [z[h - 1], *was_z[: lags - 1]]
+            lv = c[r] + sum(b[r, j] * was_v[j] for j in range(q)) + sum(g[r, i] * was_z[i] for i in range(o)) + sum(a[r, i] * (np.abs(was_z[i]) - root) for i in range(p))
+            lv = np.clip(lv, -_MOST / 2, _MOST / 2)
+            out[r, h] = np.exp(lv).mean()
+    return out
+
+
+def horizon_forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", horizon: int = 10, p: int = 1, q: int = 1, o: int = 0, mean: str = "zero", paths: int = 1000) -> DataFrame:
+    """(series_id, model, date, t, h, alpha, variance, var, es,
+    estimation_failed): figures of the return of day t + h - 1 as seen before t,
+    from the fit of the window before t; h = 1 is forecasts(). variance is in
+    percent squared."""
+    if kind not in ("GARCH", "EGARCH") or horizon < 1:
+        raise ValueError(f"no horizon {horizon} of {kind!r}")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        r, at = pdf["ret"].to_numpy() * 100, np.flatnonzero(pdf["target"].to_numpy())
+        x = np.lib.stride_tricks.sliding_window_view(r, c.window)[at - c.window]
+        ok, t, name = x.std(axis=1) > 0, pdf["t"].to_numpy()[at], zlib.crc32(str(pdf["series_id"].iloc[0]).encode())
+        mu, v = np.full(len(at), np.nan), np.full((len(at), horizon), np.nan)
+        for low in range(0, len(at), 64):
+            rows = np.arange(low, min(low + 64, len(at)))
+            rows = rows[ok[rows]]
+            if len(rows):
+                some = np.ascontiguousarray(x[rows])
+                theta = fit(some, kind, p, q, o)[0]
+                mu[rows] = theta[:, 0] if mean == "fitted" else 0.0
+                v[rows] = variances_ahead(some, theta, kind, horizon, [(c.seed, name, int(k)) for k in t[rows]], p, q, o, paths)
+        good, s = np.isfinite(v), np.sqrt(v)
+        days, out = pdf.iloc[at], []
+        for a in c.alphas:
+            for h in range(horizon):
+                g = good[:, h]
+                out.append(pd.DataFrame({
+                    "series_id": days["series_id"].to_numpy(), "model": kind, "date": days["date"].to_numpy(), "t": t, "h": h + 1, "alpha": a, "variance": v[:, h],
+                    "var": np.where(g, -(mu + s[:, h] * stats.z(a)) / 100, np.nan), "es": np.where(g, -(mu - s[:, h] * stats.tail_density(a)) / 100, np.nan), "estimation_failed": ~g,
+                }))
+        got = pd.concat(out, ignore_index=True)
+        return got.astype(object).where(got.notna(), None)
+
+    schema = "series_id string, model string, date date, t int, h int, alpha double, variance double, var double, es double, estimation_failed boolean"
+    b = blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.block)
+    return dealt(b).groupBy("series_id", "block").applyInPandas(one, schema)
+
+
 def forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", p: int = 1, q: int = 1, o: int = 0, mean: str = "zero", with_fit: bool = False) -> DataFrame:
     """Long forecasts (model GARCH or EGARCH), refitted each day.
 
     mean: "zero", or "fitted" to add the fitted constant. A window without
     variance or a fit that is not finite counts as failed, with null figures.
-    with_fit adds loglik, aic and bic.
+    with_fit adds loglik, aic, bic and converged (whether the fit's steps had
+    ended; a fit is used all the same).
     """
     if kind not in ("GARCH", "EGARCH"):
         raise ValueError(f"unknown volatility model {kind!r}")
@@ -122,11 +197,12 @@ def forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", p: int = 1, q:
         x = np.lib.stride_tricks.sliding_window_view(r, c.window)[at - c.window]
         ok = x.std(axis=1) > 0
         mu, s, ll = (np.full(len(at), np.nan) for _ in range(3))
+        ended = np.zeros(len(at), bool)
         for low in range(0, len(at), 64):
             rows = np.arange(low, min(low + 64, len(at)))
             rows = rows[ok[rows]]
             if len(rows):
-                theta, ll[rows], v, _ = fit(np.ascontiguousarray(x[rows]), kind, p, q, o)
+                theta, ll[rows], v, ended[rows] = fit(np.ascontiguousarray(x[rows]), kind, p, q, o)
                 mu[rows], s[rows] = (theta[:, 0] if mean == "fitted" else 0.0), np.sqrt(v)
         good = np.isfinite(s) & np.isfinite(ll)
         rows = pdf.iloc[at]
@@ -135,12 +211,29 @@ def forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", p: int = 1, q:
             out.append(pd.DataFrame({
                 "series_id": rows["series_id"].to_numpy(), "model": kind, "date": rows["date"].to_numpy(), "t": rows["t"].to_numpy(), "alpha": a, "actual_return": rows["ret"].to_numpy(),
                 "var": np.where(good, -(mu + s * stats.z(a)) / 100, np.nan), "es": np.where(good, -(mu - s * stats.tail_density(a)) / 100, np.nan), "estimation_failed": ~good,
-                "loglik": ll, "aic": 2 * k - 2 * ll, "bic": k * math.log(c.window) - 2 * ll,
+                "loglik": ll, "aic": 2 * k - 2 * ll, "bic": k * math.log(c.window) - 2 * ll, "converged": ended & good,
             }))
         got = pd.concat(out, ignore_index=True)
         return got.astype(object).where(got.notna(), None)
 
-    schema = "series_id string, model string, date date, t int, alpha double, actual_return double, var double, es double, estimation_failed boolean, loglik double, aic double, bic double"
+    schema = "series_id string, model string, date date, t int, alpha double, actual_return double, var double, es double, estimation_failed boolean, loglik double, aic double, bic double, converged boolean"
     b = blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.block)
     got = dealt(b).groupBy("series_id", "block").applyInPandas(one, schema)
-    return got if with_fit else got.drop("loglik", "aic", "bic")
+    return got if with_fit else got.drop("loglik", "aic", "bic", "converged")
+
+
+def compared(returns: DataFrame, c: Config, orders: tuple[tuple[int, int, int], ...] = ((1, 1, 0), (1, 2, 0), (2, 1, 0)), kind: str = "GARCH") -> DataFrame:
+    """(series_id, model, p, q, o, n, loglik, aic, bic, n_best_aic, n_best_bic):
+    the mean figures of each order over all windows of a series, and in how many
+    of them it has the least (ties: the first order)."""
+    each = None
+    for i, (p, q, o) in enumerate(orders):
+        f = forecasts(returns, c, kind, p, q, o, with_fit=True).where(F.col("alpha") == c.alphas[0])
+        f = f.select("series_id", "model", "t", F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(o).alias("o"), "loglik", "aic", "bic")
+        each = f if each is None else each.unionByName(f)
+    least = each.groupBy("series_id", "t").agg(*(F.min_by("i", F.when(F.col(m).isNotNull(), F.struct(m, "i"))).alias(f"best_{m}") for m in ("aic", "bic")))
+    j = each.join(least, ["series_id", "t"])
+    return j.groupBy("series_id", "model", "p", "q", "o").agg(
+        F.count("loglik").alias("n"), F.avg("loglik").alias("loglik"), F.avg("aic").alias("aic"), F.avg("bic").alias("bic"),
+        F.count_if(F.col("i") == F.col("best_aic")).alias("n_best_aic"), F.count_if(F.col("i") == F.col("best_bic")).alias("n_best_bic"),
+    )

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import scans
 
 def _by_date():
     return Window.partitionBy("series_id").orderBy("date")
 
 
-def log_returns(prices: DataFrame) -> DataFrame:
+def log_returns(prices: DataFrame, width: int = scans.WIDTH) -> DataFrame:
     """(series_id, date, t, price, ret): ln(p / previous p) where both are
     positive; other days have no row, and t counts the rest from 1. The previous
-    price is that of the previous row, so a missing one costs two returns."""
-    p, before = F.col("price"), F.lag("price").over(_by_date())
-    r = prices.select("series_id", "date", "price", F.when((p > 0) & (before > 0), F.log(p / before)).alias("ret"))
-    return r.where("ret is not null").select("series_id", "date", F.row_number().over(_by_date()).alias("t"), "price", "ret")
+    price is that of the previous row, so a missing one costs two returns. Both
+    are scans by buckets of width days, so a long series is many tasks."""
+    rows = scans.bucketed(prices.select("series_id", "date", "price"), "date", width)
+    r = scans.scanned(rows, ("series_id",), ["date"], "price", lambda p, before: (p > 0) & (before > 0), before="before", t="number")
+    return r.where("t is not null").select("series_id", "date", "t", "price", F.log(F.col("price") / F.col("before")).alias("ret"))
 
 
 def non_positive(prices: DataFrame) -> DataFrame:

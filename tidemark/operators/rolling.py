@@ -1,12 +1,15 @@
-"""Rolling one-step forecasts that window functions can express."""
+"""Rolling one-step forecasts: quantiles and closed forms of the window before."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import stats
+from . import sliding
 
 FORECAST = ("series_id", "model", "date", "t", "alpha", "actual_return", "var", "es", "estimation_failed")
 
@@ -19,10 +22,11 @@ def blocked(rows: DataFrame, before: int, first: int, block: int) -> DataFrame:
     t = F.col("t")
     low = F.greatest(F.lit(0), F.floor((t - first) / block))
     high = F.greatest(F.lit(0), F.floor((t + before - first) / block))
-    last = F.max(F.floor((t - first) / block)).over(Window.partitionBy("series_id"))
-    spread = rows.withColumn("_last", last).where("_last >= 0").withColumn("block", F.explode(F.sequence(low, F.least(high, F.col("_last")))))
+    spread = rows.withColumn("block", F.explode(F.sequence(low, high)))
     start = F.lit(first) + F.col("block") * block
-    return spread.where((t >= start - before) & (t < start + block)).withColumn("target", t >= start).drop("_last")
+    spread = spread.where((t >= start - before) & (t < start + block)).withColumn("target", t >= start)
+    # a block after the last has history alone
+    return spread.withColumn("_any", F.max("target").over(Window.partitionBy("series_id", "block"))).where("_any").drop("_any")
 
 
 def dealt(blocks: DataFrame) -> DataFrame:
@@ -39,29 +43,29 @@ def _per_alpha(df: DataFrame, model: str, values: dict[float, tuple[Column, Colu
     return df.select("series_id", F.lit(model).alias("model"), "date", "t", F.col("ret").alias("actual_return"), failed.alias("estimation_failed"), F.inline(each)).select(*FORECAST)
 
 
-def _below(a: Column, q: Column) -> Column:
-    return F.filter(a, lambda x: x < q)
-
-
 def historical_simulation(returns: DataFrame, c: Config) -> DataFrame:
     """VaR: minus the linearly interpolated quantile of the window before t; ES:
-    minus the mean of the returns strictly below it, or the VaR if none is. One
-    sorted array of the window serves every alpha; only its head, up to the
-    largest alpha's quantile, goes on. Too short a series gives no rows."""
-    w = Window.partitionBy("series_id", "block").orderBy("t").rowsBetween(-c.window, -1)
-    b = blocked(returns, c.window, c.window + 1, max(c.block, c.window))
-    head = int((c.window - 1) * max(c.alphas)) + 2
-    s = b.select("*", F.slice(F.sort_array(F.collect_list("ret").over(w)), 1, head).alias("a")).where("target")
-    values = {}
-    for alpha in c.alphas:
-        h = (c.window - 1) * alpha
-        k = int(h)
-        lo, hi = F.element_at("a", k + 1), F.element_at("a", min(k + 2, c.window))
-        q = lo + F.lit(h - k) * (hi - lo)
-        below = _below(F.slice("a", 1, k + 1), q)  # the rest is not below it
-        mean = F.aggregate(below, F.lit(0.0), lambda m, x: m + x) / F.size(below)
-        values[alpha] = (-q, F.coalesce(F.when(F.size(below) > 0, -mean), -q))
-    return _per_alpha(s, "HistSim", values, F.lit(False))
+    minus the mean of the returns strictly below it, or the VaR if none is. A
+    block's window slides in steps of its logarithm (sliding.SlidingOrder); one
+    structure serves every alpha. Too short a series gives no rows."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        first = int(pdf["target"].to_numpy().argmax())
+        pdf = pdf.iloc[first - c.window:]
+        tails = sliding.rolling_tails(pdf["ret"].to_numpy(), c.window, c.alphas)
+        rows = pdf.iloc[c.window:]
+        parts = []
+        for j, a in enumerate(c.alphas):
+            q, mean = tails[:, j, 0], tails[:, j, 1]
+            parts.append(pd.DataFrame({
+                "series_id": rows["series_id"], "model": "HistSim", "date": rows["date"], "t": rows["t"], "alpha": a, "actual_return": rows["ret"],
+                "var": -q, "es": -np.where(np.isnan(mean), q, mean), "estimation_failed": False,
+            }))
+        return pd.concat(parts, ignore_index=True)
+
+    b = blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, max(c.block, c.window))
+    return b.groupBy("series_id", "block").applyInPandas(one, "series_id string, model string, date date, t int, alpha double, actual_return double, var double, es double, estimation_failed boolean")
 
 
 def ou_fits(returns: DataFrame, c: Config) -> DataFrame:
@@ -129,6 +133,17 @@ def fixed_garch(returns: DataFrame, omega: float, alpha: float, beta: float, win
     return r.select("series_id", "date", "t", v.alias("variance"))
 
 
+def fixed_garch_ahead(returns: DataFrame, omega: float, alpha: float, beta: float, window: int, horizon: int = 10) -> DataFrame:
+    """fixed_garch() for the next `horizon` days (h from 1): what is expected of
+    day h tends to the long-run variance by alpha + beta a day, or grows by omega
+    a day where that is 1."""
+    k, ahead = alpha + beta, F.col("h") - 1
+    share = F.pow(F.lit(k), ahead)
+    grown = F.lit(omega) * ahead if k == 1 else F.lit(omega / (1 - k)) * (1 - share)
+    v = fixed_garch(returns, omega, alpha, beta, window).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return v.select("series_id", "date", "t", "h", (grown + share * F.col("variance")).alias("variance"))
+
+
 def var_overlay(forecasts: DataFrame) -> DataFrame:
     hit = F.col("actual_return") < -F.col("var")
     return forecasts.select("series_id", "model", "date", "alpha", (F.col("actual_return") * 100).alias("ret_pct"), (-F.col("var") * 100).alias("neg_var_pct"), F.coalesce(hit, F.lit(False)).alias("is_violation"))

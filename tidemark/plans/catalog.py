@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import stats
 from ..functions.stats import CHI2_95, ERFC
-from ..operators import backtests, diagnostics, garch, report, returns, rolling, sv
+from ..operators import backtests, diagnostics, garch, report, returns, rolling, scans, sv
 from ..sources import prices
 
 SHORT = Config(window=250)
@@ -87,6 +87,23 @@ def _sv(variant):
     return query
 
 
+def _purchases_and_clicks(spark, d):
+    """By user and hour, so that many meet at one time."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.date_trunc("hour", "ts").alias("hour"), "value", "event_type")
+    return tuple(e.where(F.col("event_type") == k).drop("event_type") for k in ("purchase", "click"))
+
+
+def _as_of(direction, **how):
+    def query(spark, d):
+        got = scans.as_of(*_purchases_and_clicks(spark, d), ("user_id",), "hour", ["event_id"], direction, width=86_400, **how)
+        return got.withColumn("hour_right", F.unix_seconds(F.col("hour_right").cast("timestamp")))
+    return query
+
+
+def _ahead(spark, d):
+    return _rounded(rolling.fixed_garch_ahead(_returns(spark, d), *GARCH_FIXED), variance=6)
+
+
 QUERIES = {
     "daily_bars": _bars,
     "lineitem_bars": lambda s, d: prices.lineitem_bars(s, d),
@@ -132,6 +149,13 @@ QUERIES = {
     "return_histogram": lambda s, d: _rounded(report.histogram(_returns(s, d), "ret", ["series_id"]), centre=8, density=6, normal_density=6, median=8),
     "refit_schedule": lambda s, d: rolling.refit_schedule(_returns(s, d), Config(window=250)),
     "garch_filter_fixed": lambda s, d: _rounded(rolling.fixed_garch(_returns(s, d), *GARCH_FIXED), variance=6),
+    "garch_horizon_fixed": _ahead,
+    "as_of_backward": _as_of("backward"),
+    "as_of_forward": _as_of("forward", tolerance=6 * 3600, exact=False),
+    "as_of_nearest": _as_of("nearest", tolerance=86_400),
+    "garch_horizon": lambda s, d: garch.horizon_forecasts(_returns(s, d), SHORT, "GARCH"),
+    "egarch_horizon": lambda s, d: garch.horizon_forecasts(_returns(s, d), SHORT, "EGARCH"),
+    "garch_orders": lambda s, d: garch.compared(_returns(s, d), SHORT),
     "garch_fit": lambda s, d: garch.forecasts(_returns(s, d), SHORT, "GARCH", with_fit=True),
     "egarch_fit": lambda s, d: garch.forecasts(_returns(s, d), SHORT, "EGARCH", with_fit=True),
     "arch_lm": lambda s, d: diagnostics.arch_lm(_returns(s, d)),
@@ -250,6 +274,9 @@ def _acf_sql(lags: int, x: str) -> str:
 s AS (SELECT series_id, {sums} FROM l GROUP BY 1), acf AS ({rows})"""
 
 
+_EVENTS_SQL = """WITH e AS (SELECT event_id, user_id, date_trunc('hour', ts) AS hour, value, event_type FROM events), l AS (SELECT event_id, user_id, hour, value FROM e WHERE event_type = 'purchase'),
+back AS (SELECT user_id, hour, max(event_id) AS event_id_right, arg_max(value, event_id) AS value_right FROM e WHERE event_type = 'click' GROUP BY 1, 2),
+ahead AS (SELECT user_id, hour, min(event_id) AS event_id_right, arg_min(value, event_id) AS value_right FROM e WHERE event_type = 'click' GROUP BY 1, 2)"""
 _SIGMA_SQL = f"""WITH {_RET_SQL}, z AS (SELECT *, avg(ret) OVER (PARTITION BY series_id) AS m, stddev_samp(ret) OVER (PARTITION BY series_id) AS s FROM ret)
   SELECT series_id, date, round(ret, 8) AS ret FROM z WHERE abs(ret - m) > {{}} * s"""
 _OMEGA, _A1, _B1, _GW = GARCH_FIXED
@@ -310,4 +337,17 @@ ORACLE_SQL = {
     "garch_filter_fixed": f"""WITH {_RET_SQL}, w AS (SELECT series_id, date, t, list(ret * 100) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN {_GW} PRECEDING AND 1 PRECEDING) AS a FROM ret),
   v AS (SELECT series_id, date, t, a, list_sum(list_transform(a, lambda x: x * x)) / {_GW} AS v0 FROM w WHERE t > {_GW})
   SELECT series_id, date, t, round(list_reduce(list_prepend(v0, a), lambda acc, x: {_OMEGA} + {_A1} * x * x + {_B1} * acc), 6) AS variance FROM v""",
+    "garch_horizon_fixed": f"""WITH RECURSIVE {_RET_SQL}, w AS (SELECT series_id, date, t, list(ret * 100) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN {_GW} PRECEDING AND 1 PRECEDING) AS a FROM ret),
+  v AS (SELECT series_id, date, t, 1 AS h, list_reduce(list_prepend(list_sum(list_transform(a, lambda x: x * x)) / {_GW}, a), lambda acc, x: {_OMEGA} + {_A1} * x * x + {_B1} * acc) AS variance FROM w WHERE t > {_GW}
+    UNION ALL SELECT series_id, date, t, h + 1, {_OMEGA} + {_A1} * variance + {_B1} * variance FROM v WHERE h < 10)
+  SELECT series_id, date, t, h, round(variance, 6) AS variance FROM v""",
+    "as_of_backward": f"{_EVENTS_SQL} SELECT l.*, event_id_right, CAST(epoch(b.hour) AS BIGINT) AS hour_right, value_right FROM l ASOF LEFT JOIN back AS b ON l.user_id = b.user_id AND l.hour >= b.hour",
+    "as_of_forward": f"""{_EVENTS_SQL}, j AS (SELECT l.*, event_id_right, a.hour AS hour_right, value_right, a.hour - l.hour <= INTERVAL 6 HOUR AS ok FROM l ASOF LEFT JOIN ahead AS a ON l.user_id = a.user_id AND l.hour < a.hour)
+  SELECT event_id, user_id, hour, value, CASE WHEN ok THEN event_id_right END AS event_id_right, CASE WHEN ok THEN CAST(epoch(hour_right) AS BIGINT) END AS hour_right, CASE WHEN ok THEN value_right END AS value_right FROM j""",
+    "as_of_nearest": f"""{_EVENTS_SQL}, b AS (SELECT l.*, event_id_right AS bi, b.hour AS bh, value_right AS bv FROM l ASOF LEFT JOIN back AS b ON l.user_id = b.user_id AND l.hour >= b.hour),
+j AS (SELECT b.*, event_id_right AS ai, a.hour AS ah, value_right AS av FROM b ASOF LEFT JOIN ahead AS a ON b.user_id = a.user_id AND b.hour <= a.hour),
+k AS (SELECT *, ah IS NOT NULL AND (bh IS NULL OR ah - hour < hour - bh) AS later FROM j),
+r AS (SELECT event_id, user_id, hour, value, CASE WHEN later THEN ai ELSE bi END AS i, CASE WHEN later THEN ah ELSE bh END AS h, CASE WHEN later THEN av ELSE bv END AS v FROM k)
+SELECT event_id, user_id, hour, value, CASE WHEN ok THEN i END AS event_id_right, CASE WHEN ok THEN CAST(epoch(h) AS BIGINT) END AS hour_right, CASE WHEN ok THEN v END AS value_right
+  FROM (SELECT *, h - hour <= INTERVAL 1 DAY AND hour - h <= INTERVAL 1 DAY AS ok FROM r)""",
 }
