@@ -109,6 +109,52 @@ def test_sv_forecasts(spark):
         sv.forecasts(r, "SV-other", Config())
 
 
+def _one_by_one(ret, c, variant, s):
+    """The schedule as a loop: (failed, VaR at 5%) of each day after a window."""
+    out, fit, at = [], None, -c.refit_every
+    for i in range(len(ret) - c.window):
+        if i - at >= c.refit_every:
+            x = ret[i: i + c.window]
+            fit = sv.fitted(x - x.mean(), variant, c.seed + i, s)
+            if fit:
+                at, figures = i, sv.var_es(fit[0], variant, float(x.mean()), c.alphas, c.seed)
+        out.append((fit is None, None if fit is None else pytest.approx(figures[0.05][0])))
+    return out
+
+
+def test_failed_refits_move_the_schedule(spark):
+    """Windows without variance: at the start, for longer than a span, and twice."""
+    rng, s, c = np.random.default_rng(9), sv.Sampler(8, 12, thin=1), Config(window=12, refit_every=7)
+    series = {"whole": rng.normal(0, 0.01, 60)}
+    for name, flat in (("first", [(0, 16)]), ("long", [(15, 41)]), ("twice", [(5, 24), (31, 50)]), ("last", [(40, 60)]), ("never", [(0, 60)])):
+        x = rng.normal(0, 0.01, 60)
+        for a, b in flat:
+            x[a:b] = 0.0
+        series[name] = x
+    day = datetime.date(2000, 1, 1)
+    rows = [(k, day + datetime.timedelta(days=t), t + 1, float(v)) for k, x in series.items() for t, v in enumerate(x)]
+    r = spark.createDataFrame(rows, "series_id string, date date, t int, ret double")
+    spans = sv.refits(r, "SV-Gaussian", c, s)
+    got = sv.served(r, spans, "SV-Gaussian", c).where("alpha = 0.05").orderBy("series_id", "t").collect()
+    moved = 0
+    for k, x in series.items():
+        mine = [g for g in got if g.series_id == k]
+        assert [g.t for g in mine] == list(range(13, 61))
+        assert [(g.estimation_failed, g.var) for g in mine] == _one_by_one(x, c, "SV-Gaussian", s), k
+        assert all(g.converged is False and g.min_ess is None for g in mine if g.estimation_failed)
+        moved += spans.where(f"series_id = '{k}' and (first - 13) % 7 > 0").count() > 0
+    assert moved >= 3
+    # in steps that hand the due days on
+    due, parts = None, []
+    for _ in range(8):
+        step = sv.refits(r, "SV-Gaussian", c, s, due, 1)
+        parts += [tuple(x) for x in step.select("series_id", "first", "fit_t").collect()]
+        due = sv.next_due(step, c).where("due <= 60")
+        if due.isEmpty():
+            break
+    assert sorted(parts, key=str) == sorted((tuple(x) for x in spans.select("series_id", "first", "fit_t").collect()), key=str)
+
+
 def test_no_look_ahead(spark):
     rng = np.random.default_rng(7)
     p = np.exp(np.cumsum(rng.normal(0, 0.01, 80)))

@@ -57,28 +57,84 @@ def test_robustness(spark, sf):
     assert {r.arm for r in g.collect()} == {"orders 1,1,0", "orders 2,1,0"}
 
 
-def test_sampled_models_are_saved_as_they_go(spark, sf, tmp_path, monkeypatch):
+class Lost(Exception):
+    pass
+
+
+def _killed(monkeypatch, at, before_entry):
+    """The at-th save of a run is lost: before its forecasts are written, or
+    between them and their entry."""
+    save, n = store.ForecastStore.save, []
+
+    def lost(self, forecasts, entries):
+        n.append(1)
+        if len(n) == at:
+            if before_entry:
+                forecasts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "series_id", "part").parquet(self.path)
+            raise Lost
+        save(self, forecasts, entries)
+
+    monkeypatch.setattr(store.ForecastStore, "save", lost)
+
+
+@pytest.mark.parametrize("before_entry", [False, True])
+def test_sampled_models_are_saved_as_they_go(spark, sf, tmp_path, monkeypatch, before_entry):
     bars = prices.order_bars(spark, sf).where("series_id in ('1-URGENT', '2-HIGH')")
     r = returns.log_returns(prices.prices(bars))
     last = r.groupBy("series_id").agg(F.max("t").alias("m")).agg(F.min("m")).first()[0]
     c = Config(window=last - 30, refit_every=5, save_every=10, simulations=5)
-    sampler, real, calls = sv.Sampler(20, 20), sv.forecasts, []
+    sampler, real, calls = sv.Sampler(10, 20, thin=1), sv.refits, []
 
-    def once(*a):
-        calls.append(a[4])
-        if len(calls) == 3:
-            raise OSError("lost")
-        return real(*a)
+    def seen(r, model, c, s, due, most):
+        calls.append(({x.due - c.window for x in due.collect()}, most))
+        return real(r, model, c, s, due, most)
 
-    monkeypatch.setattr(sv, "forecasts", once)
-    with pytest.raises(RuntimeError, match="SV-t"):
-        runner.run(bars, str(tmp_path), ("SV-t",), c, sampler=sampler)
+    monkeypatch.setattr(sv, "refits", seen)
+    with monkeypatch.context() as m:
+        _killed(m, 3, before_entry)
+        with pytest.raises(RuntimeError, match="SV-t"):
+            runner.run(bars, str(tmp_path), ("SV-t",), c, sampler=sampler)
     kept = store.ForecastStore(spark, f"{tmp_path}/forecasts")
     assert {x.t - c.window for x in kept.load().select("t").distinct().collect()} == set(range(1, 21))  # two saves of two refits
     runner.run(bars, str(tmp_path), ("SV-t",), c, sampler=sampler)
-    assert calls[:4] == [(0, 1), (2, 3), (4, 5), (4, 5)]
-    want = real(r, "SV-t", c, sampler).select("series_id", "t", "alpha", "var")
-    assert kept.load().select("series_id", "t", "alpha", "var").exceptAll(want).count() == 0 and kept.load().count() == want.count()
+    assert calls[:4] == [({1}, 2), ({11}, 2), ({21}, 2), ({21}, 2)]
+    want = sv.served(r, real(r, "SV-t", c, sampler), "SV-t", c).select("series_id", "t", "alpha", "var")
+    got = kept.load().select("series_id", "t", "alpha", "var")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    n = len(calls)
+    assert runner._complete(kept, r, "SV-t", c, sampler) == 0 and len(calls) == n
+
+
+@pytest.mark.parametrize("before_entry", [False, True])
+def test_only_open_parts_are_made(spark, tmp_path, monkeypatch, before_entry):
+    """Of two series one grows; a lost save leaves nothing twice."""
+    import datetime
+
+    rows = [(s, datetime.date(2000, 1, 1) + datetime.timedelta(days=t), t, float((t * 37 % 11 - 5) / 100), 1.0) for s in ("a", "b") for t in range(1, 101)]
+    r = spark.createDataFrame(rows, "series_id string, date date, t int, ret double, price double")
+    c, real, made = Config(window=20, block=15), runner.forecast, []
+
+    def seen(model, r, c, *a, parts, **k):
+        made.append(sorted((x.series_id, x.block) for x in parts.collect()))
+        return real(model, r, c, *a, parts=parts, **k)
+
+    monkeypatch.setattr(runner, "forecast", seen)
+    kept = store.ForecastStore(spark, f"{tmp_path}/forecasts")
+    early = r.where("t <= 50 or series_id = 'b' and t <= 70")
+    assert runner._complete(kept, early, "HistSim", c, sv.Sampler()) == 1
+    assert made == [[("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 2)]]
+    with monkeypatch.context() as m:
+        _killed(m, 1, before_entry)
+        with pytest.raises(Lost):
+            runner._complete(kept, r, "HistSim", c, sv.Sampler())
+    assert runner._complete(kept, r, "HistSim", c, sv.Sampler()) == 1
+    assert made[1] == made[2] == [("a", 1), ("a", 2), ("a", 3), ("b", 2), ("b", 3)]
+    assert runner._complete(kept, r, "HistSim", c, sv.Sampler()) == 0
+    want = real("HistSim", r, c).select("series_id", "t", "alpha", "var", "es")
+    got = kept.load().select("series_id", "t", "alpha", "var", "es")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    garch = [real("GARCH", r, c, parts=p).where("series_id = 'a' and t > 80 and t <= 95").select("t", "alpha", "var") for p in (None, spark.createDataFrame([("a", 4)], "series_id string, block long"))]
+    assert garch[0].exceptAll(garch[1]).count() == 0 and garch[1].count() == 30
 
 
 def test_log_file(tmp_path):

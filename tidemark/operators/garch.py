@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import stats
-from .rolling import blocked, dealt
+from .rolling import block_days, blocked, dealt, only_in
 
 _MOST = 50.0
 
@@ -178,13 +178,14 @@ def horizon_forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", horizo
     return dealt(b).groupBy("series_id", "block").applyInPandas(one, schema)
 
 
-def forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", p: int = 1, q: int = 1, o: int = 0, mean: str = "zero", with_fit: bool = False) -> DataFrame:
+def forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", p: int = 1, q: int = 1, o: int = 0, mean: str = "zero", with_fit: bool = False, parts: DataFrame | None = None) -> DataFrame:
     """Long forecasts (model GARCH or EGARCH), refitted each day.
 
     mean: "zero", or "fitted" to add the fitted constant. A window without
     variance or a fit that is not finite counts as failed, with null figures.
     with_fit adds loglik, aic, bic and converged (whether the fit's steps had
-    ended; a fit is used all the same).
+    ended; a fit is used all the same). parts: the blocks (series_id, block) that
+    are made.
     """
     if kind not in ("GARCH", "EGARCH"):
         raise ValueError(f"unknown volatility model {kind!r}")
@@ -217,7 +218,7 @@ def forecasts(returns: DataFrame, c: Config, kind: str = "GARCH", p: int = 1, q:
         return got.astype(object).where(got.notna(), None)
 
     schema = "series_id string, model string, date date, t int, alpha double, actual_return double, var double, es double, estimation_failed boolean, loglik double, aic double, bic double, converged boolean"
-    b = blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.block)
+    b = only_in(blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, block_days(kind, c)), parts)
     got = dealt(b).groupBy("series_id", "block").applyInPandas(one, schema)
     return got if with_fit else got.drop("loglik", "aic", "bic", "converged")
 

@@ -29,6 +29,11 @@ def blocked(rows: DataFrame, before: int, first: int, block: int) -> DataFrame:
     return spread.withColumn("_any", F.max("target").over(Window.partitionBy("series_id", "block"))).where("_any").drop("_any")
 
 
+def only_in(blocks: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The blocks that parts (series_id, block) names; all where there is none."""
+    return blocks if parts is None else blocks.join(parts.select("series_id", "block"), ["series_id", "block"], "left_semi")
+
+
 def dealt(blocks: DataFrame) -> DataFrame:
     """blocked rows, a block whole in one task and the blocks over many: rows are
     few and fits long, so adaptive execution would put all into one task."""
@@ -43,11 +48,17 @@ def _per_alpha(df: DataFrame, model: str, values: dict[float, tuple[Column, Colu
     return df.select("series_id", F.lit(model).alias("model"), "date", "t", F.col("ret").alias("actual_return"), failed.alias("estimation_failed"), F.inline(each)).select(*FORECAST)
 
 
-def historical_simulation(returns: DataFrame, c: Config) -> DataFrame:
+def block_days(model: str, c: Config) -> int:
+    """The targets of a block of a model that is refitted each day."""
+    return c.block if model in ("GARCH", "EGARCH") else max(c.block, c.window)
+
+
+def historical_simulation(returns: DataFrame, c: Config, parts: DataFrame | None = None) -> DataFrame:
     """VaR: minus the linearly interpolated quantile of the window before t; ES:
     minus the mean of the returns strictly below it, or the VaR if none is. A
     block's window slides in steps of its logarithm (sliding.SlidingOrder); one
-    structure serves every alpha. Too short a series gives no rows."""
+    structure serves every alpha. Too short a series gives no rows. parts: the
+    blocks (series_id, block) that are made."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -64,11 +75,11 @@ def historical_simulation(returns: DataFrame, c: Config) -> DataFrame:
             }))
         return pd.concat(parts, ignore_index=True)
 
-    b = blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, max(c.block, c.window))
+    b = only_in(blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, block_days("HistSim", c)), parts)
     return b.groupBy("series_id", "block").applyInPandas(one, "series_id string, model string, date date, t int, alpha double, actual_return double, var double, es double, estimation_failed boolean")
 
 
-def ou_fits(returns: DataFrame, c: Config) -> DataFrame:
+def ou_fits(returns: DataFrame, c: Config, parts: DataFrame | None = None) -> DataFrame:
     """returns plus kappa, theta, sigma, log_likelihood and converged of the
     mean-reverting process of log prices over the window before t.
 
@@ -78,7 +89,7 @@ def ou_fits(returns: DataFrame, c: Config) -> DataFrame:
     pair = Window.partitionBy("series_id").orderBy("t")
     r = returns.withColumn("y", F.log("price")).withColumn("x", F.lag("y").over(pair))
     w = Window.partitionBy("series_id", "block").orderBy("t").rowsBetween(-(c.window - 1), -1)
-    b = blocked(r, c.window, c.window + 1, max(c.block, c.window))
+    b = only_in(blocked(r, c.window, c.window + 1, block_days("OU", c)), parts)
     y, x, m, dt = F.col("y"), F.col("x"), c.window - 1, c.day_fraction
     f = b.select(
         "series_id", "date", "t", "price", "ret", "x", "target",

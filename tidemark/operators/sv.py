@@ -3,6 +3,7 @@ No-U-Turn method with analytic gradients in coordinates that are nearly white.""
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources import store
 from . import chains, nuts
 from .rolling import FORECAST, blocked, dealt
 
@@ -326,41 +328,88 @@ def _names(variant: str) -> list[str]:
     return ["mu", "phi", "sigma"] + ["nu"] * heavy + ["rho"] * lever
 
 
-def _refits(returns: DataFrame, c: Config, refits: tuple[int, int] | None = None) -> DataFrame:
-    """A group a refit: the window before it and the days it serves."""
-    b = blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.refit_every)
-    return dealt(b.where(F.col("block").between(*refits)) if refits else b)
+def _refits(returns: DataFrame, c: Config) -> DataFrame:
+    """A group a regular refit: the window before it and the days it serves."""
+    return dealt(blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.refit_every))
 
 
-def forecasts(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(), refits: tuple[int, int] | None = None) -> DataFrame:
-    """Long forecasts with converged, max_rhat and min_ess of the fit they use.
+_TRIED = "series_id string, first int, block long, fit_t int, converged boolean, max_rhat double, min_ess double, figures array<struct<alpha:double,var:double,es:double>>"
 
-    A fit is made every c.refit_every days, from the seed c.seed + its day's
-    place, and its figures serve the days up to the next; fits that did not
-    converge are used and say so. Where a fit fails (a window without variance)
-    that day counts as failed and the next day tries again; the next regular
-    fit keeps its day, so that refits stay independent of each other. refits:
-    the first and last number of those to make, from 0; all by default.
-    """
-    Posterior(np.zeros(2), variant)
+
+def _tried(returns: DataFrame, due: DataFrame, variant: str, c: Config, s: Sampler) -> DataFrame:
+    """A row for each span of refit_every days from a series' due day on: first,
+    its first day, and fit_t, the first of its days on which a fit succeeds (null:
+    none), with what that fit gives. Spans are fitted side by side."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t").reset_index(drop=True)
-        ret, out, fit, figures = pdf["ret"].to_numpy(), [], None, {}
-        for i in np.flatnonzero(pdf["target"].to_numpy()).tolist():
-            day = pdf.iloc[i]
-            if fit is None:
-                x = ret[max(0, i - c.window): i]
-                fit = fitted(x - x.mean(), variant, c.seed + int(day["t"]) - c.window - 1, s)
-                if fit:
-                    figures = var_es(fit[0], variant, float(x.mean()), c.alphas, c.seed, s.use_rho)
-            for a in c.alphas:
-                v, e = figures.get(a, (None, None))
-                out.append((day["series_id"], variant, day["date"], int(day["t"]), a, float(day["ret"]), v, e, fit is None, bool(fit and fit[1]), *(fit[2:] if fit else (None, None))))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    schema = "series_id string, model string, date date, t int, alpha double, actual_return double, var double, es double, estimation_failed boolean, converged boolean, max_rhat double, min_ess double"
-    return _refits(returns, c, refits).groupBy("series_id", "block").applyInPandas(one, schema).select(*FORECAST, "converged", "max_rhat", "min_ess")
+        ret, days = pdf["ret"].to_numpy(), np.flatnonzero(pdf["target"].to_numpy()).tolist()
+        day, fit, figures = None, None, None
+        for i in days:
+            x, day = ret[max(0, i - c.window): i], int(pdf["day"][i])
+            fit = fitted(x - x.mean(), variant, c.seed + day - c.window - 1, s)
+            if fit:
+                figures = [{"alpha": a, "var": v, "es": e} for a, (v, e) in var_es(fit[0], variant, float(x.mean()), c.alphas, c.seed, s.use_rho).items()]
+                break
+        row = (pdf["series_id"][0], int(pdf["day"][days[0]]), int(pdf["block"][0]), day if fit else None, bool(fit and fit[1]), *(fit[2:] if fit else (None, None)), figures)
+        return pd.DataFrame([row], columns=["series_id", "first", "block", "fit_t", "converged", "max_rhat", "min_ess", "figures"]).astype({"fit_t": "Int32"})
+
+    # days are counted so that the due one is the first after a window
+    rows = returns.select("series_id", "t", "ret").join(due, "series_id").withColumn("day", F.col("t")).withColumn("t", F.col("t") - F.col("due") + c.window + 1)
+    return dealt(blocked(rows, c.window, c.window + 1, c.refit_every).where("left is null or block < left")).groupBy("series_id", "block").applyInPandas(one, _TRIED)
+
+
+def refits(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(), due: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """The spans of the schedule, written: (series_id, first, fit_t, converged,
+    max_rhat, min_ess, figures). From fit_t the figures hold for c.refit_every
+    days, then the next fit is due; before it, back to first, days have failed.
+
+    A fit that fails (a window without variance) is tried again the next day, and
+    all later refits of its series move with it. All spans are fitted side by side
+    as if none failed; what comes after a series' first moved fit is then made
+    anew from there, for that series alone, until none moves: the state that goes
+    from round to round is a row a series. due: (series_id, due), the day that
+    each series' next fit is due; by default the first with a window before it.
+    most: how many spans of a series are made.
+    """
+    Posterior(np.zeros(2), variant)
+    if due is None:
+        due = returns.select("series_id").distinct().withColumn("due", F.lit(c.window + 1))
+    due, kept = due.select("series_id", "due", F.lit(most).cast("long").alias("left")), []
+    while True:
+        got = store.staged(_tried(returns, due, variant, c, s), "refits")
+        moved = got.where("fit_t > first").groupBy("series_id").agg(F.min("first").alias("cut"), F.min_by("fit_t", "first").alias("at"), F.min_by("block", "first").alias("k"))
+        moved = store.staged(moved.join(due.select("series_id", "left"), "series_id"), "moved")
+        kept.append(got.join(moved.select("series_id", "cut"), "series_id", "left").where("cut is null or first <= cut").drop("cut", "block"))
+        due = moved.select("series_id", (F.col("at") + c.refit_every).alias("due"), (F.col("left") - F.col("k") - 1).alias("left")).where("left is null or left > 0")
+        if due.isEmpty():
+            return functools.reduce(DataFrame.unionByName, kept)
+
+
+def next_due(spans: DataFrame, c: Config) -> DataFrame:
+    """(series_id, due) after refits()."""
+    return spans.groupBy("series_id").agg((F.max(F.coalesce("fit_t", "first")) + c.refit_every).alias("due"))
+
+
+def served(returns: DataFrame, spans: DataFrame, variant: str, c: Config) -> DataFrame:
+    """Long forecasts of the days of refits(), with converged, max_rhat and
+    min_ess of the fit they use; fits that did not converge are used and say so."""
+    last = F.coalesce("fit_t", "first") + F.lit(c.refit_every - 1)
+    none = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(None).cast("double").alias("var"), F.lit(None).cast("double").alias("es")) for a in c.alphas))
+    days = spans.select("*", F.explode(F.sequence("first", last)).alias("t")).withColumn("failed", F.col("fit_t").isNull() | (F.col("t") < F.col("fit_t")))
+    good = lambda x: F.when(~F.col("failed"), x)
+    days = days.select(
+        "series_id", "t", F.col("failed").alias("estimation_failed"), (F.col("converged") & ~F.col("failed")).alias("converged"), good(F.col("max_rhat")).alias("max_rhat"),
+        good(F.col("min_ess")).alias("min_ess"), F.inline(F.when(F.col("failed"), none).otherwise(F.col("figures"))),
+    )
+    r = returns.select("series_id", "date", "t", F.col("ret").alias("actual_return"))
+    return r.join(days, ["series_id", "t"]).withColumn("model", F.lit(variant)).select(*FORECAST, "converged", "max_rhat", "min_ess")
+
+
+def forecasts(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler()) -> DataFrame:
+    """Long forecasts of every day that has a window before it, by refits() every
+    c.refit_every days; the fit of a day starts from the seed c.seed + its place."""
+    return served(returns, refits(returns, variant, c, s), variant, c)
 
 
 def long_draws(draws: DataFrame, parameters: tuple[str, ...]) -> DataFrame:

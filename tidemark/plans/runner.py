@@ -19,44 +19,60 @@ log = logging.getLogger("tidemark")
 MODELS = ("HistSim", "OU", "GARCH", "EGARCH", *sv.VARIANTS)
 
 
-def forecast(model: str, r: DataFrame, c: Config, sampler: sv.Sampler = sv.Sampler(), orders: tuple[int, int, int] = (1, 1, 0), refits: tuple[int, int] | None = None) -> DataFrame:
-    """orders: p, q and o of the GARCH models. refits: those of a sampled model
-    that are made, by number."""
+def forecast(model: str, r: DataFrame, c: Config, sampler: sv.Sampler = sv.Sampler(), orders: tuple[int, int, int] = (1, 1, 0), parts: DataFrame | None = None) -> DataFrame:
+    """orders: p, q and o of the GARCH models. parts: the blocks (series_id,
+    block) of a model that is refitted each day that are made."""
     if model == "HistSim":
-        out = rolling.historical_simulation(r, c)
+        out = rolling.historical_simulation(r, c, parts)
     elif model == "OU":
-        out = rolling.ou_forecasts(rolling.ou_fits(r, c), c)
+        out = rolling.ou_forecasts(rolling.ou_fits(r, c, parts), c)
     elif model in ("GARCH", "EGARCH"):
-        out = garch.forecasts(r, c, model, *orders)
+        out = garch.forecasts(r, c, model, *orders, parts=parts)
     elif model in sv.VARIANTS:
-        out = sv.forecasts(r, model, c, sampler, refits)
+        out = sv.forecasts(r, model, c, sampler)
     else:
         raise ValueError(f"unknown model {model!r}")
     return out.select(*rolling.FORECAST)
 
 
 def _complete(kept: store.ForecastStore, r: DataFrame, model: str, c: Config, sampler: sv.Sampler) -> int:
-    """Makes and saves what model lacks; the number of jobs it took.
+    """Makes and saves what model lacks, part by part; the number of saves.
 
-    Only series that lack something are forecast. Sampled models are saved
-    whenever about c.save_every more days of every series are done, so a crash
-    loses no more than that; each of these jobs runs all series at once.
+    Models that are refitted each day lack blocks of days; all open ones are one
+    job. Sampled models go on from the day that each series' next fit is due, for
+    about c.save_every days at a time, so a crash loses no more than that; each of
+    these steps runs all series that are behind at once.
     """
-    alphas = F.explode(F.array(*map(F.lit, c.alphas)))
-    due = r.where(F.col("t") > c.window).select("series_id", "t", F.lit(model).alias("model"), alphas.alias("alpha"))
-    open_rows = kept.missing(due)
     if model in sv.VARIANTS:
-        each = max(1, -(-c.save_every // c.refit_every))
-        part = F.floor((F.col("t") - c.window - 1) / (each * c.refit_every))
-        # one number for each part of the longest series
-        parts = [(x.k * each, x.k * each + each - 1) for x in open_rows.select(part.alias("k")).distinct().orderBy("k").collect()]
-    else:
-        parts = [None] if not open_rows.isEmpty() else []
-    for refits in parts:
-        made = forecast(model, r.join(open_rows.select("series_id").distinct(), "series_id", "left_semi"), c, sampler, refits=refits)
-        have = kept.load()
-        kept.save(made if have is None else made.join(have.select(*kept.KEY), list(kept.KEY), "left_anti"))
-    return len(parts)
+        return _complete_sampled(kept, r, model, c, sampler)
+    part = F.floor((F.col("t") - c.window - 1) / rolling.block_days(model, c)).cast("int")
+    parts = store.staged(kept.open_parts(model, r.where(F.col("t") > c.window).select("series_id", part.alias("part"), "t")), "open")
+    if parts.isEmpty():
+        return 0
+    made = forecast(model, r.join(parts.select("series_id").distinct(), "series_id", "left_semi"), c, sampler, parts=parts.select("series_id", F.col("part").alias("block")))
+    kept.save(made.withColumn("part", part), parts.select(F.lit(model).alias("model"), "series_id", "part", "days", F.lit(None).cast("int").alias("due")))
+    return 1
+
+
+def _complete_sampled(kept: store.ForecastStore, r: DataFrame, model: str, c: Config, sampler: sv.Sampler) -> int:
+    """A part begins with the day its first fit was due. It is whole if it goes
+    up to the next due day; one that ended with the series is made again when
+    there are more days."""
+    each, last, saves = max(1, -(-c.save_every // c.refit_every)), store.staged(r.groupBy("series_id").agg(F.max("t").alias("last")), "ends"), 0
+    while True:
+        state = kept.entered().where(F.col("model") == model).groupBy("series_id").agg(F.max_by(F.struct("part", "days", "due"), "part").alias("x")).select("series_id", "x.*")
+        whole = F.col("days") >= F.col("due") - F.col("part")
+        at = F.when(F.col("part").isNull(), c.window + 1).when(whole, F.col("due")).when(F.col("part") + F.col("days") > F.col("last"), None).otherwise(F.col("part"))
+        due = store.staged(last.join(state, "series_id", "left").select("series_id", at.cast("int").alias("due"), "last").where("due <= last"), "due")
+        if due.isEmpty():
+            return saves
+        behind = r.join(due.select("series_id"), "series_id", "left_semi")
+        spans = sv.refits(behind, model, c, sampler, due, each)
+        made = sv.served(behind, spans, model, c).select(*rolling.FORECAST).join(due.select("series_id", F.col("due").alias("part")), "series_id")
+        entries = sv.next_due(spans, c).join(due.select("series_id", F.col("due").alias("part"), "last"), "series_id")
+        days = F.least(F.col("due") - 1, F.col("last")) - F.col("part") + 1
+        kept.save(made, entries.select(F.lit(model).alias("model"), "series_id", "part", days.cast("long").alias("days"), "due"))
+        saves += 1
 
 
 def run(bars: DataFrame, path: str, models: tuple[str, ...] = MODELS, c: Config = Config(), mask_zero_volume: bool = False, sampler: sv.Sampler = sv.Sampler()) -> DataFrame:
