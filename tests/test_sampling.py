@@ -34,7 +34,7 @@ def test_nuts_on_a_known_density():
         d = x - mean
         return -0.5 * float(d @ inv @ d), -inv @ d
 
-    x = np.array(list(nuts.draws(f, mean + 5 * scale, scale[:2] ** 2, rng, 4000, 1000)))
+    x = np.array(nuts.answered(nuts.chain(mean + 5 * scale, scale[:2] ** 2, rng, 4000, 1000), f))
     assert np.abs((x.mean(0) - mean) / scale).max() < 0.1
     assert np.abs(np.cov(x.T) / np.outer(scale, scale) - (0.6 + 0.4 * np.eye(5))).max() < 0.12
     assert min(chains.effective_size(x[:, i]) for i in range(5)) > 500
@@ -43,11 +43,11 @@ def test_nuts_on_a_known_density():
 def test_a_trajectory_ends_where_it_turns():
     f = lambda x: (-0.5 * float(x @ x), -x)
     m = nuts.Metric(2, 1, np.ones(1))
-    steps = [nuts.transition(f, np.ones(2), *f(np.ones(2)), 0.1, m, np.random.default_rng(i), 10)[2] for i in range(50)]
+    steps = [nuts.answered(nuts.transition(np.ones(2), *f(np.ones(2)), 0.1, m, np.random.default_rng(i), 10), f)[2] for i in range(50)]
     assert 15 <= np.median(steps) <= 63  # half a turn is 31 steps of 0.1
     wall = lambda x: (-math.inf, np.zeros(2)) if x[0] > 1.5 else f(x)
     for i in range(50):
-        (x, _, _), _, _ = nuts.transition(wall, np.ones(2), *f(np.ones(2)), 0.3, m, np.random.default_rng(i), 10)
+        (x, _, _), _, _ = nuts.answered(nuts.transition(np.ones(2), *f(np.ones(2)), 0.3, m, np.random.default_rng(i), 10), wall)
         assert x[0] <= 1.5
 
 
@@ -67,15 +67,34 @@ def test_whitened_gradient_and_volume(variant):
 
 
 def test_filters_agree():
-    x = np.random.default_rng(3).standard_normal(700)
-    for phi in (0.0, 0.3, -0.8, 0.97, 0.9999):
-        want, back = x.copy(), x.copy()
-        for t in range(1, len(x)):
-            want[t] += phi * want[t - 1]
-        for t in range(len(x) - 2, -1, -1):
-            back[t] += phi * back[t + 1]
-        p = sv._powers(phi, len(x))
-        assert np.allclose(sv._filtered(x, p), want, atol=1e-6) and np.allclose(sv._filtered(x, p, True), back, atol=1e-6)
+    x = np.random.default_rng(3).standard_normal((5, 700))
+    phi = np.array([[0.0], [0.3], [-0.8], [0.97], [0.9999]])
+    want, back = x.copy(), x.copy()
+    for t in range(1, 700):
+        want[:, t] += phi[:, 0] * want[:, t - 1]
+        back[:, 699 - t] += phi[:, 0] * back[:, 700 - t]
+    assert np.allclose(sv._filtered(x, phi), want, atol=1e-6) and np.allclose(sv._filtered(x, phi, True), back, atol=1e-6)
+
+
+@pytest.mark.parametrize("variant", list(sv.VARIANTS))
+def test_windows_side_by_side(variant):
+    """Many windows at once are as each alone, steps gone astray included."""
+    r = np.array([simulated(40, variant, k) for k in range(4)])
+    w = sv.Whitened(sv.Posterior(r, variant))
+    v = w.start() + 0.3 * np.random.default_rng(6).standard_normal((4, w.k + 40))
+    v[2, 1], v[3, 5] = 40.0, np.nan
+    like, grad = w(v)
+    assert like[2] == like[3] == -np.inf
+    for i in range(4):
+        one = sv.Whitened(sv.Posterior(r[i], variant))(v[i])
+        assert like[i] == pytest.approx(float(one[0]), rel=1e-9)
+        if i < 2:
+            assert grad[i] == pytest.approx(one[1], rel=1e-6, abs=1e-6)
+    s = sv.Sampler(10, 20, thin=1)
+    both = sv.fitted_all([r[0], np.zeros(40), r[1]], variant, [1, 2, 3], s)
+    assert both[1] is None
+    alone = sv.fitted(r[1], variant, 3, s)
+    assert all(np.allclose(both[2][0][n], alone[0][n], rtol=1e-3) for n in alone[0])
 
 
 @pytest.mark.parametrize("variant", list(sv.VARIANTS))
@@ -84,9 +103,8 @@ def test_chains_mix_and_find_the_truth(variant):
     R-hat under 1.05 in all but one at most; phi and sigma lie within 95% in at
     least five of six cases."""
     mixed, inside = 0, 0
-    for seed in (10, 11, 12):
-        r = simulated(250, variant, seed)
-        draws, converged, rhat, size = sv.fitted(r - r.mean(), variant, 42, sv.Sampler())
+    series = [simulated(250, variant, seed) for seed in (10, 11, 12)]
+    for draws, converged, rhat, size in sv.fitted_all([r - r.mean() for r in series], variant, [42] * 3, sv.Sampler()):
         assert converged == (size > 200) and rhat < 1.1
         mixed += size > 200 and rhat < 1.05
         inside += sum(np.quantile(draws[n], 0.025) <= TRUE[n] <= np.quantile(draws[n], 0.975) for n in ("phi", "sigma"))

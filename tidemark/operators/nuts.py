@@ -1,15 +1,21 @@
 """No-U-Turn sampling: a trajectory doubles until it turns back, a state of it is
-chosen by weight, and step and metric adapt while tuning."""
+chosen by weight, and step and metric adapt while tuning.
+
+A chain is a generator that asks for the density at one point after another, so
+that the points of many chains can be evaluated at once.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from dataclasses import dataclass
 
 import numpy as np
 
 Density = Callable[[np.ndarray], tuple[float, np.ndarray]]
+#: Yields points, gets (log density, gradient), returns T.
+Asking = Generator[np.ndarray, tuple[float, np.ndarray]]
 
 
 class Metric:
@@ -22,16 +28,20 @@ class Metric:
 
     def _renewed(self) -> None:
         self.root = np.linalg.cholesky(np.linalg.inv(self.cov))
-        self.inv_sd = 1 / np.sqrt(self.var)
+        self.scale = np.concatenate([np.ones(self.k), self.var])
+        self.inv_sd = 1 / np.sqrt(self.scale)
         self.seen, self.mean, self.m2 = 0, np.zeros(self.k + len(self.var)), np.zeros(len(self.var))
         self.m2k = np.zeros((self.k, self.k))
 
     def momentum(self, rng: np.random.Generator) -> np.ndarray:
-        p = rng.standard_normal(self.k + len(self.var))
-        return np.concatenate([self.root @ p[: self.k], p[self.k:] * self.inv_sd])
+        p = rng.standard_normal(self.k + len(self.var)) * self.inv_sd
+        p[: self.k] = self.root @ p[: self.k]
+        return p
 
     def velocity(self, p: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.cov @ p[: self.k], self.var * p[self.k:]])
+        v = self.scale * p
+        v[: self.k] = self.cov @ p[: self.k]
+        return v
 
     def add(self, x: np.ndarray) -> None:
         self.seen += 1
@@ -102,16 +112,16 @@ def _joined(m: Metric, old: _Tree, new: _Tree, forward: bool, rng: np.random.Gen
     return _Tree(a.left, b.right, new.chosen if take else old.chosen, weight, momenta, going, old.accepted + new.accepted, old.steps + new.steps)
 
 
-def transition(f: Density, x: np.ndarray, like: float, grad: np.ndarray, size: float, m: Metric, rng: np.random.Generator, most_depth: int) -> tuple[tuple, float, int]:
-    """((x, like, grad) of the next draw, mean acceptance, steps)."""
+def transition(x: np.ndarray, like: float, grad: np.ndarray, size: float, m: Metric, rng: np.random.Generator, most_depth: int) -> Asking:
+    """Returns ((x, like, grad) of the next draw, mean acceptance, steps)."""
     p = m.momentum(rng)
     energy = like - 0.5 * float(p @ m.velocity(p))
 
-    def leaf(end: tuple, sign: int) -> _Tree:
+    def leaf(end: tuple, sign: int) -> Asking:
         y, g, q = end
         q = q + 0.5 * sign * size * g
         y = y + sign * size * m.velocity(q)
-        value, g = f(y)
+        value, g = yield y
         q = q + 0.5 * sign * size * g
         gain = value - 0.5 * float(q @ m.velocity(q)) - energy
         if not math.isfinite(gain):
@@ -119,40 +129,40 @@ def transition(f: Density, x: np.ndarray, like: float, grad: np.ndarray, size: f
         end = (y, g, q)
         return _Tree(end, end, (y, value, g), gain, q, gain > -1000, math.exp(min(0.0, gain)), 1)
 
-    def grown(end: tuple, sign: int, depth: int) -> _Tree:
+    def grown(end: tuple, sign: int, depth: int) -> Asking:
         if not depth:
-            return leaf(end, sign)
-        half = grown(end, sign, depth - 1)
+            return (yield from leaf(end, sign))
+        half = yield from grown(end, sign, depth - 1)
         if not half.going:
             return half
-        other = grown(half.right if sign > 0 else half.left, sign, depth - 1)
+        other = yield from grown(half.right if sign > 0 else half.left, sign, depth - 1)
         return _joined(m, half, other, sign > 0, rng, False)
 
     end = (x, grad, p)
     tree = _Tree(end, end, (x, like, grad), 0.0, p, True, 0.0, 0)
     for depth in range(most_depth):
         forward = rng.random() < 0.5
-        new = grown(tree.right if forward else tree.left, 1 if forward else -1, depth)
+        new = yield from grown(tree.right if forward else tree.left, 1 if forward else -1, depth)
         tree = _joined(m, tree, new, forward, rng, True)
         if not tree.going:
             break
     return tree.chosen, tree.accepted / max(1, tree.steps), tree.steps
 
 
-def draws(f: Density, x: np.ndarray, first: np.ndarray, rng: np.random.Generator, n: int, tune: int, accept: float = 0.8, most_depth: int = 10, thin: int = 1):
-    """n states after tune, as a generator; first: variances of the coordinates
-    that share a covariance (the rest start at 1). The metric is renewed at the
-    ends of windows that double."""
-    like, grad = f(x)
+def chain(x: np.ndarray, first: np.ndarray, rng: np.random.Generator, n: int, tune: int, accept: float = 0.8, most_depth: int = 10, thin: int = 1) -> Asking:
+    """Returns n states after tune; first: variances of the coordinates that
+    share a covariance (the rest start at 1). The metric is renewed at the ends of
+    windows that double."""
+    like, grad = yield x
     m, step = Metric(len(x), len(first), first), StepSize(0.1, accept)
     begin, width = max(10, tune // 8), max(10, tune // 16)
-    renew = []
+    renew, kept = [], []
     while begin + 2 * width <= tune * 9 // 10:
         begin, width = begin + width, 2 * width
         renew.append(begin)
     renew.append(tune * 9 // 10)
     for i in range(tune):
-        (x, like, grad), accepted, _ = transition(f, x, like, grad, step.size, m, rng, most_depth)
+        (x, like, grad), accepted, _ = yield from transition(x, like, grad, step.size, m, rng, most_depth)
         step.learn(accepted)
         if i >= tune // 8:
             m.add(x)
@@ -161,7 +171,35 @@ def draws(f: Density, x: np.ndarray, first: np.ndarray, rng: np.random.Generator
             step.restart(step.size)
     if tune:
         step.settle()
-    for _ in range(n):
-        for _ in range(thin):
-            (x, like, grad), _, _ = transition(f, x, like, grad, step.size, m, rng, most_depth)
-        yield x
+    for i in range(n * thin):
+        (x, like, grad), _, _ = yield from transition(x, like, grad, step.size, m, rng, most_depth)
+        if i % thin == thin - 1:
+            kept.append(x)
+    return kept
+
+
+def answered(asking: Asking, f: Density):
+    """What one chain or transition returns."""
+    try:
+        x = next(asking)
+        while True:
+            x = asking.send(f(x))
+    except StopIteration as e:
+        return e.value
+
+
+def side_by_side(chains: list[Asking], f: Callable[[np.ndarray, list[int]], tuple[np.ndarray, np.ndarray]]) -> list:
+    """What many chains return; f(points, which) evaluates those that still ask,
+    a row each."""
+    out: list = [None] * len(chains)
+    asks = {i: next(c) for i, c in enumerate(chains)}
+    while asks:
+        which = list(asks)
+        like, grad = f(np.array([asks[i] for i in which]), which)
+        for i, value, g in zip(which, like.tolist(), grad):
+            try:
+                asks[i] = chains[i].send((value, g))
+            except StopIteration as e:
+                out[i] = e.value
+                del asks[i]
+    return out

@@ -3,6 +3,7 @@ No-U-Turn method with analytic gradients in coordinates that are nearly white.""
 
 from __future__ import annotations
 
+import copy
 import functools
 import math
 from dataclasses import dataclass
@@ -47,7 +48,7 @@ class Sampler:
     rank-normalised split R-hat under 1.01 and a size of over 400."""
 
     draws: int = 500
-    tune: int = 500
+    tune: int = 300
     accept: float = 0.7
     most_depth: int = 10
     thin: int = 2
@@ -68,7 +69,8 @@ def _digamma(x: float) -> float:
 class Posterior:
     """Log density and gradient over (mu, logit of (phi + 1) / 2, log sigma,
     [log nu], [atanh rho], z), with the latent log variance mu + sigma z. rho is
-    uniform, z a unit autoregression.
+    uniform, z a unit autoregression. r may be many windows, a row each; so are
+    the points then.
     """
 
     def __init__(self, r: np.ndarray, variant: str, priors: Priors = Priors()):
@@ -78,85 +80,97 @@ class Posterior:
         self.k, self.priors = 3 + self.heavy + self.lever, priors
 
     def parts(self, u: np.ndarray):
-        raw = 1 / (1 + math.exp(-u[1]))
-        nu = math.exp(u[3]) if self.heavy else 0.0
-        rho = math.tanh(u[3 + self.heavy]) if self.lever else 0.0
-        return u[0], raw, 2 * raw - 1, math.exp(u[2]), nu, rho, u[self.k:]
+        """mu, (phi + 1) / 2, phi, sigma, nu and rho as columns, and z."""
+        raw = 1 / (1 + np.exp(-u[..., 1:2]))
+        nu = np.exp(u[..., 3:4]) if self.heavy else np.zeros_like(raw)
+        rho = np.tanh(u[..., self.k - 1: self.k]) if self.lever else np.zeros_like(raw)
+        return u[..., :1], raw, 2 * raw - 1, np.exp(u[..., 2:3]), nu, rho, u[..., self.k:]
 
     def start(self) -> np.ndarray:
-        u = np.zeros(self.k + len(self.r))
-        u[0], u[1], u[2] = math.log(max(self.r.var(), 1e-12)), math.log(0.975 / 0.025), math.log(0.2)
+        u = np.zeros((*self.r.shape[:-1], self.k + self.r.shape[-1]))
+        u[..., 0], u[..., 1], u[..., 2] = np.log(np.maximum(self.r.var(axis=-1), 1e-12)), math.log(0.975 / 0.025), math.log(0.2)
         if self.heavy:
-            u[3] = math.log(15)
+            u[..., 3] = math.log(15)
         return u
 
-    def __call__(self, u: np.ndarray) -> tuple[float, np.ndarray]:
-        if not np.isfinite(u).all() or np.abs(u[1: self.k]).max() > 12 or abs(u[0]) > 100:
-            return -math.inf, np.zeros(len(u))  # a step gone astray
+    def astray(self, u: np.ndarray) -> np.ndarray:
+        """Points that no step should have come to."""
+        return ~np.isfinite(u).all(axis=-1) | (np.abs(u[..., 1: self.k]).max(axis=-1) > 12) | (np.abs(u[..., 0]) > 1000)
+
+    def __call__(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bad = self.astray(u)
+        if bad.any():
+            u = np.where(bad[..., None], self.start(), u)
         mu, raw, phi, sigma, nu, rho, z = self.parts(u)
-        n, q0 = len(z), self.priors
-        h = np.clip(mu + sigma * z, -60, 60)
-        y = self.r * np.exp(-h / 2)
-        eta = np.empty(n)
-        eta[0] = z[0] * (1 - phi)
-        step = z[1:] - phi * z[:-1]
-        eta[1:] = step
-        c2 = max(1e-6, 1 - rho * rho)
-        c = math.sqrt(c2)
-        w = (y - rho * eta) / c
-        like = -0.5 * h.sum() - n * math.log(c)
+        n, q0 = z.shape[-1], self.priors
+        h = np.minimum(np.maximum(mu + sigma * z, -60), 60)
+        y = self.r * np.exp(-0.5 * h)
+        step = z[..., 1:] - phi * z[..., :-1]
+        squares = lambda x: np.einsum("...i,...i->...", x, x)[..., None]
+        like = -0.5 * h.sum(axis=-1, keepdims=True)
+        if self.lever:
+            eta = np.concatenate([z[..., :1] * (1 - phi), step], axis=-1)
+            c2 = np.maximum(1e-6, 1 - rho * rho)
+            c = np.sqrt(c2)
+            w = (y - rho * eta) / c
+            like -= (n - 2) * np.log(c)
+        else:
+            c, w = 1.0, y
         if self.heavy:
-            q = 1 + w * w / nu
-            lq = np.log(q).sum()
-            like += n * (math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi)) - (nu + 1) / 2 * lq
+            w2 = w * w
+            q = 1 + w2 / nu
+            lq = np.log(q).sum(axis=-1, keepdims=True)
+            const = np.array([math.lgamma((x + 1) / 2) - math.lgamma(x / 2) - 0.5 * math.log(x * math.pi) for x in nu.ravel()]).reshape(nu.shape)
+            like += n * const - (nu + 1) / 2 * lq
             g = -(nu + 1) * w / (nu * q)
         else:
-            like += -0.5 * (w @ w) - 0.5 * n * math.log(2 * math.pi)
+            like -= 0.5 * squares(w) + 0.5 * n * math.log(2 * math.pi)
             g = -w
-        v0 = 1 - phi * phi + 1e-6
-        like += 0.5 * math.log(v0) - 0.5 * v0 * z[0] ** 2 - 0.5 * (step @ step)
-        like += -0.5 * ((mu - q0.mu_mean) / q0.mu_sd) ** 2 + q0.phi_a * math.log(raw) + q0.phi_b * math.log1p(-raw) - math.log1p((sigma / q0.sigma) ** 2) + u[2]
+        z0, v0 = z[..., :1], 1 - phi * phi + 1e-6
+        like += 0.5 * np.log(v0) - 0.5 * v0 * z0**2 - 0.5 * squares(step)
+        like += -0.5 * ((mu - q0.mu_mean) / q0.mu_sd) ** 2 + q0.phi_a * np.log(raw) + q0.phi_b * np.log1p(-raw) - np.log1p((sigma / q0.sigma) ** 2) + u[..., 2:3]
         dh = -0.5 - g * y / (2 * c)
-        de = -g * rho / c
-        grad = np.empty(len(u))
-        dz = sigma * dh
-        dz[0] += de[0] * (1 - phi) - v0 * z[0]
-        dz[1:] += de[1:] - step
-        dz[:-1] -= phi * (de[1:] - step)
-        dphi = -(de[1:] @ z[:-1]) - de[0] * z[0] + step @ z[:-1] - phi / v0 + phi * z[0] ** 2
-        grad[0] = dh.sum() - (mu - q0.mu_mean) / q0.mu_sd**2
-        grad[1] = dphi * 2 * raw * (1 - raw) + q0.phi_a * (1 - raw) - q0.phi_b * raw
-        grad[2] = sigma * (dh @ z) + 1 - 2 * sigma * sigma / (q0.sigma**2 + sigma * sigma)
-        if self.heavy:
-            like += q0.nu_shape * u[3] - q0.nu_rate * nu
-            dnu = n * (0.5 * _digamma((nu + 1) / 2) - 0.5 * _digamma(nu / 2) - 0.5 / nu) - 0.5 * lq + (nu + 1) / 2 * ((w * w / (nu * nu)) / q).sum()
-            grad[3] = dnu * nu + q0.nu_shape - q0.nu_rate * nu
+        grad = np.empty(u.shape)
+        dz = grad[..., self.k:]
+        np.multiply(sigma, dh, out=dz)
+        dz[..., :1] -= v0 * z0
+        pull = step
+        dphi = phi * z0**2 - phi / v0
         if self.lever:
-            like += math.log(c2)
-            drho = n * rho / c2 + (g * (-eta / c + w * rho / c2)).sum()
-            grad[3 + self.heavy] = drho * c2 - 2 * rho
-        grad[self.k:] = dz
+            de = -g * rho / c
+            dz[..., :1] += de[..., :1] * (1 - phi)
+            pull = step - de[..., 1:]
+            dphi = dphi - de[..., :1] * z0
+            like_rho = n * rho / c2 + (g * (-eta / c + w * rho / c2)).sum(axis=-1, keepdims=True)
+            grad[..., self.k - 1: self.k] = like_rho * c2 - 2 * rho
+        dz[..., 1:] -= pull
+        dz[..., :-1] += phi * pull
+        along = lambda a, b: np.einsum("...i,...i->...", a, b)[..., None]
+        dphi = dphi + along(pull, z[..., :-1])
+        grad[..., :1] = dh.sum(axis=-1, keepdims=True) - (mu - q0.mu_mean) / q0.mu_sd**2
+        grad[..., 1:2] = dphi * 2 * raw * (1 - raw) + q0.phi_a * (1 - raw) - q0.phi_b * raw
+        grad[..., 2:3] = sigma * along(dh, z) + 1 - 2 * sigma * sigma / (q0.sigma**2 + sigma * sigma)
+        if self.heavy:
+            like += q0.nu_shape * u[..., 3:4] - q0.nu_rate * nu
+            half = np.array([0.5 * _digamma((x + 1) / 2) - 0.5 * _digamma(x / 2) - 0.5 / x for x in nu.ravel()]).reshape(nu.shape)
+            dnu = n * half - 0.5 * lq + (nu + 1) / 2 * (w2 / q).sum(axis=-1, keepdims=True) / (nu * nu)
+            grad[..., 3:4] = dnu * nu + q0.nu_shape - q0.nu_rate * nu
+        like = np.where(bad, -np.inf, like[..., 0])
         return like, grad
 
 
-def _powers(phi: float, n: int) -> np.ndarray:
-    """1, phi, phi^2, ... as far as they matter among n."""
-    a = abs(phi)
-    return phi ** np.arange(n if a > 0.999 else min(n, 2 + int(-21 / math.log(a))) if a > 1e-9 else 1)
-
-
-def _filtered(x: np.ndarray, powers: np.ndarray, back: bool = False) -> np.ndarray:
-    """y[t] = x[t] + phi y[t - 1] (back: y[t + 1]) for all t, from _powers(phi):
-    a convolution, or doubling where the powers are many."""
-    n, k = len(x), len(powers)
-    if k * n < 150_000:
-        return np.correlate(x, powers, "full")[k - 1:] if back else np.convolve(x, powers)[:n]
-    y, k, p = x.copy(), 1, powers[1]
-    while k < n and abs(p) > 1e-17:
+def _filtered(x: np.ndarray, phi: np.ndarray, back: bool = False) -> np.ndarray:
+    """y[t] = x[t] + phi y[t - 1] (back: y[t + 1]) for all t of each row, by
+    doubling, as far as the powers of phi matter."""
+    n = x.shape[-1]
+    reach = np.minimum(n, -21 / np.log(np.clip(np.abs(phi), 1e-9, 0.9999)))
+    y, k, p, most = x.copy(), 1, phi, reach.max()
+    while k < most:
+        p = p * (k < reach)
         if back:
-            y[:-k] += p * y[k:]
+            y[..., :-k] += p * y[..., k:]
         else:
-            y[k:] += p * y[:-k]
+            y[..., k:] += p * y[..., :-k]
         k, p = 2 * k, p * p
     return y
 
@@ -178,131 +192,155 @@ class Whitened:
     """
 
     def __init__(self, post: Posterior):
-        self.post, self.k, self.n = post, post.k, len(post.r)
+        self.post, self.k, self.n = post, post.k, post.r.shape[-1]
         self.c = 0.4 if post.heavy else 0.5
-        h, self.pseudo = self._path(post.start()[0], 0.95, 0.25)
-        self.level = float(self.pseudo.mean())
+        h, self.pseudo = self._path(post.start()[..., :1], np.array([0.95]), np.array([0.25]))
+        self.level = self.pseudo.mean(axis=-1, keepdims=True)
         y = post.r * np.exp(-np.clip(h, -60, 60) / 2)
         self.unit = y * (16 / (15 + y * y)) if post.heavy else y
 
-    def _path(self, mu: float, phi: float, sigma: float, rounds: int = 8):
+    def rows(self, which: list[int]) -> Whitened:
+        """The same of some of the windows."""
+        if len(which) == len(self.post.r):
+            return self
+        out = copy.copy(self)
+        out.post = copy.copy(self.post)
+        out.post.r, out.pseudo, out.level, out.unit = (x[which] for x in (self.post.r, self.pseudo, self.level, self.unit))
+        return out
+
+    def _path(self, mu: np.ndarray, phi: np.ndarray, sigma: np.ndarray, rounds: int = 8):
         """Newton steps on the path of log variances, with expected information."""
         r2, nu = self.post.r**2, 15.0
-        h = np.full(self.n, mu)
+        h = mu + np.zeros(self.n)
         p, s, _ = self._filter(phi, sigma)
-        powers = _powers(p, self.n)
         for _ in range(rounds):
             y2 = r2 * np.exp(-np.clip(h, -60, 60))
             score = 0.5 * ((nu + 1) * y2 / (nu + y2) if self.post.heavy else y2) - 0.5
             pseudo = h + np.clip(score / self.c, -4, 4)
-            h = mu + s * _filtered(s * _filtered(self.c * (pseudo - mu), powers, True), powers)
+            h = mu + s * _filtered(s * _filtered(self.c * (pseudo - mu), p, True), p)
         return h, pseudo
 
-    def _filter(self, phi: float, sigma: float):
+    def _filter(self, phi: np.ndarray, sigma: np.ndarray):
         """phi', sigma' and the derivatives of phi' and log sigma' by phi and log
         sigma."""
         g = self.c * sigma * sigma
         b = 1 + phi * phi + g
-        d = math.sqrt(max(b * b - 4 * phi * phi, 1e-14))
+        d = np.sqrt(np.maximum(b * b - 4 * phi * phi, 1e-14))
         s = b + d
         s_phi, s_sigma = 2 * phi * (1 + (b - 2) / d), 2 * g * (1 + b / d)
         p = 2 * phi / s
-        return p, sigma * math.sqrt(2 / s), (2 / s - p * s_phi / s, -p * s_sigma / s, -0.5 * s_phi / s, 1 - 0.5 * s_sigma / s)
+        return p, sigma * np.sqrt(2 / s), (2 / s - p * s_phi / s, -p * s_sigma / s, -0.5 * s_phi / s, 1 - 0.5 * s_sigma / s)
 
-    def _mean(self, unit: float, phi: float, sigma: float):
+    def _mean(self, unit: np.ndarray, phi: np.ndarray, sigma: np.ndarray):
         """mu, its scale, and the derivatives of both by phi and log sigma."""
         q0 = self.post.priors
-        p0, far = 1 / q0.mu_sd**2, sigma * sigma / max(1e-12, (1 - phi) ** 2)
+        p0, far = 1 / q0.mu_sd**2, sigma * sigma / np.maximum(1e-12, (1 - phi) ** 2)
         a = far + 1 / self.c
         info = self.n / a
-        scale = (p0 + info) ** -0.5
-        by_a = np.array([2 * far / max(1e-6, 1 - phi), 2 * far])
-        by_info = -info / a * by_a
+        scale = 1 / np.sqrt(p0 + info)
+        by_info = [-info / a * x for x in (2 * far / np.maximum(1e-6, 1 - phi), 2 * far)]
         mean = (p0 * q0.mu_mean + info * self.level) * scale * scale
-        by_scale = -0.5 * scale**3 * by_info
-        return mean + scale * unit, scale, p0 * (self.level - q0.mu_mean) * scale**4 * by_info + unit * by_scale, by_scale / scale
+        by_scale = [-0.5 * scale**3 * x for x in by_info]
+        return mean + scale * unit, scale, [p0 * (self.level - q0.mu_mean) * scale**4 * x + unit * y for x, y in zip(by_info, by_scale)], [x / scale for x in by_scale]
 
     def _latent(self, v: np.ndarray):
         """The parameters, x, and what it is made of."""
-        raw, sigma = 1 / (1 + math.exp(-v[1])), math.exp(v[2])
-        mean = self._mean(v[0], 2 * raw - 1, sigma)
-        phi, rho = 2 * raw - 1, math.tanh(v[self.k - 1]) if self.post.lever else 0.0
-        p, s, by = self._filter(phi, sigma * math.sqrt(max(1e-6, 1 - rho * rho)))
-        m = sigma * rho * _filtered(self.unit, _powers(phi, self.n)) if self.post.lever else 0.0
-        powers = _powers(p, self.n)
-        w = s * _filtered(self.c * (self.pseudo - mean[0] - m), powers, True)
-        drive = v[self.k:] + w
-        own = s * _filtered(drive, powers)
-        return mean, raw, phi, sigma, rho, powers, s, by, m, w, drive, own
+        raw, sigma = 1 / (1 + np.exp(-v[..., 1:2])), np.exp(v[..., 2:3])
+        phi = 2 * raw - 1
+        rho = np.tanh(v[..., self.k - 1: self.k]) if self.post.lever else 0.0
+        mean = self._mean(v[..., :1], phi, sigma)
+        p, s, by = self._filter(phi, sigma * np.sqrt(np.maximum(1e-6, 1 - rho * rho)) if self.post.lever else sigma)
+        a = _filtered(self.unit + np.zeros_like(phi), phi) if self.post.lever else 0.0
+        m = sigma * rho * a
+        w = s * _filtered(self.c * (self.pseudo - mean[0] - m), p, True)
+        drive = v[..., self.k:] + w
+        own = s * _filtered(drive, p)
+        return mean, raw, phi, sigma, rho, p, s, by, a, m, w, drive, own
 
     def to_posterior(self, v: np.ndarray) -> np.ndarray:
         """The Posterior's coordinates of v."""
-        mean, _, _, sigma, _, _, _, _, m, _, _, own = self._latent(v)
-        return np.concatenate([[mean[0]], v[1: self.k], (m + own) / sigma])
+        mean, _, _, sigma, *_, m, _, _, own = self._latent(v)
+        return np.concatenate([mean[0], v[..., 1: self.k], (m + own) / sigma], axis=-1)
 
     def start(self) -> np.ndarray:
-        return np.concatenate([[0.0], self.post.start()[1: self.k], np.zeros(self.n)])
+        u = self.post.start()
+        u[..., 0] = 0.0
+        return u
 
-    def __call__(self, v: np.ndarray) -> tuple[float, np.ndarray]:
-        if not np.isfinite(v).all() or np.abs(v[1: self.k]).max() > 12 or abs(v[0]) > 1000:
-            return -math.inf, np.zeros(len(v))  # a step gone astray
-        (mu, scale, mu_by, scale_by), raw, phi, sigma, rho, powers, s, (p_phi, p_sigma, s_phi, s_sigma), m, w, drive, own = self._latent(v)
+    def __call__(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bad = self.post.astray(v)
+        if bad.any():
+            v = np.where(bad[..., None], self.start(), v)
+        (mu, scale, mu_by, scale_by), raw, phi, sigma, rho, p, s, (p_phi, p_sigma, s_phi, s_sigma), a, m, w, drive, own = self._latent(v)
         z = (m + own) / sigma
-        like, g = self.post(np.concatenate([[mu], v[1: self.k], z]))
-        if not math.isfinite(like):
-            return -math.inf, np.zeros(len(v))
-        gz = g[self.k:]
-        gx = gz / sigma
-        back = s * _filtered(gx, powers, True)  # by e, and by w
-        by_d = s * _filtered(back, powers)
-        by_log_s = float(back @ (drive + w)) + self.n
-        by_p = float(back[1:] @ own[:-1] + by_d[:-1] @ w[1:]) / s
+        like, g = self.post(np.concatenate([mu, v[..., 1: self.k], z], axis=-1))
+        along = lambda a, b: np.einsum("...i,...i->...", a, b)[..., None]
+        gx = g[..., self.k:] / sigma
+        back = s * _filtered(gx, p, True)  # by e, and by w
+        by_d = s * _filtered(back, p)
+        by_log_s = along(back, drive + w) + self.n
+        by_p = (along(back[..., 1:], own[..., :-1]) + along(by_d[..., :-1], w[..., 1:])) / s
         by_sigma = by_p * p_sigma + by_log_s * s_sigma
-        by_phi = by_p * p_phi + by_log_s * s_phi
-        grad = np.concatenate([g[: self.k], back])
-        by_mu = g[0] - self.c * by_d.sum()
-        grad[0] = scale * by_mu
-        by_phi += by_mu * mu_by[0] + scale_by[0]
-        grad[2] += by_sigma - gz @ z - self.n + by_mu * mu_by[1] + scale_by[1]
+        by_mu = g[..., :1] - self.c * by_d.sum(axis=-1, keepdims=True)
+        by_phi = by_p * p_phi + by_log_s * s_phi + by_mu * mu_by[0] + scale_by[0]
+        grad = g
+        grad[..., self.k:] = back
+        grad[..., :1] = scale * by_mu
+        grad[..., 2:3] += by_sigma - along(gx, z) * sigma - self.n + by_mu * mu_by[1] + scale_by[1]
         if self.post.lever:
             by_m = gx - self.c * by_d
-            along = float(by_m @ m)
-            by_phi += float(_filtered(by_m, _powers(phi, self.n), True)[1:] @ m[:-1])
-            grad[2] += along
-            grad[self.k - 1] += (1 - rho * rho) * (along / rho if abs(rho) > 1e-8 else float(by_m @ _filtered(self.unit, _powers(phi, self.n))) * sigma) - rho * by_sigma
-        grad[1] += by_phi * 2 * raw * (1 - raw)
-        return like + self.n * math.log(s / sigma) + math.log(scale), grad
+            own_rho = along(by_m, a) * sigma
+            by_phi = by_phi + along(_filtered(by_m, phi, True)[..., 1:], m[..., :-1])
+            grad[..., 2:3] += own_rho * rho
+            grad[..., self.k - 1: self.k] += (1 - rho * rho) * own_rho - rho * by_sigma
+        grad[..., 1:2] += by_phi * 2 * raw * (1 - raw)
+        volume = self.n * np.log(s / sigma) + np.log(scale)
+        return np.where(bad | ~np.isfinite(like), -np.inf, like + volume[..., 0]), grad
 
 
 #: Variances that the sampler starts from, of mu, logit, log sigma, log nu, atanh rho.
 _FIRST = {"mu": 1.0, "phi": 0.5, "sigma": 0.15, "nu": 0.3, "rho": 0.1}
 
 
-def sample(r: np.ndarray, variant: str, seed: int, s: Sampler = Sampler()) -> dict[str, np.ndarray]:
-    """Draws of mu, phi, sigma, nu, rho and the last latent log variance."""
+def sample(r: np.ndarray, variant: str, seeds: list[int], s: Sampler = Sampler()) -> list[dict[str, np.ndarray]]:
+    """Draws of mu, phi, sigma, nu, rho and the last latent log variance, of each
+    window (a row of r) from its seed. Their chains run side by side, but each
+    draws as it would alone."""
     post = Posterior(r, variant, s.priors)
-    white, keep = Whitened(post), {n: np.empty(s.draws) for n in ("mu", "phi", "sigma", "nu", "rho", "h_last")}
-    first = np.array([_FIRST[n] for n in _names(variant)])
-    states = nuts.draws(white, white.start(), first, np.random.default_rng(seed), s.draws, s.tune, s.accept, s.most_depth, s.thin)
-    for i, v in enumerate(states):
-        mu, _, phi, sigma, nu, rho, z = post.parts(white.to_posterior(v))
-        for n, x in zip(keep, (mu, phi, sigma, nu, rho, mu + sigma * z[-1])):
-            keep[n][i] = x
-    return keep
-
-
-def fitted(x: np.ndarray, variant: str, seed: int, s: Sampler) -> tuple[dict[str, np.ndarray], bool, float, float] | None:
-    """(draws of all chains, converged, largest R-hat, least effective size) for
-    demeaned returns; None where they do not vary or nothing finite comes out."""
-    if len(x) < 2 or not x.std() > 0:
-        return None
-    got = [sample(x, variant, seed + 7919 * k, s) for k in range(s.chains)]
-    draws = {n: np.concatenate([c[n] for c in got]) for n in got[0]}
-    if not all(np.isfinite(v).all() for v in draws.values()):
-        return None
-    rhat = max(chains.rhat(*(c[n] for c in got)) for n in _names(variant))
-    size = min(chains.effective_size(*(c[n] for c in got)) for n in _names(variant))
-    return draws, bool(size > 200 if s.chains == 1 else rhat < 1.01 and size > 400), rhat, size
+    white, names = Whitened(post), ("mu", "phi", "sigma", "nu", "rho", "h_last")
+    first, start = np.array([_FIRST[n] for n in _names(variant)]), white.start()
+    runs = [nuts.chain(x, first, np.random.default_rng(k), s.draws, s.tune, s.accept, s.most_depth, s.thin) for x, k in zip(start, seeds)]
+    out = []
+    for i, states in enumerate(nuts.side_by_side(runs, lambda v, which: white.rows(which)(v))):
+        one = white.rows([i])
+        u = np.array([one.to_posterior(v[None])[0] for v in states])
+        mu, _, phi, sigma, nu, rho, z = post.parts(u)
+        out.append({n: x[:, 0] for n, x in zip(names, (mu, phi, sigma, nu, rho, mu + sigma * z[:, -1:]))})
+    return out
+
+
+def fitted_all(windows: list[np.ndarray], variant: str, seeds: list[int], s: Sampler) -> list[tuple[dict[str, np.ndarray], bool, float, float] | None]:
+    """For each window of demeaned returns, all of one length, (draws of all
+    chains, converged, largest R-hat, least effective size); None where they do
+    not vary or nothing finite comes out."""
+    out: list = [None] * len(windows)
+    able = [i for i, x in enumerate(windows) if len(x) > 1 and x.std() > 0]
+    if not able:
+        return out
+    made = sample(np.array([windows[i] for i in able for _ in range(s.chains)]), variant, [seeds[i] + 7919 * k for i in able for k in range(s.chains)], s)
+    for j, i in enumerate(able):
+        got = made[j * s.chains: (j + 1) * s.chains]
+        draws = {n: np.concatenate([c[n] for c in got]) for n in got[0]}
+        if all(np.isfinite(v).all() for v in draws.values()):
+            rhat = max(chains.rhat(*(c[n] for c in got)) for n in _names(variant))
+            size = min(chains.effective_size(*(c[n] for c in got)) for n in _names(variant))
+            out[i] = draws, bool(size > 200 if s.chains == 1 else rhat < 1.01 and size > 400), rhat, size
+    return out
+
+
+def fitted(x: np.ndarray, variant: str, seed: int, s: Sampler):
+    """fitted_all() of one window."""
+    return fitted_all([x], variant, [seed], s)[0]
 
 
 def var_es(draws: dict[str, np.ndarray], variant: str, mean: float, alphas: tuple[float, ...], seed: int, use_rho: bool = False) -> dict[float, tuple[float, float]]:
@@ -328,9 +366,14 @@ def _names(variant: str) -> list[str]:
     return ["mu", "phi", "sigma"] + ["nu"] * heavy + ["rho"] * lever
 
 
-def _refits(returns: DataFrame, c: Config) -> DataFrame:
-    """A group a regular refit: the window before it and the days it serves."""
-    return dealt(blocked(returns.select("series_id", "date", "t", "ret"), c.window, c.window + 1, c.refit_every))
+#: Refits of a series whose chains run side by side in one group.
+TOGETHER = 16
+
+
+def _spans(returns: DataFrame, c: Config) -> DataFrame:
+    """A group for TOGETHER regular refits in a row: the window before the first
+    and the days that they serve."""
+    return dealt(blocked(returns, c.window, c.window + 1, TOGETHER * c.refit_every))
 
 
 _TRIED = "series_id string, first int, block long, fit_t int, converged boolean, max_rhat double, min_ess double, figures array<struct<alpha:double,var:double,es:double>>"
@@ -343,20 +386,32 @@ def _tried(returns: DataFrame, due: DataFrame, variant: str, c: Config, s: Sampl
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t").reset_index(drop=True)
-        ret, days = pdf["ret"].to_numpy(), np.flatnonzero(pdf["target"].to_numpy()).tolist()
-        day, fit, figures = None, None, None
-        for i in days:
-            x, day = ret[max(0, i - c.window): i], int(pdf["day"][i])
-            fit = fitted(x - x.mean(), variant, c.seed + day - c.window - 1, s)
-            if fit:
-                figures = [{"alpha": a, "var": v, "es": e} for a, (v, e) in var_es(fit[0], variant, float(x.mean()), c.alphas, c.seed, s.use_rho).items()]
-                break
-        row = (pdf["series_id"][0], int(pdf["day"][days[0]]), int(pdf["block"][0]), day if fit else None, bool(fit and fit[1]), *(fit[2:] if fit else (None, None)), figures)
-        return pd.DataFrame([row], columns=["series_id", "first", "block", "fit_t", "converged", "max_rhat", "min_ess", "figures"]).astype({"fit_t": "Int32"})
+        ret, day, days = pdf["ret"].to_numpy(), pdf["day"].tolist(), np.flatnonzero(pdf["target"].to_numpy()).tolist()
+        spans, k = [days[k: k + c.refit_every] for k in range(0, len(days), c.refit_every)], int(pdf["block"][0]) * TOGETHER
+        if pdf["left"].notna().any():
+            spans = spans[: max(0, int(pdf["left"][0]) - k)]
+        window = lambda i: ret[i - c.window: i]
+        tries, fits = [0] * len(spans), [None] * len(spans)
+        while open_ := [j for j, span in enumerate(spans) if fits[j] is None and tries[j] < len(span)]:
+            at = [spans[j][tries[j]] for j in open_]
+            got = fitted_all([window(i) - window(i).mean() for i in at], variant, [c.seed + day[i] - c.window - 1 for i in at], s)
+            for j, fit in zip(open_, got):
+                fits[j], tries[j] = fit, tries[j] + (fit is None)
+        out = []
+        for j, (span, fit) in enumerate(zip(spans, fits)):
+            row = (pdf["series_id"][0], day[span[0]], k + j)
+            if fit is None:
+                out.append((*row, None, False, None, None, None))
+            else:
+                i = span[tries[j]]
+                figures = var_es(fit[0], variant, float(window(i).mean()), c.alphas, c.seed, s.use_rho)
+                out.append((*row, day[i], *fit[1:], [{"alpha": a, "var": v, "es": e} for a, (v, e) in figures.items()]))
+        return pd.DataFrame(out, columns=["series_id", "first", "block", "fit_t", "converged", "max_rhat", "min_ess", "figures"]).astype({"fit_t": "Int32"})
 
     # days are counted so that the due one is the first after a window
     rows = returns.select("series_id", "t", "ret").join(due, "series_id").withColumn("day", F.col("t")).withColumn("t", F.col("t") - F.col("due") + c.window + 1)
-    return dealt(blocked(rows, c.window, c.window + 1, c.refit_every).where("left is null or block < left")).groupBy("series_id", "block").applyInPandas(one, _TRIED)
+    rows = _spans(rows, c).where(f"left is null or block * {TOGETHER} < left")
+    return rows.groupBy("series_id", "block").applyInPandas(one, _TRIED)
 
 
 def refits(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(), due: DataFrame | None = None, most: int | None = None) -> DataFrame:
@@ -372,7 +427,7 @@ def refits(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(),
     each series' next fit is due; by default the first with a window before it.
     most: how many spans of a series are made.
     """
-    Posterior(np.zeros(2), variant)
+    Posterior(np.zeros(2), variant)  # is there such a variant?
     if due is None:
         due = returns.select("series_id").distinct().withColumn("due", F.lit(c.window + 1))
     due, kept = due.select("series_id", "due", F.lit(most).cast("long").alias("left")), []
@@ -422,12 +477,13 @@ def posterior(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(
     """(series_id, variant, refit_t, draw, mu, phi, sigma, nu, rho, h_last)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t = int(pdf.loc[pdf["target"], "t"].iloc[0])
-        x = pdf.loc[~pdf["target"], "ret"].to_numpy()[-c.window:]
-        d = fitted(x - x.mean(), variant, c.seed + t - c.window - 1, s)
-        if d is None:
-            return pd.DataFrame(columns=["series_id", "variant", "refit_t", "draw", "mu", "phi", "sigma", "nu", "rho", "h_last"])
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "variant": variant, "refit_t": t, "draw": range(len(d[0]["mu"])), **d[0]})
-
-    return _refits(returns, c).groupBy("series_id", "block").applyInPandas(one, "series_id string, variant string, refit_t int, draw int, mu double, phi double, sigma double, nu double, rho double, h_last double")
+        pdf = pdf.sort_values("t").reset_index(drop=True)
+        ret, t, days = pdf["ret"].to_numpy(), pdf["t"].tolist(), np.flatnonzero(pdf["target"].to_numpy()).tolist()[:: c.refit_every]
+        windows = [ret[i - c.window: i] for i in days]
+        names = ["series_id", "variant", "refit_t", "draw", "mu", "phi", "sigma", "nu", "rho", "h_last"]
+        got = fitted_all([x - x.mean() for x in windows], variant, [c.seed + t[i] - c.window - 1 for i in days], s)
+        parts = [pd.DataFrame({"series_id": pdf["series_id"][0], "variant": variant, "refit_t": t[i], "draw": range(len(d[0]["mu"])), **d[0]}) for i, d in zip(days, got) if d]
+        return pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
+
+    schema = "series_id string, variant string, refit_t int, draw int, mu double, phi double, sigma double, nu double, rho double, h_last double"
+    return _spans(returns.select("series_id", "t", "ret"), c).groupBy("series_id", "block").applyInPandas(one, schema)
