@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import stats
-from . import sliding
+from . import scans, sliding
 
 FORECAST = ("series_id", "model", "date", "t", "alpha", "actual_return", "var", "es", "estimation_failed")
 
@@ -126,6 +126,14 @@ def kappa_path(fits: DataFrame, c: Config, every: int = 21) -> DataFrame:
     return fits.where((F.col("t") - c.window - 1) % every == 0).select("series_id", "date", F.when(F.col("converged"), F.col("kappa")).alias("kappa"))
 
 
+def price_days(prices: DataFrame, width: int = scans.WIDTH) -> DataFrame:
+    """(series_id, date, t, price, ret) of the days with a positive price, counted
+    by themselves; ret is null. ou_fits() of it follows the prices' own days,
+    also where a missing one has cost two returns."""
+    rows = scans.bucketed(prices.where("price > 0").select("series_id", "date", "price"), "date", width)
+    return scans.scanned(rows, ("series_id",), ["date"], None, t="number").select("series_id", "date", "t", "price", F.lit(None).cast("double").alias("ret"))
+
+
 def refit_schedule(returns: DataFrame, c: Config) -> DataFrame:
     """The forecast days and the t of the fit that each uses."""
     t = F.col("t")

@@ -126,6 +126,7 @@ QUERIES = {
     "ou_var_es": lambda s, d: _rounded(_ou(s, d), actual_return=8, var=6, es=6),
     "ou_fail_rate": lambda s, d: _rounded(rolling.failure_rate(_ou(s, d)), pct_failed=6),
     "ou_kappa_21d": lambda s, d: _rounded(rolling.kappa_path(_fits(s, d), SHORT), kappa=6),
+    "ou_kappa_prices": lambda s, d: _rounded(rolling.kappa_path(rolling.ou_fits(rolling.price_days(_prices(s, d, True)), SHORT), SHORT), kappa=6),
     "backtest_table": _table,
     "pass_summary": lambda s, d: report.pass_summary(_table(s, d)),
     "backtest_table_full": lambda s, d: _full(s, d),
@@ -305,6 +306,8 @@ ORACLE_SQL = {
     "ou_fail_rate": f"""WITH {_RET_SQL}, {_ALPHAS_SQL}, {_OU_SQL} SELECT series_id, model, alpha, count(*) FILTER (WHERE estimation_failed) AS n_failed, count(*) AS n,
   round(count(*) FILTER (WHERE estimation_failed) * 100.0 / count(*), 6) AS pct_failed FROM ou GROUP BY 1, 2, 3""",
     "ou_kappa_21d": f"WITH {_RET_SQL}, {_OU_FITS_SQL} SELECT series_id, date, round(CASE WHEN converged THEN kappa END, 6) AS kappa FROM fits WHERE (t - {SHORT.window + 1}) % 21 = 0",
+    "ou_kappa_prices": f"""WITH {_BARS_SQL}, ret AS (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) AS t, {_MASKED} AS price, NULL AS ret FROM bars WHERE {_MASKED} > 0),
+{_OU_FITS_SQL} SELECT series_id, date, round(CASE WHEN converged THEN kappa END, 6) AS kappa FROM fits WHERE (t - {SHORT.window + 1}) % 21 = 0""",
     "backtest_table": f"{_TABLE_SQL} SELECT * FROM tab",
     "pass_summary": f"{_TABLE_SQL} SELECT series_id, model, {_PASSES}, count(alpha) * 3 AS total_tests FROM tab GROUP BY 1, 2",
     "heatmap_pivot": f"{_TABLE_SQL} SELECT model, {_CELLS} FROM tab GROUP BY 1",
