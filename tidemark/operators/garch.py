@@ -16,95 +16,184 @@ from ..functions import stats
 from .rolling import block_days, blocked, dealt, only_in
 
 _MOST = 50.0
+_SUM = 1.05  # the most that a GARCH fit's weights of squares and variances add up to
+_STARTS = {"GARCH": ((0.05, 0.90), (0.20, 0.50)), "EGARCH": ((0.10, 0.95), (0.30, 0.60))}
+_STEPS = (2.0, 1.0, 0.5, 0.2, 0.05, 0.005)
+
+
+def _parts(nat: np.ndarray, p: int, o: int):
+    """(mean, constant, weights of squares, of signs, of variances) of rows."""
+    return nat[:, 0], nat[:, 1], nat[:, 2: 2 + p], nat[:, 2 + p: 2 + p + o], nat[:, 2 + p + o:]
 
 
 def _unpack(theta: np.ndarray, kind: str, p: int, q: int, o: int):
     """Parameters as they enter the recursion; theta is (rows, parameters)."""
-    mu, c = theta[:, 0], theta[:, 1]
-    a, g, b = theta[:, 2: 2 + p], theta[:, 2 + p: 2 + p + o], theta[:, 2 + p + o:]
-    if kind == "GARCH":  # positive, with a sum below one
+    mu, c, a, g, b = _parts(theta, p, o)
+    if kind == "GARCH":  # positive, with a sum below _SUM
         e = np.exp(np.clip(np.concatenate([a, b], 1), -_MOST, _MOST))
-        e = 0.9999 * e / (1 + e.sum(1, keepdims=True))
+        e = _SUM * e / (1 + e.sum(1, keepdims=True))
         return mu, np.exp(np.clip(c, -_MOST, _MOST)), e[:, :p], g, e[:, p:]
     return mu, c, a, g, np.tanh(b)
 
 
+def _pack(nat: np.ndarray, kind: str, p: int, o: int) -> np.ndarray:
+    """theta of natural parameters."""
+    theta = nat.copy()
+    if kind == "GARCH":
+        e = nat[:, 2:] / _SUM
+        theta[:, 1] = np.log(nat[:, 1])
+        theta[:, 2:] = np.log((e / (1 - e.sum(1, keepdims=True)).clip(1e-12)).clip(math.exp(-_MOST)))
+    else:
+        theta[:, 2 + p + o:] = np.arctanh(nat[:, 2 + p + o:])
+    return theta
+
+
 def filtered(x: np.ndarray, theta: np.ndarray, kind: str, p: int = 1, q: int = 1, o: int = 0, with_state: bool = False):
     """(loglik, next variance) of each row of x (rows, days); loglik is by day.
     Before the first day stands an exponentially weighted mean of the first 75
     squares. with_state adds the last q variances (EGARCH: their logarithms),
     squares and standardised days, the latest first."""
-    mu, c, a, g, b = _unpack(theta, kind, p, q, o)
+    like, v, _, state = _recursion(x, _unpack(theta, kind, p, q, o), kind, p, q, o)
+    return (like.T, v, state) if with_state else (like.T, v)
+
+
+def _recursion(x: np.ndarray, parts, kind: str, p: int, q: int, o: int, scores: bool = False):
+    """(loglik (days, rows), next variance, scores (days, parameters, rows) or
+    None, state) of natural parameters; the scores are the recursion's own
+    derivatives, carried along with it."""
+    mu, c, a, g, b = parts
+    plain = kind == "GARCH"
+    m, n = x.shape
+    k = 2 + p + q + o
     e = x - mu[:, None]
-    n = x.shape[1]
     w = 0.94 ** np.arange(min(75, n))
-    start = (e[:, : len(w)] ** 2 @ (w / w.sum())).clip(1e-12)
-    like = np.empty((n, len(x)))
-    old_v = [start] * q if kind == "GARCH" else [np.log(start)] * q
+    w /= w.sum()
+    start = (e[:, : len(w)] ** 2 @ w).clip(1e-12)
+    like = np.empty((n, m))
+    old_v = [start] * q if plain else [np.log(start)] * q
     old_s = [start] * p
-    old_z = [np.zeros(len(x))] * max(p, o)
+    old_z = [np.zeros(m)] * max(p, o)
+    if scores:
+        score = np.empty((n, k, m))
+        d_start = np.zeros((k, m))
+        d_start[0] = -2 * (e[:, : len(w)] @ w)
+        d_v = [d_start if plain else d_start / start] * q
+        d_s = [d_start[0]] * p
+        d_z = [np.zeros((k, m))] * max(p, o)
     root = math.sqrt(2 / math.pi)
     et = np.ascontiguousarray(e.T)
     for t in range(n + 1):
-        if kind == "GARCH":
-            v = c + sum(a[:, i] * old_s[i] for i in range(p)) + sum(b[:, j] * old_v[j] for j in range(q))
-            v = np.clip(v, 1e-12, 1e12)
+        if plain:
+            raw = c + sum(a[:, i] * old_s[i] for i in range(p)) + sum(b[:, j] * old_v[j] for j in range(q))
+            v = kept = np.clip(raw, 1e-12, 1e12)
         else:
-            lv = c + sum(b[:, j] * old_v[j] for j in range(q)) + sum(g[:, i] * old_z[i] for i in range(o))
+            raw = c + sum(b[:, j] * old_v[j] for j in range(q)) + sum(g[:, i] * old_z[i] for i in range(o))
             if t:
-                lv = lv + sum(a[:, i] * (np.abs(old_z[i]) - root) for i in range(p))
-            lv = np.clip(lv, -_MOST / 2, _MOST / 2)
-            v = np.exp(lv)
+                raw = raw + sum(a[:, i] * (np.abs(old_z[i]) - root) for i in range(p))
+            kept = np.clip(raw, -_MOST / 2, _MOST / 2)
+            v = np.exp(kept)
         if t == n:
-            return (like.T, v, (old_v, old_s, old_z)) if with_state else (like.T, v)
-        like[t] = -0.5 * (math.log(2 * math.pi) + np.log(v) + et[t] ** 2 / v)
-        old_v = [v if kind == "GARCH" else lv, *old_v[:-1]]
+            return like, v, score if scores else None, (old_v, old_s, old_z)
+        u = et[t] ** 2 / v
+        like[t] = -0.5 * (math.log(2 * math.pi) + np.log(v) + u)
+        z = et[t] / np.sqrt(v)
+        if scores:
+            d = sum(b[:, j] * d_v[j] for j in range(q))
+            d[1] += 1
+            for j in range(q):
+                d[2 + p + o + j] += old_v[j]
+            for i in range(p):
+                if plain:
+                    d[2 + i] += old_s[i]
+                    d[0] += a[:, i] * d_s[i]
+                elif t:
+                    d[2 + i] += np.abs(old_z[i]) - root
+                    d += a[:, i] * np.sign(old_z[i]) * d_z[i]
+            for i in range(o):
+                d[2 + p + i] += old_z[i]
+                d += g[:, i] * d_z[i]
+            d[:, raw != kept] = 0
+            rel = d / v if plain else d  # of the variance's logarithm
+            score[t] = 0.5 * (u - 1) * rel
+            score[t, 0] += et[t] / v
+            d_v = [d, *d_v[:-1]]
+            d_s = [-2 * et[t], *d_s[:-1]]
+            if not plain:
+                dz = -0.5 * z * rel
+                dz[0] -= 1 / np.sqrt(v)
+                d_z = [dz, *d_z[:-1]]
+        old_v = [kept, *old_v[:-1]]
         old_s = [et[t] ** 2, *old_s[:-1]]
-        old_z = [et[t] / np.sqrt(v), *old_z[:-1]]
+        old_z = [z, *old_z[:-1]]
+
+
+def _begun(x: np.ndarray, kind: str, p: int, q: int, o: int):
+    """(start, low, high), each (starts, rows, parameters): natural parameters
+    from a row's own moments, and the box they may move in."""
+    mean, sd = x.mean(axis=1), x.std(axis=1).clip(1e-5)
+    k, first_b = 2 + p + q + o, 2 + p + o
+    at = np.zeros((len(_STARTS[kind]), len(x), k))
+    low, high = np.full_like(at, -np.inf), np.full_like(at, np.inf)
+    at[:, :, 0], low[:, :, 0], high[:, :, 0] = mean, mean - 10 * sd, mean + 10 * sd
+    for s, (a, b) in enumerate(_STARTS[kind]):
+        at[s, :, 1] = (1 - a - b) * sd**2 if kind == "GARCH" else (1 - b) * np.log(sd**2)
+        at[s, :, 2: 2 + p], at[s, :, first_b:] = a / p, b / q
+    if kind == "GARCH":
+        low[:, :, 1], high[:, :, 1] = 1e-8 * sd**2, 10 * sd**2
+        low[:, :, 2:], high[:, :, 2:] = 0, _SUM
+    else:
+        low[:, :, first_b:], high[:, :, first_b:] = -0.99999, 0.99999
+    return at, low, high
 
 
-def fit(x: np.ndarray, kind: str = "GARCH", p: int = 1, q: int = 1, o: int = 0, rounds: int = 40):
+def _inside(nat: np.ndarray, low: np.ndarray, high: np.ndarray, kind: str) -> np.ndarray:
+    """The nearest parameters of the box, GARCH weights scaled to their sum."""
+    nat = np.clip(nat, low, high)
+    if kind == "GARCH":
+        nat[..., 2:] *= np.minimum(1, _SUM * (1 - 1e-9) / nat[..., 2:].sum(-1, keepdims=True).clip(1e-12))
+    return nat
+
+
+def fit(x: np.ndarray, kind: str = "GARCH", p: int = 1, q: int = 1, o: int = 0, rounds: int = 60):
     """(theta, loglik, next variance, converged) of each row of x (percent).
 
-    Steps along the scores' outer product (Berndt, Hall, Hall and Hausman), the
-    scores by differences, the best of several step lengths for each row. Each
-    row starts from its own moments, so what else is in the block has no part.
+    Natural parameters in a box: a GARCH variance need not be stationary, its
+    weights may add up to _SUM. Steps along the scores' outer product (Berndt,
+    Hall, Hall and Hausman), the scores by recursion; parameters that stand at a
+    bound and would leave it are held; of several step lengths the best is taken.
+    Each row starts twice from its own moments and keeps the better end, so what
+    else is in the block has no part.
     """
     m, n = x.shape
-    var = x.var(axis=1).clip(1e-10)
-    if kind == "GARCH":
-        share = np.log(np.concatenate([np.full(p, 0.05 / p), np.full(q, 0.90 / q)]) / 0.05)
-        theta = np.column_stack([x.mean(axis=1), np.log(0.05 * var), np.tile(share, (m, 1))])
-    else:
-        theta = np.column_stack([x.mean(axis=1), 0.05 * np.log(var), np.tile(np.concatenate([np.full(p, 0.1 / p), np.zeros(o), np.arctanh(np.full(q, 0.95 / q))]), (m, 1))])
-    k = theta.shape[1]
-    like, _ = filtered(x, theta, kind, p, q, o)
-    best = like.sum(1)
-    steps = np.array([1.0, 0.5, 0.2, 0.05, 0.005])
-    done = np.zeros(m, bool)
+    at, low, high = (v.reshape(-1, 2 + p + q + o) for v in _begun(x, kind, p, q, o))
+    k, rows = at.shape[1], np.tile(x, (len(_STARTS[kind]), 1))
+    best = _recursion(rows, _parts(at, p, o), kind, p, q, o)[0].sum(0)
+    done, eye = np.zeros(len(rows), bool), np.eye(k)
     for _ in range(rounds):
-        h = 1e-5 * np.maximum(1.0, np.abs(theta))
-        moved = np.concatenate([theta + h * (np.arange(k) == j) for j in range(k)])
-        up, _ = filtered(np.tile(x, (k, 1)), moved, kind, p, q, o)
-        score = (up.reshape(k, m, n) - like) / h.T[:, :, None]
-        opg = np.einsum("imt,jmt->mij", score, score)
-        opg += 1e-8 * np.trace(opg, axis1=1, axis2=2)[:, None, None] * np.eye(k) + 1e-10 * np.eye(k)
-        way = np.linalg.solve(opg, score.sum(2).T[:, :, None])[:, :, 0]
-        way = np.clip(way, -2, 2)
-        tried = np.concatenate([theta + s * way for s in steps])
-        got, _ = filtered(np.tile(x, (len(steps), 1)), tried, kind, p, q, o)
-        total = np.nan_to_num(got.sum(1).reshape(len(steps), m), nan=-np.inf)
-        pick = total.argmax(0)
-        gain = total[pick, np.arange(m)] - best
-        take = (gain > 0) & ~done  # a row that has ended stays as it is
-        theta[take] += (steps[pick][:, None] * way)[take]
-        done |= gain < 1e-6 * n / 1000
-        if done.all():
+        live = np.flatnonzero(~done)
+        if not len(live):
             break
-        like, _ = filtered(x, theta, kind, p, q, o)
-        best = like.sum(1)
+        now, lo, hi, y = at[live], low[live], high[live], rows[live]
+        score = _recursion(y, _parts(now, p, o), kind, p, q, o, scores=True)[2]
+        up = score.sum(0).T
+        opg = np.einsum("tim,tjm->mij", score, score)
+        size = np.sqrt(np.einsum("mii->mi", opg)).clip(1e-150)
+        free = ~(((now <= lo) & (up < 0)) | ((now >= hi) & (up > 0)))
+        opg = np.where(free[:, :, None] & free[:, None, :], opg / size[:, :, None] / size[:, None, :], 0) + eye * (~free[:, :, None] + 1e-8)
+        way = np.linalg.solve(opg, np.where(free, up / size, 0)[:, :, None])[:, :, 0] / size
+        tried = np.concatenate([_inside(now + s * way, lo, hi, kind) for s in _STEPS])
+        total = _recursion(np.tile(y, (len(_STEPS), 1)), _parts(tried, p, o), kind, p, q, o)[0].sum(0).reshape(len(_STEPS), -1)
+        total = np.nan_to_num(total, nan=-np.inf)
+        pick, i = total.argmax(0), np.arange(len(live))
+        gain = total[pick, i] - best[live]
+        take = gain > 0
+        at[live[take]] = tried.reshape(len(_STEPS), -1, k)[pick, i][take]
+        best[live[take]] += gain[take]
+        done[live[gain < 1e-7 * n / 1000]] = True
+    end = best.reshape(-1, m).argmax(0) * m + np.arange(m)
+    theta = _pack(at[end], kind, p, o)
     like, v = filtered(x, theta, kind, p, q, o)
-    return theta, like.sum(1), v, done
+    return theta, like.sum(1), v, done[end]
 
 
 def variances_ahead(x: np.ndarray, theta: np.ndarray, kind: str, horizon: int, keys: list[tuple[int, ...]], p: int = 1, q: int = 1, o: int = 0, paths: int = 1000) -> np.ndarray:
