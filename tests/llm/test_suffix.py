@@ -131,3 +131,49 @@ def test_very_long_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in s.without_repeats(df, s.Params(chunk=5000)).orderBy("doc_id").collect()]
     assert got == _brute([t.encode() for t in texts], 100)
+
+
+def _told_apart(text, group):
+    order, leaf = s.blind_tries(text, np.arange(len(text)), group, 0)
+    got, want = {}, {}
+    for i, g in zip(order.tolist(), leaf.tolist()):
+        got.setdefault(g, []).append(i)
+    for i in range(len(text)):
+        want.setdefault((group[i], text[i].tobytes()), []).append(i)
+    return sorted(map(sorted, got.values())), sorted(v for v in want.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_blind_tries_tell_equal_strings(seed):
+    rng = np.random.default_rng(seed)
+    n, width, letters = int(rng.integers(1, 300)), int(rng.integers(1, 30)), int(rng.integers(1, 4))
+    text = rng.integers(97, 97 + letters, (n, width)).astype(np.uint8)
+    text[:, : int(rng.integers(0, width))] = 97
+    got, want = _told_apart(text, np.sort(rng.integers(0, 4, n)))
+    assert got == want
+
+
+def test_blind_tries_part_one_edge_at_every_depth():
+    width = 60
+    text = np.full((2 * width + 2, width), 97, np.uint8)  # all a; then each string and a copy leave at its own place
+    for i in range(width):
+        text[2 + 2 * i: 4 + 2 * i, i] = 98 + i % 3
+    got, want = _told_apart(text, np.zeros(len(text), np.int64))
+    assert got == want == [[i, i + 1] for i in range(0, 2 * width + 2, 2)]
+
+
+def test_blind_tries_see_bytes_they_skip():
+    # the third string descends by its last byte to the second and is only then found to differ before
+    text = np.array([[1, 1, 1], [1, 1, 2], [1, 9, 2], [1, 9, 2], [0, 255, 0], [0, 255, 0]], np.uint8)
+    got, want = _told_apart(text, np.array([0, 0, 0, 0, 7, 7]))
+    assert got == want == [[2, 3], [4, 5]]
+    assert len(s.blind_tries(text[:0], np.zeros(0, np.int64), np.zeros(0, np.int64), 0)[0]) == 0
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_broadcast_bound_changes_no_result(spark, most):
+    rows = [(i, "".join(chr(97 + (i * j) % 7) for j in range(60)) + "m" * 140 + str(i)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = s.Params(hot=5, strings=60, broadcast_ids=most)
+    got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in s.without_repeats(docs, p).orderBy("doc_id").collect()]
+    assert got == _brute([t.encode() for _, t in rows], 100)

@@ -129,7 +129,7 @@ def _hot_repeats(text: DataFrame, hot: DataFrame, p: Params) -> DataFrame:
     A task sorts its strings some p.strings at a time; all but the earliest of
     equal ones are repeats. What is left, one of each block, meets as digests in
     a grouped minimum, which is taken before the shuffle too; a digest in over
-    p.hot blocks is sent to all tasks."""
+    p.hot blocks is sent to all tasks, unless these are over p.broadcast_ids."""
 
     def sorted_out(rid, start, raw):
         strings = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), p.length)
@@ -160,7 +160,8 @@ def _hot_repeats(text: DataFrame, hot: DataFrame, p: Params) -> DataFrame:
     place, open_ = F.struct("rid", "start"), strings.where("key is not null")
     least = open_.groupBy("key").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
     least = written(least, "least")
-    many = F.broadcast(least.where(F.col("m") > p.hot))
+    many = least.where(F.col("m") > p.hot)
+    many = F.broadcast(many) if many.count() <= p.broadcast_ids else many
     rest = open_.join(many, "key", "left_anti").join(least.where(F.col("m") <= p.hot), "key")
     both = open_.join(many, "key").select(*rest.columns).union(rest)
     again = both.where(place != F.col("least")).select("rid", "start").union(strings.where("key is null").select("rid", "start"))
@@ -234,34 +235,81 @@ def later(order: np.ndarray, leaf: np.ndarray, rid: np.ndarray, start: np.ndarra
 
 
 def blind_tries(text: np.ndarray, order: np.ndarray, group: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, leaf) of tied strings: a blind trie a group, all groups a level
-    at a time. The group's first string is the spine; every other hangs from it
-    where it first differs (the common prefix, at least start bytes) by the byte
-    there, or ends at its leaf. What hangs from one branch is a trie of its own.
-    Leaves are numbered; strings that end at the same leaf are equal."""
-    done_order, done_leaf, leaves = [], [], 0
-    while len(order):
-        new = np.concatenate([[True], group[1:] != group[:-1]])
-        spine = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        differs = text[order, start:] != text[spine, start:]
-        prefix = np.where(differs.any(axis=1), differs.argmax(axis=1) + start, text.shape[1])
-        ends = prefix == text.shape[1]
-        done_order.append(order[ends])
-        done_leaf.append(group[ends] + leaves)
-        leaves += int(group[-1]) + 1
-        o, g, pre = order[~ends], group[~ends], prefix[~ends]
-        if not len(o):
-            break
-        branch = text[o, pre]
-        by = np.lexsort((branch, pre, g))
-        o, g, pre, branch = o[by], g[by], pre[by], branch[by]
-        new = np.concatenate([[False], (g[1:] != g[:-1]) | (pre[1:] != pre[:-1]) | (branch[1:] != branch[:-1])])
-        order, group = _ties(o, np.cumsum(new))
-    if not done_order:
+    """(order, leaf) of tied strings: a blind trie a group, all groups at once.
+
+    An inner node has the depth at which the strings below it branch and a child
+    for each byte there; the bytes between are not looked at. A string descends
+    blindly to a leaf (from a node without its byte, to any leaf below), is
+    verified there once over its rest, from start on, and ends at that leaf or
+    branches off where it first differs. Strings descend together; of those that
+    would part one edge at several depths the middle depth is taken, one string
+    for each byte, and the others descend anew. Strings of one leaf are equal.
+    """
+    if not len(order):
         return order, group
-    order, leaf = np.concatenate(done_order), np.concatenate(done_leaf)
-    by = np.argsort(leaf, kind="stable")
-    return _ties(order[by], leaf[by])
+    width = text.shape[1]
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    number = np.cumsum(new) - 1
+    leaf = order[new]  # a string below each node; nodes begin as the groups' first strings
+    root, depth, link = np.arange(len(leaf)), np.full(len(leaf), width), np.full(len(leaf), -1)
+    key, child = np.zeros(0, np.int64), np.zeros(0, np.int64)  # (node, byte) to node, sorted
+    end = np.where(new, number, -1)
+    left = np.flatnonzero(~new)
+
+    def kids(node: np.ndarray, string: np.ndarray) -> np.ndarray:
+        want = node << 8 | text[string, depth[node]]
+        i = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        return np.where(key[i] == want, child[i], -1)
+
+    while len(left):
+        s = order[left]
+        at = root[number[left]]
+        on = np.flatnonzero(depth[at] < width)
+        while len(on):
+            to = kids(at[on], s[on])
+            on, to = on[to >= 0], to[to >= 0]
+            at[on] = to
+            on = on[depth[to] < width]
+        differs = text[s, start:] != text[leaf[at], start:]
+        prefix = np.where(differs.any(axis=1), differs.argmax(axis=1) + start, width)
+        end[left[prefix == width]] = at[prefix == width]
+        left, s, prefix = left[prefix < width], s[prefix < width], prefix[prefix < width]
+        if not len(left):
+            break
+        at = root[number[left]]
+        on = np.flatnonzero(depth[at] < prefix)
+        while len(on):  # down to the edge or node where it branches off
+            at[on] = kids(at[on], s[on])
+            on = on[depth[at[on]] < prefix[on]]
+        by = np.lexsort((text[s, prefix], prefix, at))
+        left, s, prefix, at = left[by], s[by], prefix[by], at[by]
+        head = np.concatenate([[True], at[1:] != at[:-1]])
+        size = np.diff(np.append(np.flatnonzero(head), len(at)))
+        middle = prefix[np.flatnonzero(head) + size // 2][np.cumsum(head) - 1]
+        byte = text[s, prefix]
+        one = head | np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (byte[1:] != byte[:-1])])
+        taken = np.flatnonzero(one & (prefix == middle))
+        at, prefix, byte, s = at[taken], prefix[taken], byte[taken], s[taken]
+        # edges to part: their new nodes take the lower end's place
+        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]) & (depth[at] > prefix))
+        low, inner = at[edge], len(depth) + np.arange(len(edge))
+        inside = link[low] >= 0
+        child[np.searchsorted(key, link[low][inside])] = inner[inside]
+        root[number[left[taken[edge]]][~inside]] = inner[~inside]
+        up = np.arange(len(depth))
+        up[low] = inner
+        node, leaves = up[at], len(depth) + len(edge) + np.arange(len(taken))
+        depth = np.concatenate([depth, prefix[edge], np.full(len(taken), width)])
+        link = np.concatenate([link, link[low], node << 8 | byte])
+        link[low] = inner << 8 | text[leaf[low], prefix[edge]]
+        leaf = np.concatenate([leaf, leaf[low], s])
+        key, child = np.concatenate([key, link[low], link[leaves]]), np.concatenate([child, low, leaves])
+        by = np.argsort(key)
+        key, child = key[by], child[by]
+        end[left[taken]] = leaves
+        left = np.delete(left, taken)
+    by = np.argsort(end, kind="stable")
+    return _ties(order[by], end[by])
 
 
 def repeated_strings(h: np.ndarray, rid: np.ndarray, code: np.ndarray, context: list[bytes], p: Params):
@@ -357,11 +405,12 @@ def repeats(keyed: DataFrame, text: DataFrame, p: Params = Params()) -> DataFram
     few = F.broadcast(whole.select("rid")) if whole.count() <= p.broadcast_ids else whole.select("rid")
     a = _anchored(keyed.join(few, "rid", "left_anti"), p)
     hot = written(_hot(a, p), "hot")
-    marked = a.join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    n_hot = hot.count()
+    marked = a.join(F.broadcast(hot) if n_hot <= p.broadcast_ids else hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     # a hot anchor's places need not meet
     n = F.count(F.lit(1)).over(Window.partitionBy("hot", F.when(F.col("hot"), F.xxhash64("rid", "code")).otherwise(F.col("h"))))
     twice = marked.withColumn("n", n).where("hot or n > 1")
-    if not hot.count():
+    if not n_hot:
         codes = twice.groupBy("rid").agg(F.collect_list("code").alias("codes"))
         return _repeats(_contexts(text, codes, p), p).unionByName(whole)
     codes = written(twice.groupBy("rid", "hot").agg(F.collect_list("code").alias("codes")), "codes")
