@@ -90,3 +90,21 @@ def test_very_long_text(spark):
     got = {r.doc_id: r for r in f.fingerprints(spark.createDataFrame([(2, t), (1, t.lower() + "\n"), (0, "x")], "doc_id long, text string")).collect()}
     assert got[2].n_chars == len(t) and got[2].fingerprint == got[1].fingerprint and got[2].near_next == 1.0 and got[1].near_next == 0.0
     assert got[2].edited_sha256 == hashlib.sha256((t[: len(t) // 2] + t.lower()[: len(t) // 2]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_buckets_follow_each_other(spark, monkeypatch, run):
+    monkeypatch.setattr(f, "BUCKET_RUN", run)
+    for buckets in ([], [-1], [5], [-1, 0, 1, 2, 3, 9, 10, 40, 41, 42, 43]):
+        heads = spark.createDataFrame([(b, 10 * b) for b in buckets], "bucket long, head long")
+        got = {r.b: (r["head"], r.to) for r in f._following(heads).collect()}
+        assert got == {b: (10 * b, buckets[(k + 1) % len(buckets)]) for k, b in enumerate(buckets)}
+
+
+def test_runs_of_buckets_change_no_result(spark, monkeypatch):
+    rows = [(7 * i, f"text {i} " * (i % 5)) for i in range(60)] + [(None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(map(str, r)) for r in f.fingerprints(df).collect())
+    monkeypatch.setattr(f, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(f, "BUCKET_RUN", 2)
+    assert sorted(tuple(map(str, r)) for r in f.fingerprints(df).collect()) == want

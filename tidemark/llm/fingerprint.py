@@ -13,6 +13,7 @@ from .common import written
 BROADCAST_ROWS = 200_000
 #: Documents of a bucket of consecutive ids, about.
 BUCKET_ROWS = 2000
+BUCKET_RUN = 1000  # bucket numbers that are put in order in one task
 _FIRST_LEVEL = 512
 
 #: White space that NFKC leaves, without the blank: such a run, or one of
@@ -100,6 +101,22 @@ def _buckets(docs: DataFrame) -> Column:
     return F.when(i.isNull(), F.lit(-1)).otherwise(outer.cast("long") * (each + 1) + inner).cast("long")
 
 
+def _following(heads: DataFrame) -> DataFrame:
+    """(b, head, to) of heads (bucket, head), to being the next higher bucket;
+    the highest is followed by the lowest.
+
+    Buckets are ordered within runs of BUCKET_RUN bucket numbers. The last bucket
+    of a run is followed by the least of the next run that has any, so only a row
+    a run, one in BUCKET_ROWS * BUCKET_RUN documents, meets in one task.
+    """
+    h = heads.withColumn("run", F.floor(F.col("bucket") / BUCKET_RUN))
+    runs = h.groupBy("run").agg(F.min("bucket").alias("low"))
+    over_runs, whole = Window.orderBy(F.desc("run")), Window.partitionBy()
+    runs = runs.select("run", F.coalesce(F.lag("low").over(over_runs), F.min("low").over(whole)).alias("next_run"))
+    within = h.withColumn("up", F.lag("bucket").over(Window.partitionBy("run").orderBy(F.desc("bucket"))))
+    return within.join(runs, "run").select(F.col("bucket").alias("b"), "head", F.coalesce("up", "next_run").alias("to"))
+
+
 def with_next(docs: DataFrame, digest=wide_hash) -> DataFrame:
     """(doc_id, text, key) of docs plus next_text and next_key, those of the row
     that follows by descending doc_id (nulls last, ties by text); the first
@@ -112,10 +129,8 @@ def with_next(docs: DataFrame, digest=wide_hash) -> DataFrame:
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("bucket", _buckets(docs))
-    heads = d.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    order = Window.orderBy(F.desc("bucket"))  # a row a bucket
-    ends = heads.select("bucket", "head", F.lag("bucket").over(order).alias("to"), F.min("bucket").over(Window.partitionBy()).alias("low"))
-    ends = ends.select(F.col("bucket").alias("b"), "head", F.coalesce("to", "low").alias("to"))
+    heads = written(d.groupBy("bucket").agg(F.max("doc_id").alias("head")), "heads")
+    ends = _following(heads)
     few = F.broadcast(ends) if heads.count() <= BROADCAST_ROWS else ends
     ghosts = d.join(few, (d.bucket == few.b) & d.doc_id.eqNullSafe(few["head"])).groupBy("to").agg(F.min("text").alias("text"))
     ghosts = ghosts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("bucket"), F.lit(1).alias("ghost"))
