@@ -164,3 +164,23 @@ def test_joined_components():
                  and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
         got = d.joined(comp, side, sets, 0.8)
         assert set(got) <= {p for i, j in brute for p in ((i, j), (j, i))} and len(got) < len(set(comp)) and parts(got) == parts(brute)
+
+
+def test_rows_are_linear_beside_one_large_component(spark):
+    """A bucket of n members of one component and three others: three blocks of
+    shingles more for each thousand members, and no member twice."""
+    p = d.Params(block_shingles=10_000)
+    for n in (2000, 8000):
+        shared = spark.range(n + 3).selectExpr("7L AS bucket", "id AS rid", "30L AS n")
+        comp = spark.range(n).selectExpr("id AS node", "0L AS comp")
+        placed = d._placed(shared, comp, p)
+        rows = d._dealt(placed).toPandas()
+        blocks = n * 30 // 10_000
+        assert len(rows) == n + 3 * (1 + blocks) and (rows[rows.comp == 0].groupby("rid").size() == 1).all()
+        met = rows.merge(rows, on=["lo", "hi"])
+        pairs = set(zip(met.rid_x[met.side_x != met.side_y], met.rid_y[met.side_x != met.side_y])) | set(zip(met.rid_x[met.lo == met.hi], met.rid_y[met.lo == met.hi]))
+        assert all((x, y) in pairs for x in range(n, n + 3) for y in range(n + 3))
+    several = spark.createDataFrame([(1, k, 4000) for k in range(9)] + [(2, 1, 5), (2, 2, 5), (3, 3, 9)], "bucket long, rid long, n long")
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, comp long")
+    got = {r.bucket: (r.top, r.seekers, r.targets) for r in d._placed(several, comp, p).collect()}
+    assert got == {1: (1, 3, 2)}

@@ -196,14 +196,14 @@ def _described(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """(rid, shingles) of the documents in wanted (rid), as 32-bit hashes."""
+    """(rid, shingles) of the documents in wanted (rid), as 64-bit hashes."""
 
     def run(batches):
         cache = Words()
         for pdf in batches:
             for low in range(0, len(pdf), 500):
                 some = pdf.iloc[low: low + 500]
-                sets = [np.unique((units(t, p, cache) >> np.uint64(32)).astype("<u4")).tobytes() for t in some["text"]]
+                sets = [units(t, p, cache).astype("<u8").tobytes() for t in some["text"]]
                 yield pd.DataFrame({"rid": some["rid"].to_numpy(), "shingles": sets})
 
     wanted = written(wanted, "wanted")
@@ -230,7 +230,7 @@ def linked(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
         for pdf in batches:
             a_out, b_out = [], []
             for a, salt, rid, raw in zip(pdf["a"], pdf["salt"], pdf["rid"], pdf["shingles"]):
-                s = np.frombuffer(raw, "<u4")
+                s = np.frombuffer(raw, "<u8")
                 if rid == a:
                     hub, own = (a, salt), s
                     continue
@@ -305,18 +305,44 @@ def joined(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarit
     return out
 
 
+def _placed(shared: DataFrame, comp: DataFrame, p: Params) -> DataFrame:
+    """(bucket, rid, comp, top, seekers, targets) of the rows of shared (bucket,
+    rid, n) in buckets that span components of comp (node, comp): the component
+    that holds most shingles of the bucket, and the blocks of the others'
+    shingles and of its own. A bucket of at most p.block_shingles has no targets
+    and one block."""
+    rows = shared.join(comp, shared.rid == comp.node, "left").select("bucket", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
+    most = rows.groupBy("bucket", "comp").agg(F.sum("n").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("held"), F.count(F.lit(1)).alias("comps"))
+    small = F.col("held") <= p.block_shingles
+    blocks = most.where("comps > 1").select(
+        "bucket", F.col("top.comp").alias("top"),
+        F.when(small, F.lit(1)).otherwise(F.ceil((F.col("held") - F.col("top.m")) / p.block_shingles)).alias("seekers"),
+        F.when(small, F.lit(0)).otherwise(F.ceil(F.col("top.m") / p.block_shingles)).alias("targets"),
+    )
+    return rows.join(blocks, "bucket").select("bucket", "rid", "comp", "top", "seekers", "targets")
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    """(bucket, lo, hi, rid, comp, side) of each task that a row of _placed()
+    goes to: the tasks are the pairs of two blocks of seekers, and of one of
+    seekers and one of targets. Targets, one component, never meet each other."""
+    target = (F.col("comp") == F.col("top")) & (F.col("targets") > 0)
+    side = F.when(target, F.col("seekers") + F.pmod(F.xxhash64("rid"), F.col("targets"))).otherwise(F.pmod(F.xxhash64("rid"), F.col("seekers")))
+    met = F.when(target, F.col("seekers")).otherwise(F.col("seekers") + F.col("targets"))
+    own = placed.select("bucket", "rid", "comp", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("other"))
+    return own.select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rid", "comp", "side")
+
+
 def _joined(keyed: DataFrame, placed: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) of p.similarity or more that join the components of each
-    bucket of placed (bucket, rid, comp, held) as all its pairs do; held: the
-    shingles of the bucket.
+    bucket of _placed() as all its pairs do.
 
-    A bucket of over p.block_shingles is dealt out in blocks by rid, and each
-    two of its blocks meet, so what a task holds does not grow with the bucket.
+    A large bucket is dealt out in blocks by rid, so what a task holds does not
+    grow with the bucket. Rows of its largest component, in a hot bucket nearly
+    all of them, are copied once a block of the others, not once a block.
     """
     placed = written(placed, "large")
-    blocks = F.ceil(F.col("held") / p.block_shingles)
-    own = placed.select("bucket", "rid", "comp", F.pmod(F.xxhash64("rid"), blocks).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    rows = own.select("bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rid", "comp", "side")
+    rows = _dealt(placed)
     sets = _sets(keyed, placed.select("rid").distinct(), p)
     dealt = rows.join(sets, "rid").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
@@ -336,7 +362,7 @@ def _joined(keyed: DataFrame, placed: DataFrame, p: Params) -> DataFrame:
                 rid.append(r)
                 comp.append(c)
                 side.append(s)
-                sets.append(np.frombuffer(raw, "<u4"))
+                sets.append(np.frombuffer(raw, "<u8"))
         if rid:
             yield work()
 
@@ -370,9 +396,7 @@ def classes(keyed: DataFrame, p: Params = Params()) -> DataFrame:
     heads = shared.where("rid <> a").groupBy("rid").agg(F.min("a").alias("a")).select("a", F.col("rid").alias("b"))
     links = written(linked(keyed, heads, p), "links")
     first = written(components(links), "components")
-    placed = shared.join(first, shared.rid == first.node, "left").select("bucket", "rid", "n", F.coalesce("comp", "rid").alias("comp"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("held")).where("lo < hi").select("bucket", "held")
-    more = written(_joined(keyed, placed.join(several, "bucket"), p), "more")
+    more = written(_joined(keyed, _placed(shared, first, p), p), "more")
     comp = first.select(F.col("node").alias("rid"), F.col("comp").alias("c"))
     second = components(_contracted(more, comp))
     top = members.select("rid", "rep").join(comp, F.col("rep") == comp.rid, "left").select(members.rid, F.coalesce("c", "rep").alias("c"))
