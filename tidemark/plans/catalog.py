@@ -159,8 +159,8 @@ QUERIES = {
     "garch_orders": lambda s, d: garch.compared(_returns(s, d), SHORT),
     "garch_fit": lambda s, d: garch.forecasts(_returns(s, d), SHORT, "GARCH", with_fit=True),
     "egarch_fit": lambda s, d: garch.forecasts(_returns(s, d), SHORT, "EGARCH", with_fit=True),
-    "arch_lm": lambda s, d: diagnostics.arch_lm(_returns(s, d)),
-    "adf": lambda s, d: diagnostics.adf(_returns(s, d)),
+    "arch_lm": lambda s, d: _rounded(diagnostics.arch_lm(_returns(s, d)), lm=6),
+    "adf": lambda s, d: _rounded(diagnostics.adf(_returns(s, d)), adf=6),
     "sv_gaussian": _sv("SV-Gaussian"),
     "sv_t": _sv("SV-t"),
     "sv_leverage": _sv("SV-Leverage"),
@@ -267,6 +267,19 @@ _CELLS = ", ".join(
 )
 
 
+#: swept: a regression's columns x (regressors, then the target) about their
+#: means, swept one by one; at step k the matrix a (of m rows, in one list) is
+#: that of the regression on the first k.
+_SWEPT_SQL = """g AS (SELECT series_id, len(x) AS m, i, j, count(*) AS n, covar_pop(x[i], x[j]) * count(*) AS g
+  FROM x, range(1, 60) AS u(i), range(1, 60) AS v(j) WHERE i <= len(x) AND j <= len(x) GROUP BY ALL),
+swept AS (SELECT series_id, n, m, 0 AS k, list(g ORDER BY i, j) AS a FROM g GROUP BY series_id, n, m
+  UNION ALL SELECT series_id, n, m, k + 1, list_transform(range(m * m), lambda q: CASE
+    WHEN q = k * m + k THEN 1 / a[k * m + k + 1]
+    WHEN q // m = k THEN a[q + 1] / a[k * m + k + 1]
+    WHEN q % m = k THEN -a[q + 1] / a[k * m + k + 1]
+    ELSE a[q + 1] - a[q // m * m + k + 1] * a[k * m + q % m + 1] / a[k * m + k + 1] END) FROM swept WHERE k < m - 1)"""
+
+
 def _acf_sql(lags: int, x: str) -> str:
     sums = ", ".join(f"sum(d * d{k}) / sum(d * d) AS c{k}" for k in range(1, lags + 1))
     lagged = ", ".join(f"lag(d, {k}) OVER (PARTITION BY series_id ORDER BY t) AS d{k}" for k in range(1, lags + 1))
@@ -320,6 +333,16 @@ ORACLE_SQL = {
   j AS (SELECT series_id, n, n / 6 * (m3 * m3 / (m2 * m2 * m2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM m) SELECT series_id, n, round(jb, 6) AS jb, round(exp(-jb / 2), 8) AS p FROM j""",
     "acf_sq_40": _acf_sql(40, "ret * ret") + " SELECT series_id, lag, round(acf, 8) AS acf FROM acf",
     "ljung_box": _acf_sql(10, "ret") + ", n AS (SELECT series_id, count(*) AS n FROM ret GROUP BY 1) SELECT series_id, n, round(n * (n + 2) * sum(acf * acf / (n - lag)), 6) AS q FROM acf JOIN n USING (series_id) GROUP BY series_id, n",
+    "arch_lm": f"""WITH RECURSIVE {_RET_SQL}, c AS (SELECT series_id, count(*) AS all_n, list(ret * ret ORDER BY t) AS l FROM ret GROUP BY 1),
+x AS (SELECT series_id, list_transform([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 0], lambda k: l[t - k]) AS x FROM c JOIN ret USING (series_id) WHERE t > 10),
+{_SWEPT_SQL}
+SELECT series_id, greatest(0, all_n - 10) AS n, round(CASE WHEN all_n - 10 > 11 THEN z.n * (1 - z.a[121] / o.a[121]) END, 6) AS lm
+FROM c LEFT JOIN swept AS o USING (series_id) LEFT JOIN swept AS z USING (series_id) WHERE coalesce(o.k, 0) = 0 AND coalesce(z.k, 10) = 10""",
+    "adf": f"""WITH RECURSIVE {_RET_SQL}, c AS (SELECT series_id, CAST(floor(12 * pow(count(*) / 100, 0.25)) AS INTEGER) AS most, list(ret ORDER BY t) AS l FROM ret GROUP BY 1),
+x AS (SELECT series_id, list_concat([l[t - 1]], list_transform(range(1, most + 1), lambda k: l[t - k] - l[t - k - 1]), [l[t] - l[t - 1]]) AS x FROM c JOIN ret USING (series_id) WHERE t > most + 1),
+{_SWEPT_SQL}, fits AS (SELECT series_id, k - 1 AS lags, n * ln(a[m * m] / n) + 2 * (k + 1) AS aic, a[m] / sqrt(a[1] * a[m * m] / greatest(1, n - k - 1)) AS adf FROM swept WHERE k > 0 AND n >= k + 9),
+best AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, lags) = 1)
+SELECT series_id, CAST(coalesce(lags, -1) AS INTEGER) AS lags, round(adf, 6) AS adf, {', '.join(f"CAST({v} AS DOUBLE) AS critical_{int(100 * k)}pct" for k, v in diagnostics.ADF_CRITICAL.items())} FROM c LEFT JOIN best USING (series_id)""",
     "leverage_corr": f"WITH {_RET_SQL}, l AS (SELECT series_id, ret, pow(lead(ret) OVER (PARTITION BY series_id ORDER BY t), 2) AS sq FROM ret) SELECT series_id, round(corr(ret, sq), 8) AS corr FROM l GROUP BY 1",
     "five_sigma": _SIGMA_SQL.format(5.0),
     "large_moves": _SIGMA_SQL.format(2.5),
