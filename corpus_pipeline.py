@@ -1,5 +1,10 @@
 """A training corpus from documents, in five stages. Each gets what the one
-before kept, as a Parquet table; all but the last return documents' columns."""
+before kept, as a Parquet table; all but the last return documents' columns.
+
+In every stage null texts count as empty, null ids and sources are values of
+their own, repeated rows are rows like others (one stays after near_duplicates),
+texts of any length are taken whole, further columns are carried along whatever
+their names, and an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -10,17 +15,20 @@ from tidemark.llm.common import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; an empty text has
+    the score of no features."""
     return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the least id;
+    texts without words are one class."""
     return dartminhash.deduplicated(docs)
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 100-byte strings that also start earlier."""
+    """Documents without the 100-byte strings that also start earlier. One of
+    which nothing remains goes; one that was empty stays."""
     return suffixdedup.cleaned(docs)
 
 
@@ -31,7 +39,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens, in the order of
+    the mix; an empty text is its end id."""
     return packing.packed(docs)
 
 

@@ -426,7 +426,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def deduplicated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs of which near_duplicates() keeps one a class, columns
-    as given."""
+    as given. Null and empty texts are one class; of repeated rows one stays; an
+    empty table gives no rows."""
     keyed = with_row_key(docs, "doc_id", "text", carry=True)
     stays = written(classes(keyed, p).where("rid = class").select("rid"), "stays")
     few = F.broadcast(stays) if stays.count() <= p.broadcast_ids else stays

@@ -187,3 +187,9 @@ def fingerprints(docs: DataFrame, digest=wide_hash) -> DataFrame:
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of every document and the SHA-256 of its edited text."""
+    made = edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return made.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"))

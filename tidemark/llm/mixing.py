@@ -159,7 +159,8 @@ def mixed(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def realised(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs, each as often as mixed() says, columns as given, pass
     by pass and within a pass in the order of its permutation of all sources'
-    documents: written part by part, they are in that order."""
+    documents: written part by part, they are in that order. Nulls, repeated
+    rows and empty tables are as in mixed(); columns named like its own are kept."""
     names = docs.columns
     m = mixed(docs.select(F.struct(*names).alias("row"), "doc_id", "source", "text"), p)
     epochs = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("mix_copies") - 1, F.lit(0)))

@@ -120,7 +120,9 @@ def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), hold_mod:
 
 
 def kept(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier does not reject, columns as given."""
+    """The rows of docs that the classifier does not reject, columns as given.
+    Null texts are scored as empty ones, repeated rows each for itself; an empty
+    table gives no rows."""
     w, bias = model(docs, labels, p)
     return docs.where(scorer(docs.sparkSession, w, bias, p)(F.col("text")) >= threshold)
 

@@ -117,6 +117,11 @@ def accuracies(patterns: np.ndarray, times: np.ndarray, rounds: int = 500) -> tu
     return chance, share
 
 
+def based(stats: DataFrame) -> DataFrame:
+    """stats plus base_failed: too few words, or over half of them repeated."""
+    return stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
 def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior and verdict of every row of docs.
 
@@ -127,19 +132,26 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     stats = votes(written(counted(docs), "counts"))
     names = [f"v_{n}" for n in RULES]
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     seen = stats.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).toPandas()
     chance, share = accuracies(seen[names].to_numpy(np.float64).reshape(-1, len(names)), seen["n"].to_numpy(np.float64))
     logit = F.lit(float(np.log(share / (1 - share))))
     for n, (bad, none, good) in zip(names, np.log(chance[1] / chance[0]).tolist()):
         logit = logit + F.when(F.col(n) == 1, good).when(F.col(n) == -1, bad).otherwise(none)
     posterior = 1 / (1 + F.exp(-logit))
-    return stats.select("*", failed.alias("base_failed"), posterior.alias("posterior")).withColumn(
+    return based(stats).withColumn("posterior", posterior).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)
     )
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+        "doc_id", *BASE, "base_failed", "kept", "posterior"
     )
+
+
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and rules of every document, without votes."""
+    return based(counted(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", *BASE, "base_failed")

@@ -6,11 +6,11 @@ from .bestfit import op9_token_matrices
 from .convtrie import op12_conversation_trie
 from .dartminhash import op8_dartminhash
 from .fim import op13_fim
-from .fingerprint import op7_fingerprint
+from .fingerprint import edited_texts, op7_fingerprint
 from .mixing import op4_mixing
 from .packing import op2_packing
 from .quality import op6_quality
-from .qualityrules import op5_quality_rules
+from .qualityrules import op5_quality_rules, quality_rule_counts
 from .sentencepieces import op11_sentencepiece
 from .suffixdedup import op10_suffix_dedup
 from .toxicity import op1_toxicity
@@ -30,6 +30,8 @@ QUERIES = {
     "op11_sentencepiece": op11_sentencepiece,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_fim": op13_fim,
+    "quality_rule_counts": quality_rule_counts,
+    "edited_texts": edited_texts,
 }
 
 _BITS = " + ".join(f"{16 >> k} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
@@ -67,4 +69,15 @@ f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h
 p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "quality_rule_counts": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+s AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS three FROM w WHERE len(w) > 2),
+twice AS (SELECT r, i FROM s QUALIFY count(*) OVER (PARTITION BY r, three) > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(3) AS u(j) GROUP BY r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c""",
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+e AS (SELECT *, coalesce(lead(t) OVER o, first_value(t) OVER o) AS nxt FROM d WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, t))
+SELECT doc_id, n AS n_chars, sha256(substring(t, 1, n - n // 2) || substring(nxt, 1, n // 2)) AS edited_sha256 FROM e""",
 }
