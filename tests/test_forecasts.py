@@ -1,9 +1,12 @@
 """Forecasters: brute force, recovery of known parameters, and invariances."""
 
 import datetime
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
@@ -174,3 +177,21 @@ def test_refits_and_blocks(spark):
     for k in range(3):
         assert sorted(x.t for x in b if x.block == k) == list(range(1 + 30 * k, min(101, 51 + 30 * k)))
     assert sum(x.target for x in b) == 80
+
+
+@pytest.mark.parametrize("tasks", [20_000, 3])
+def test_blocks_are_dealt_evenly(spark, monkeypatch, tasks):
+    """A task a block however few the session's partitions, or equal numbers."""
+
+    def one(pdf):
+        return pd.DataFrame({"series_id": pdf["series_id"][:1], "block": pdf["block"][:1], "n": len(pdf), "task": TaskContext.get().partitionId()})
+
+    monkeypatch.setattr(rolling, "_MOST_TASKS", tasks)
+    schema = "series_id string, block long, n int, task int"
+    rows = spark.range(1, 601).selectExpr("explode(array('a', 'b', 'c')) series_id", "cast(id as int) t").where("series_id = 'a' or t <= 300")
+    got = rolling.dealt(rolling.blocked(rows, 20, 21, 20)).applyInPandas(one, schema).collect()
+    assert sorted((x.series_id, x.block) for x in got) == [(s, k) for s, n in (("a", 29), ("b", 14), ("c", 14)) for k in range(n)]
+    assert all(x.n == 40 for x in got)
+    loads = Counter(x.task for x in got)
+    assert len(loads) == min(57, tasks) and max(loads.values()) == -(-57 // tasks)
+    assert rolling.dealt(rolling.blocked(rows.where("t < 10"), 20, 21, 20)).applyInPandas(one, schema).isEmpty()

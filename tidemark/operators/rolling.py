@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import stats
+from ..sources import store
 from . import scans, sliding
 
 FORECAST = ("series_id", "model", "date", "t", "alpha", "actual_return", "var", "es", "estimation_failed")
 
+#: Tasks that blocks are dealt to, at most.
+_MOST_TASKS = 20_000
+
 
 def blocked(rows: DataFrame, before: int, first: int, block: int) -> DataFrame:
     """rows (series_id, t, ...) plus block and target: blocks of `block`
@@ -34,12 +38,21 @@ def only_in(blocks: DataFrame, parts: DataFrame | None) -> DataFrame:
     return blocks if parts is None else blocks.join(parts.select("series_id", "block"), ["series_id", "block"], "left_semi")
 
 
-def dealt(blocks: DataFrame) -> DataFrame:
-    """blocked rows, a block whole in one task and the blocks over many: rows are
-    few and fits long, so adaptive execution would put all into one task."""
-    spark = blocks.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return blocks.repartition(n, "series_id", "block")
+def dealt(blocks: DataFrame) -> GroupedData:
+    """blocked rows, written, grouped by block. Each block is a task of its own,
+    however many there are (from _MOST_TASKS on, tasks have equal numbers of
+    them): rows are few and fits long, so a fixed number of tasks would grow with
+    the series, and hashing deals blocks unevenly. Blocks are numbered on from
+    series to series, for which only a row a series meets in one task."""
+    b = store.staged(blocks, "blocks")
+    ends = b.groupBy("series_id").agg((F.max("block") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("series_id").rowsBetween(Window.unboundedPreceding, -1))
+    ends = store.staged(ends.select("series_id", "_n", F.coalesce(before, F.lit(0)).alias("_before")), "ends")
+    n = ends.agg(F.sum("_n")).first()[0] or 1
+    task = F.pmod(F.col("_before") + F.col("block"), F.lit(_MOST_TASKS)).cast("int")
+    placed = b.join(ends.drop("_n"), "series_id").withColumn("task", task).drop("_before")
+    # grouped by the task first, so that the rows stay where they are
+    return placed.repartitionById(min(n, _MOST_TASKS), "task").groupBy("task", "series_id", "block")
 
 
 def _per_alpha(df: DataFrame, model: str, values: dict[float, tuple[Column, Column]], failed: Column) -> DataFrame:

@@ -371,9 +371,9 @@ TOGETHER = 16
 
 
 def _spans(returns: DataFrame, c: Config) -> DataFrame:
-    """A group for TOGETHER regular refits in a row: the window before the first
+    """A block for TOGETHER regular refits in a row: the window before the first
     and the days that they serve."""
-    return dealt(blocked(returns, c.window, c.window + 1, TOGETHER * c.refit_every))
+    return blocked(returns, c.window, c.window + 1, TOGETHER * c.refit_every)
 
 
 _TRIED = "series_id string, first int, block long, fit_t int, converged boolean, max_rhat double, min_ess double, figures array<struct<alpha:double,var:double,es:double>>"
@@ -411,7 +411,7 @@ def _tried(returns: DataFrame, due: DataFrame, variant: str, c: Config, s: Sampl
     # days are counted so that the due one is the first after a window
     rows = returns.select("series_id", "t", "ret").join(due, "series_id").withColumn("day", F.col("t")).withColumn("t", F.col("t") - F.col("due") + c.window + 1)
     rows = _spans(rows, c).where(f"left is null or block * {TOGETHER} < left")
-    return rows.groupBy("series_id", "block").applyInPandas(one, _TRIED)
+    return dealt(rows).applyInPandas(one, _TRIED)
 
 
 def refits(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(), due: DataFrame | None = None, most: int | None = None) -> DataFrame:
@@ -486,4 +486,4 @@ def posterior(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(
         return pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
 
     schema = "series_id string, variant string, refit_t int, draw int, mu double, phi double, sigma double, nu double, rho double, h_last double"
-    return _spans(returns.select("series_id", "t", "ret"), c).groupBy("series_id", "block").applyInPandas(one, schema)
+    return dealt(_spans(returns.select("series_id", "t", "ret"), c)).applyInPandas(one, schema)
