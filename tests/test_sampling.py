@@ -76,6 +76,16 @@ def test_filters_agree():
     assert np.allclose(sv._filtered(x, phi), want, atol=1e-6) and np.allclose(sv._filtered(x, phi, True), back, atol=1e-6)
 
 
+def test_filters_reach_to_the_end():
+    """What is left of a large value is as exact as what is near it."""
+    for n in (1, 2, 17, 250, 256):
+        x, phi = np.zeros((2, n)), np.array([[0.9], [-0.8]])
+        x[:, 0] = 1e12
+        want = 1e12 * phi ** np.arange(n)
+        assert np.allclose(sv._filtered(x, phi), want, rtol=1e-11, atol=0)
+        assert np.allclose(sv._filtered(x[:, ::-1], phi, True), want[:, ::-1], rtol=1e-11, atol=0)
+
+
 @pytest.mark.parametrize("variant", list(sv.VARIANTS))
 def test_windows_side_by_side(variant):
     """Many windows at once are as each alone, steps gone astray included."""

@@ -106,7 +106,7 @@ class Posterior:
         h = np.minimum(np.maximum(mu + sigma * z, -60), 60)
         y = self.r * np.exp(-0.5 * h)
         step = z[..., 1:] - phi * z[..., :-1]
-        squares = lambda x: np.einsum("...i,...i->...", x, x)[..., None]
+        squares = lambda x: np.vecdot(x, x)[..., None]
         like = -0.5 * h.sum(axis=-1, keepdims=True)
         if self.lever:
             eta = np.concatenate([z[..., :1] * (1 - phi), step], axis=-1)
@@ -145,7 +145,7 @@ class Posterior:
             grad[..., self.k - 1: self.k] = like_rho * c2 - 2 * rho
         dz[..., 1:] -= pull
         dz[..., :-1] += phi * pull
-        along = lambda a, b: np.einsum("...i,...i->...", a, b)[..., None]
+        along = lambda a, b: np.vecdot(a, b)[..., None]
         dphi = dphi + along(pull, z[..., :-1])
         grad[..., :1] = dh.sum(axis=-1, keepdims=True) - (mu - q0.mu_mean) / q0.mu_sd**2
         grad[..., 1:2] = dphi * 2 * raw * (1 - raw) + q0.phi_a * (1 - raw) - q0.phi_b * raw
@@ -159,20 +159,43 @@ class Posterior:
         return like, grad
 
 
-def _filtered(x: np.ndarray, phi: np.ndarray, back: bool = False) -> np.ndarray:
-    """y[t] = x[t] + phi y[t - 1] (back: y[t + 1]) for all t of each row, by
-    doubling, as far as the powers of phi matter."""
-    n = x.shape[-1]
-    reach = np.minimum(n, -21 / np.log(np.clip(np.abs(phi), 1e-9, 0.9999)))
-    y, k, p, most = x.copy(), 1, phi, reach.max()
-    while k < most:
-        p = p * (k < reach)
+@functools.cache
+def _lags(n: int) -> np.ndarray:
+    """(n, n): how far the column is after the row; n where it is before."""
+    d = np.arange(n)[None, :] - np.arange(n)[:, None]
+    return np.where(d < 0, n, d)
+
+
+class _Filter:
+    """y[t] = x[t] + phi y[t - 1] (back: y[t + 1]) for all t < n of each row: the
+    days in a square of lines, a line by its matrix of powers, and what a line
+    hands on by that of powers of powers. phi is (..., 1)."""
+
+    def __init__(self, phi: np.ndarray, n: int):
+        self.n, self.width = n, max(2, math.ceil(math.sqrt(n)))
+        self.lines = -(-n // self.width)
+        p = phi ** np.arange(self.width + 1)
+        self.handed = p[..., None, 1:].copy()
+        q = p[..., -1:] ** np.arange(self.lines + 1)
+        p[..., -1] = q[..., -1] = 0.0  # before its own day a value counts nothing
+        self.inner, self.outer = p[..., _lags(self.width)], q[..., _lags(self.lines)]
+
+    def __call__(self, x: np.ndarray, back: bool = False) -> np.ndarray:
+        rows, size = x.shape[:-1], self.lines * self.width
+        y = np.zeros((*rows, size))
+        y[..., : self.n] = x
+        y = y.reshape(*rows, self.lines, self.width)
         if back:
-            y[..., :-k] += p * y[..., k:]
+            y = y @ self.inner.swapaxes(-1, -2)
+            y[..., :-1, :] += (self.outer @ y[..., :1])[..., 1:, :] * self.handed[..., ::-1]
         else:
-            y[..., k:] += p * y[..., :-k]
-        k, p = 2 * k, p * p
-    return y
+            y = y @ self.inner
+            y[..., 1:, :] += (self.outer.swapaxes(-1, -2) @ y[..., -1:])[..., :-1, :] * self.handed
+        return y.reshape(*rows, size)[..., : self.n]
+
+
+def _filtered(x: np.ndarray, phi: np.ndarray, back: bool = False) -> np.ndarray:
+    return _Filter(phi, x.shape[-1])(x, back)
 
 
 class Whitened:
@@ -213,11 +236,12 @@ class Whitened:
         r2, nu = self.post.r**2, 15.0
         h = mu + np.zeros(self.n)
         p, s, _ = self._filter(phi, sigma)
+        along = _Filter(p, self.n)
         for _ in range(rounds):
             y2 = r2 * np.exp(-np.clip(h, -60, 60))
             score = 0.5 * ((nu + 1) * y2 / (nu + y2) if self.post.heavy else y2) - 0.5
             pseudo = h + np.clip(score / self.c, -4, 4)
-            h = mu + s * _filtered(s * _filtered(self.c * (pseudo - mu), p, True), p)
+            h = mu + s * along(s * along(self.c * (pseudo - mu), True))
         return h, pseudo
 
     def _filter(self, phi: np.ndarray, sigma: np.ndarray):
@@ -250,12 +274,13 @@ class Whitened:
         rho = np.tanh(v[..., self.k - 1: self.k]) if self.post.lever else 0.0
         mean = self._mean(v[..., :1], phi, sigma)
         p, s, by = self._filter(phi, sigma * np.sqrt(np.maximum(1e-6, 1 - rho * rho)) if self.post.lever else sigma)
-        a = _filtered(self.unit + np.zeros_like(phi), phi) if self.post.lever else 0.0
+        through, beside = _Filter(p, self.n), _Filter(phi, self.n) if self.post.lever else None
+        a = beside(self.unit) if beside else 0.0
         m = sigma * rho * a
-        w = s * _filtered(self.c * (self.pseudo - mean[0] - m), p, True)
+        w = s * through(self.c * (self.pseudo - mean[0] - m), True)
         drive = v[..., self.k:] + w
-        own = s * _filtered(drive, p)
-        return mean, raw, phi, sigma, rho, p, s, by, a, m, w, drive, own
+        own = s * through(drive)
+        return mean, raw, phi, sigma, rho, (through, beside), s, by, a, m, w, drive, own
 
     def to_posterior(self, v: np.ndarray) -> np.ndarray:
         """The Posterior's coordinates of v."""
@@ -271,13 +296,13 @@ class Whitened:
         bad = self.post.astray(v)
         if bad.any():
             v = np.where(bad[..., None], self.start(), v)
-        (mu, scale, mu_by, scale_by), raw, phi, sigma, rho, p, s, (p_phi, p_sigma, s_phi, s_sigma), a, m, w, drive, own = self._latent(v)
+        (mu, scale, mu_by, scale_by), raw, phi, sigma, rho, (through, beside), s, (p_phi, p_sigma, s_phi, s_sigma), a, m, w, drive, own = self._latent(v)
         z = (m + own) / sigma
         like, g = self.post(np.concatenate([mu, v[..., 1: self.k], z], axis=-1))
-        along = lambda a, b: np.einsum("...i,...i->...", a, b)[..., None]
+        along = lambda a, b: np.vecdot(a, b)[..., None]
         gx = g[..., self.k:] / sigma
-        back = s * _filtered(gx, p, True)  # by e, and by w
-        by_d = s * _filtered(back, p)
+        back = s * through(gx, True)  # by e, and by w
+        by_d = s * through(back)
         by_log_s = along(back, drive + w) + self.n
         by_p = (along(back[..., 1:], own[..., :-1]) + along(by_d[..., :-1], w[..., 1:])) / s
         by_sigma = by_p * p_sigma + by_log_s * s_sigma
@@ -290,7 +315,7 @@ class Whitened:
         if self.post.lever:
             by_m = gx - self.c * by_d
             own_rho = along(by_m, a) * sigma
-            by_phi = by_phi + along(_filtered(by_m, phi, True)[..., 1:], m[..., :-1])
+            by_phi = by_phi + along(beside(by_m, True)[..., 1:], m[..., :-1])
             grad[..., 2:3] += own_rho * rho
             grad[..., self.k - 1: self.k] += (1 - rho * rho) * own_rho - rho * by_sigma
         grad[..., 1:2] += by_phi * 2 * raw * (1 - raw)
@@ -464,7 +489,8 @@ def served(returns: DataFrame, spans: DataFrame, variant: str, c: Config) -> Dat
 def forecasts(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler()) -> DataFrame:
     """Long forecasts of every day that has a window before it, by refits() every
     c.refit_every days; the fit of a day starts from the seed c.seed + its place."""
-    return served(returns, refits(returns, variant, c, s), variant, c)
+    r = store.staged(returns.select("series_id", "date", "t", "ret"), "returns")
+    return served(r, refits(r, variant, c, s), variant, c)
 
 
 def long_draws(draws: DataFrame, parameters: tuple[str, ...]) -> DataFrame:
