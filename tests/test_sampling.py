@@ -152,3 +152,19 @@ def test_effective_size():
     assert chains.effective_size(*swing) > 15_000
     assert chains.effective_size(slow[0], slow[1] + 50) < 10  # chains apart
     assert chains.pooled_size(np.ones((1, 8))) == 8
+
+
+def test_velocities_are_kept():
+    """Two a step and one a trajectory; whether it has turned takes no more."""
+    f, seen = lambda x: (-0.5 * float(x @ x), -x), []
+
+    class Counting(nuts.Metric):
+        def velocity(self, p):
+            seen.append(1)
+            return super().velocity(p)
+
+    m = Counting(3, 1, np.ones(1))
+    for i in range(20):
+        seen.clear()
+        steps = nuts.answered(nuts.transition(np.ones(3), *f(np.ones(3)), 0.1, m, np.random.default_rng(i), 10), f)[2]
+        assert len(seen) == 2 * steps + 1
