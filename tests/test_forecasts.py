@@ -195,3 +195,14 @@ def test_blocks_are_dealt_evenly(spark, monkeypatch, tasks):
     loads = Counter(x.task for x in got)
     assert len(loads) == min(57, tasks) and max(loads.values()) == -(-57 // tasks)
     assert rolling.dealt(rolling.blocked(rows.where("t < 10"), 20, 21, 20)).applyInPandas(one, schema).isEmpty()
+
+
+def test_what_is_read_twice_is_made_once(spark):
+    """Neither draws nor fits are left to whoever reads them."""
+    x = np.random.default_rng(8).normal(0, 0.02, 70)
+    r = returns.log_returns(_series(spark, np.exp(np.concatenate([[0], np.cumsum(x)]))))
+    c, plan = Config(window=50, refit_every=10), lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    draws = sv.posterior(r, "SV-Gaussian", c, sv.Sampler(8, 12, thin=1))
+    assert draws.count() == 16 and "FlatMapGroups" not in plan(draws)
+    table = garch.compared(r, c, ((1, 1, 0), (1, 2, 0)))
+    assert [x.n for x in table.collect()] == [20, 20] and "FlatMapGroups" not in plan(table)

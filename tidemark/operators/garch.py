@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import stats
+from ..sources import store
 from .rolling import block_days, blocked, dealt, only_in
 
 _MOST = 50.0
@@ -322,6 +323,7 @@ def compared(returns: DataFrame, c: Config, orders: tuple[tuple[int, int, int],
         f = forecasts(returns, c, kind, p, q, o, with_fit=True).where(F.col("alpha") == c.alphas[0])
         f = f.select("series_id", "model", "t", F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(o).alias("o"), "loglik", "aic", "bic")
         each = f if each is None else each.unionByName(f)
+    each = store.staged(each, "orders")  # it is read twice
     least = each.groupBy("series_id", "t").agg(*(F.min_by("i", F.when(F.col(m).isNotNull(), F.struct(m, "i"))).alias(f"best_{m}") for m in ("aic", "bic")))
     j = each.join(least, ["series_id", "t"])
     return j.groupBy("series_id", "model", "p", "q", "o").agg(

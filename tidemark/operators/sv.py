@@ -500,7 +500,8 @@ def long_draws(draws: DataFrame, parameters: tuple[str, ...]) -> DataFrame:
 
 
 def posterior(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler()) -> DataFrame:
-    """(series_id, variant, refit_t, draw, mu, phi, sigma, nu, rho, h_last)."""
+    """(series_id, variant, refit_t, draw, mu, phi, sigma, nu, rho, h_last),
+    written: who reads it twice does not sample twice."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t").reset_index(drop=True)
@@ -512,4 +513,4 @@ def posterior(returns: DataFrame, variant: str, c: Config, s: Sampler = Sampler(
         return pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
 
     schema = "series_id string, variant string, refit_t int, draw int, mu double, phi double, sigma double, nu double, rho double, h_last double"
-    return dealt(_spans(returns.select("series_id", "t", "ret"), c)).applyInPandas(one, schema)
+    return store.staged(dealt(_spans(returns.select("series_id", "t", "ret"), c)).applyInPandas(one, schema), "posterior")
